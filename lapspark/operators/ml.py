@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
+from multiprocessing.pool import ThreadPool
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, OneVsRest, RandomForestClassifier
@@ -13,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lapspark.operators.ordered import row_number_in_order
+from lapspark.session import materialize
 
 # Model size of the classifier.
 TREES = 300
@@ -111,14 +113,17 @@ def cross_validate(
 ) -> DataFrame:
     """Accuracy of every fold with the mean, population deviation and difference to the mean."""
     require_two_classes(rows, label)
-    split = stratified_folds(rows, label, ident, folds)
-    split = split.persist()
-    scored = []
-    for fold in range(folds):
+    split = materialize(stratified_folds(rows, label, ident, folds))
+
+    def score(fold: int) -> DataFrame:
         model = classifier(features, label, trees).fit(split.where(F.col("fold") != fold))
         held = predict(model, split.where(F.col("fold") == fold))
         hit = F.coalesce(F.col("predicted") == F.col(label).cast("string"), F.lit(False))
-        scored.append(held.select("fold", hit.alias("_hit")))
+        return held.select("fold", hit.alias("_hit"))
+
+    # The folds are independent jobs; submitting them together keeps the cluster busy.
+    with ThreadPool(min(folds, 5)) as pool:
+        scored = pool.map(score, range(folds))
     per_fold = reduce(DataFrame.unionByName, scored).groupBy("fold").agg(
         F.avg(F.col("_hit").cast("double")).alias("accuracy")
     )
@@ -160,20 +165,19 @@ def accuracy(predictions: DataFrame, label: str = "label", predicted: str = "pre
     return predictions.agg(F.avg(hit.cast("double")).alias("accuracy"), F.count(F.lit(1)).alias("n_samples"))
 
 
-def _shuffled_values(rows: DataFrame, feature: str, ident: str, seed: int) -> DataFrame:
-    """Pair every row with another row's value: equal ranks of two different hash orders.
+def _shuffled_partner(rows: DataFrame, features: Sequence[str], ident: str, seed: int) -> DataFrame:
+    """Pair every row with another row's features: equal ranks of two different hash orders.
 
     Both orders are numbered in hash buckets, so the permutation never gathers the table.
     """
-    base = rows.select(F.lit(1).alias("_all"), ident, feature)
+    base = rows.select(F.lit(1).alias("_all"), ident, F.array(*features).alias("_other"))
 
     def numbered(salt: int) -> DataFrame:
         hashed = base.withColumn("_h", F.xxhash64(ident, F.lit(seed), F.lit(salt)))
         return row_number_in_order(hashed, ["_all"], ["_h", ident], F.shiftright("_h", 48), "_rank")
 
     take = numbered(0).select(ident, "_rank")
-    give = numbered(1).select("_rank", F.col(feature).alias("_other"))
-    return take.join(give, "_rank").select(ident, "_other")
+    return take.join(numbered(1).select("_rank", "_other"), "_rank").select(ident, "_other")
 
 
 def feature_importance(
@@ -187,19 +191,24 @@ def feature_importance(
 ) -> DataFrame:
     """Permutation importance: accuracy lost when one feature's values are shuffled among the rows.
 
-    All variants (the unshuffled one included) are scored by the same ``transform`` call.
+    Each row is copied once per feature with that feature taken from its partner (plus one untouched
+    copy), and all copies are scored by one ``transform``.
     """
-    variants = [rows.withColumn("feature", F.lit(None).cast("string"))]
-    for f in features:
-        swapped = rows.join(_shuffled_values(rows, f, ident, seed), ident)
-        variants.append(swapped.withColumn(f, F.col("_other")).drop("_other").withColumn("feature", F.lit(f)))
-    scored = predict(model, reduce(DataFrame.unionByName, variants))
+    features = list(features)
+    paired = rows.join(_shuffled_partner(rows, features, ident, seed), ident)
+    copies = paired.withColumn("_i", F.explode(F.sequence(F.lit(-1), F.lit(len(features) - 1))))
+    swapped = {
+        f: F.when(F.col("_i") == i, F.get("_other", F.lit(i))).otherwise(F.col(f))
+        for i, f in enumerate(features)
+    }
+    scored = predict(model, copies.withColumns(swapped))
     hit = F.coalesce(F.col("predicted") == F.col(label).cast("string"), F.lit(False)).cast("double")
-    by_variant = scored.groupBy("feature").agg(F.avg(hit).alias("_acc"))
-    base = by_variant.where(F.col("feature").isNull()).select(F.col("_acc").alias("_base"))
-    drops = by_variant.where(F.col("feature").isNotNull()).join(F.broadcast(base))
+    by_copy = scored.groupBy("_i").agg(F.avg(hit).alias("_acc"))
+    whole = by_copy.agg(F.max(F.when(F.col("_i") == -1, F.col("_acc"))).alias("_base"))
+    drops = by_copy.where(F.col("_i") >= 0).join(F.broadcast(whole))
+    name = F.get(F.array(*[F.lit(f) for f in features]), F.col("_i"))
     return (
-        drops.select("feature", (F.col("_base") - F.col("_acc")).alias("importance"))
+        drops.select(name.alias("feature"), (F.col("_base") - F.col("_acc")).alias("importance"))
         .orderBy(F.desc("importance"), "feature")
         .limit(top)
     )
