@@ -136,6 +136,7 @@ def gap_to_leader(laps: DataFrame) -> DataFrame:
     timed = with_running(
         per_lap, DRIVER, ["lap_number"], sequence_bucket("lap_number"), sums={"cum_time": F.col("_sum")}
     )
+    timed = materialize(timed.select(*LAP, "cum_time"))
     leader = timed.groupBy("session_key", "lap_number").agg(F.min("cum_time").alias("_leader"))
     return attach(timed, leader, ["session_key", "lap_number"], ["driver_number"]).select(
         *LAP, "cum_time", (F.col("cum_time") - F.col("_leader")).alias("gap")

@@ -95,9 +95,11 @@ def with_neighbours(
     lead: Mapping[str, Column] | None = None,
     first: Mapping[str, Column] | None = None,
     last: Mapping[str, Column] | None = None,
+    rows_name: str | None = None,
 ) -> DataFrame:
     """Values of the previous and next row, and of the first and last row of the key.
 
+    ``rows_name`` adds the number of rows of the key.
     ``_has_lag`` / ``_has_lead`` tell a missing neighbour from a neighbour holding null.
     """
     lag, lead = dict(lag or {}), dict(lead or {})
@@ -111,15 +113,18 @@ def with_neighbours(
     partials = [
         F.min_by(pack(head), stamp).alias("_head"),
         F.max_by(pack(tail), stamp).alias("_tail"),
+        F.count(F.lit(1)).alias("_size"),
     ]
 
     def context(ordered: WindowSpec, whole: WindowSpec) -> list[Column]:
+        total = [F.sum("_size").over(whole).alias(rows_name)] if rows_name else []
         ends = ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
         return [
             F.lag("_tail").over(ordered).alias("_prev"),
             F.lead("_head").over(ordered).alias("_next"),
             F.first("_head").over(ends).alias("_first"),
             F.last("_tail").over(ends).alias("_last"),
+            *total,
         ]
 
     rows = _with_context(df, keys, bucket, partials, context)

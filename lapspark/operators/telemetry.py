@@ -48,39 +48,33 @@ def resample(
     channels: Sequence[str],
     points: int = TRACE_POINTS,
     bucket: Column | None = None,
+    min_samples: int = 1,
 ) -> DataFrame:
     """Linear interpolation of the channels on ``points`` evenly spaced axis positions per key.
 
     Every sample emits the grid points between itself and its successor (the last sample emits the
     rest), so there is no join and the cost is linear in samples plus grid points. ``axis`` must not
-    decrease along ``order``; see :func:`axis_violations`.
+    decrease along ``order``; see :func:`axis_violations`. Keys with fewer than ``min_samples``
+    samples are left out.
     """
     rows = with_channels(samples, channels).where(F.col(axis).isNotNull())
     rows = rows.withColumn(axis, F.col(axis).cast("double")).select(*keys, order, axis, *channels)
     here = {"_x1": F.col(axis), **{f"_n_{c}": F.col(c) for c in channels}}
     rows = with_neighbours(
         rows, keys, [order], sequence_bucket(order) if bucket is None else bucket,
-        lead=here, first={"_d0": F.col(axis)}, last={"_dn": F.col(axis)},
+        lead=here, first={"_d0": F.col(axis)}, last={"_dn": F.col(axis)}, rows_name="_rows",
     )
     d0, dn, x0, x1 = F.col("_d0"), F.col("_dn"), F.col(axis), F.col("_x1")
-    step = (dn - d0) / F.lit(float(points - 1))
-    top = F.lit(points - 1)
-
-    def position(value: Column) -> Column:
-        return F.when(step > 0, (value - d0) / step).otherwise(F.lit(0.0))
-
-    low = F.greatest(F.floor(position(x0)) - 1, F.lit(0)).cast("int")
-    high = F.when(
-        F.col("_has_lead"), F.least(F.ceil(position(x1)) + 1, top.cast("long")).cast("int")
-    ).otherwise(top)
-    mine = F.filter(
-        F.sequence(F.least(low, high), high),
-        lambda k: (_grid_point(d0, dn, points, k) >= x0)
-        & (~F.col("_has_lead") | (_grid_point(d0, dn, points, k) < x1)),
+    step = F.nullif((dn - d0) / F.lit(float(points - 1)), F.lit(0.0))
+    # Candidate indices by division, widened by a sliver and then compared with the exact grid.
+    low = F.coalesce(F.ceil((x0 - d0) / step - 1e-6), F.lit(0).cast("long")).cast("int")
+    high = F.when(F.col("_has_lead"), F.floor((x1 - d0) / step + 1e-6).cast("int")).otherwise(F.lit(points - 1))
+    used = (F.col("_rows") >= min_samples) & (~F.col("_has_lead") | (x1 > x0))
+    cells = rows.where(used).withColumn(
+        "k", F.explode(F.when(low <= high, F.sequence(low, F.least(high, F.lit(points - 1)))))
     )
-    useful = ~F.col("_has_lead") | (x1 > x0)
-    cells = rows.where(useful).withColumn("k", F.explode(mine))
     at = _grid_point(d0, dn, points, F.col("k"))
+    cells = cells.where((at >= x0) & (~F.col("_has_lead") | (at < x1)))
 
     def value(c: str) -> Column:
         slope = (F.col(f"_n_{c}") - F.col(c)) / (x1 - x0)
@@ -93,10 +87,8 @@ def axis_violations(
     samples: DataFrame, keys: Sequence[str], order: str, axis: str
 ) -> DataFrame:
     """Laps whose axis decreases somewhere: they cannot be resampled and should be reported."""
-    rows = with_neighbours(
-        samples.where(F.col(axis).isNotNull()), keys, [order], sequence_bucket(order),
-        lag={"_before": F.col(axis)},
-    )
+    placed = samples.where(F.col(axis).isNotNull()).select(*keys, order, axis)
+    rows = with_neighbours(placed, keys, [order], sequence_bucket(order), lag={"_before": F.col(axis)})
     return (
         rows.where(F.col(axis) < F.col("_before"))
         .groupBy(*keys)
@@ -104,12 +96,6 @@ def axis_violations(
     )
 
 
-def enough_samples(samples: DataFrame, keys: Sequence[str], order: str, least: int = MIN_SAMPLES_PER_LAP) -> DataFrame:
-    """Drop laps with too few samples."""
-    counts = samples.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= least)
-    return attach(samples, counts.select(*keys), keys, [order], "left_semi")
-
-
 def _changes(arr: Column, differs) -> Column:
     """Number of adjacent pairs for which ``differs(previous, current)`` holds."""
     pairs = F.zip_with(
@@ -134,7 +120,8 @@ def lap_features(
     points: int = TRACE_POINTS,
 ) -> DataFrame:
     """Scalar features and traces of every lap from its resampled channels."""
-    grid = resample(enough_samples(samples, keys, order), keys, order, axis, CHANNELS, points)
+    used = ["speed", "throttle", "brake", "n_gear", "x", "y", "steer"]
+    grid = resample(samples, keys, order, axis, used, points, min_samples=MIN_SAMPLES_PER_LAP)
     features = grid.groupBy(*keys).agg(
         F.avg("speed").alias("mean_speed"),
         F.max("speed").alias("max_speed"),

@@ -39,18 +39,31 @@ def _shared_base(spark: SparkSession) -> str:
     return base
 
 
+_RUN = uuid.uuid4().hex
+
+
+def _run_dir(spark: SparkSession) -> str:
+    return f"{_shared_base(spark).rstrip('/')}/lapspark-{_RUN}"
+
+
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder on the storage all executors share."""
-    return f"{_shared_base(spark).rstrip('/')}/lapspark/{name}-{uuid.uuid4().hex}"
+    return f"{_run_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame) -> DataFrame:
     """Write an intermediate table that several branches read, and continue from the copy.
 
     An ordered operator reads its input twice; without this, a chain of them would read its source
-    a number of times that doubles at every step. The reliable checkpoint survives lost executors.
+    a number of times that doubles at every step. The copy is a parquet table in the shared folder:
+    it survives lost executors and each branch reads only the columns it needs.
     """
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(_shared_base(spark))
-    return df.checkpoint()
+    path = shared_dir(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop_materialized(spark: SparkSession) -> None:
+    """Remove every table this run has written to the shared folder (call when it is over)."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_run_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
