@@ -80,7 +80,7 @@ def rolling_pace(
     durations and, unless told otherwise, needs a full window.
     """
     if clean:
-        rows = clean_laps(laps)
+        rows = materialize(clean_laps(laps).select(*LAP, "lap_duration"))
         periods = 1 if min_periods is None else min_periods
     else:
         rows = laps.where(F.col("lap_duration").isNotNull())

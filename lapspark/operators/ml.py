@@ -124,14 +124,18 @@ def cross_validate(
     # The folds are independent jobs; submitting them together keeps the cluster busy.
     with ThreadPool(min(folds, 5)) as pool:
         scored = pool.map(score, range(folds))
-    per_fold = reduce(DataFrame.unionByName, scored).groupBy("fold").agg(
-        F.avg(F.col("_hit").cast("double")).alias("accuracy")
+    per_fold = materialize(
+        reduce(DataFrame.unionByName, scored)
+        .groupBy("fold")
+        .agg(F.avg(F.col("_hit").cast("double")).alias("accuracy"))
     )
     overall = per_fold.agg(
         F.avg("accuracy").alias("cv_mean"), F.stddev_pop("accuracy").alias("cv_std")
     )
-    # One summary row joined onto ``folds`` rows.
-    return per_fold.join(F.broadcast(overall)).withColumn("delta", F.col("accuracy") - F.col("cv_mean"))
+    out = per_fold.withColumns(
+        {"cv_mean": overall.select("cv_mean").scalar(), "cv_std": overall.select("cv_std").scalar()}
+    )
+    return out.withColumn("delta", F.col("accuracy") - F.col("cv_mean"))
 
 
 def confusion_matrix(predictions: DataFrame, label: str = "label", predicted: str = "predicted") -> DataFrame:
@@ -203,9 +207,9 @@ def feature_importance(
     }
     scored = predict(model, copies.withColumns(swapped))
     hit = F.coalesce(F.col("predicted") == F.col(label).cast("string"), F.lit(False)).cast("double")
-    by_copy = scored.groupBy("_i").agg(F.avg(hit).alias("_acc"))
+    by_copy = materialize(scored.groupBy("_i").agg(F.avg(hit).alias("_acc")))
     whole = by_copy.agg(F.max(F.when(F.col("_i") == -1, F.col("_acc"))).alias("_base"))
-    drops = by_copy.where(F.col("_i") >= 0).join(F.broadcast(whole))
+    drops = by_copy.where(F.col("_i") >= 0).withColumn("_base", whole.scalar())
     name = F.get(F.array(*[F.lit(f) for f in features]), F.col("_i"))
     return (
         drops.select(name.alias("feature"), (F.col("_base") - F.col("_acc")).alias("importance"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lapspark.functions.scalar import sequence_bucket, time_bucket
 from lapspark.operators.joins import attach
 from lapspark.operators.laps import DRIVER, LAP, SESSION
-from lapspark.operators.ordered import asof_backward, row_number_in_order, with_neighbours, with_running
+from lapspark.operators.ordered import asof_backward, row_number_in_order, with_neighbours
 from lapspark.session import materialize
 
 
@@ -22,9 +22,14 @@ def match_positions(position: DataFrame, laps: DataFrame) -> DataFrame:
 
 
 def recorded_positions(position: DataFrame, laps: DataFrame) -> DataFrame:
-    """Last reported position per driver and lap; a lap with only null reports keeps a null."""
+    """Last reported position per driver and lap; a lap with only null reports keeps a null.
+
+    Reports of one instant are merged first (the largest position wins), so copies of a report never
+    travel to the ordered match.
+    """
+    merged = position.groupBy(*DRIVER, "date").agg(F.max("position").alias("position"))
     reported = F.col("position").isNotNull()
-    return match_positions(position, laps).groupBy(*LAP).agg(
+    return match_positions(merged, laps).groupBy(*LAP).agg(
         F.max(F.when(reported, F.struct("date", "position")))["position"].alias("position")
     )
 
@@ -35,20 +40,19 @@ def lap_positions(position: DataFrame, laps: DataFrame) -> DataFrame:
     Each recorded lap emits the laps up to the driver's next recorded one, so the work equals the
     size of the result; laps before a driver's first report stay null.
     """
-    lap_index = row_number_in_order(
+    numbered = row_number_in_order(
         laps.where(F.col("lap_number").isNotNull()).select("session_key", "lap_number").distinct(),
         SESSION, ["lap_number"], sequence_bucket("lap_number"), "_i",
     )
+    lap_index = materialize(numbered)
     count = lap_index.groupBy(*SESSION).agg(F.max("_i").alias("_count"))
-    seen = attach(
-        materialize(recorded_positions(position, laps)), lap_index, ["session_key", "lap_number"], ["driver_number"]
-    )
-    seen = attach(seen, count, SESSION, ["driver_number", "_i"])
-    filled = with_running(
-        seen, DRIVER, ["_i"], sequence_bucket("_i"), lasts={"position": F.col("position")}
+    recorded = materialize(recorded_positions(position, laps))
+    places = attach(lap_index, count, SESSION, ["_i"])
+    known = attach(
+        recorded.where(F.col("position").isNotNull()), places, ["session_key", "lap_number"], ["driver_number"]
     )
     spans = with_neighbours(
-        filled, DRIVER, ["_i"], sequence_bucket("_i"), lag={"_p": F.col("_i")}, lead={"_n": F.col("_i")}
+        known, DRIVER, ["_i"], sequence_bucket("_i"), lag={"_p": F.col("_i")}, lead={"_n": F.col("_i")}
     )
     start = F.when(F.col("_has_lag"), F.col("_i")).otherwise(F.lit(1).cast("long"))
     stop = F.when(F.col("_has_lead"), F.col("_n") - 1).otherwise(F.col("_count"))
@@ -58,6 +62,12 @@ def lap_positions(position: DataFrame, laps: DataFrame) -> DataFrame:
         F.col("position").alias("_position"),
         F.explode(F.sequence(start, stop)).alias("_i"),
     ).select(*DRIVER, "_i", F.when(F.col("_i") >= F.col("_own"), F.col("_position")).alias("position"))
+    # Drivers that only ever reported nulls still get their laps, all null.
+    silent = recorded.groupBy(*DRIVER).agg(F.max("position").alias("position")).where(F.col("position").isNull())
+    blank = attach(silent, count, SESSION, ["driver_number"]).select(
+        *DRIVER, F.explode(F.sequence(F.lit(1).cast("long"), F.col("_count"))).alias("_i"), "position"
+    )
+    grid = grid.unionByName(blank)
     return attach(grid, lap_index, ["session_key", "_i"], ["driver_number"]).select(*LAP, "position")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lapspark.functions.scalar import LAST_BUCKET, half_even, value_bucket
+from lapspark.functions.scalar import LAST_BUCKET, half_even, sequence_bucket, value_bucket
 from lapspark.operators.joins import CELL_BITS, attach
 from lapspark.operators.laps import (
     DRIVER,
@@ -246,7 +246,11 @@ def project_finish(
         dnf.alias("_dnf"),
     )
     rows = materialize(rows)
-    bucket = F.when(F.col("_dnf"), F.lit(LAST_BUCKET)).otherwise(value_bucket("projected_total_time"))
+    # Infinite totals are all equal: they are cut by the tie-breaking driver number instead.
+    endless = F.lit(LAST_BUCKET // 2) * F.when(F.col("_dnf"), 2).otherwise(1)
+    bucket = F.when(
+        F.col("projected_total_time") == float("inf"), endless + sequence_bucket("driver_number")
+    ).otherwise(value_bucket("projected_total_time"))
     ranked = row_number_in_order(
         rows, SESSION, ["_dnf", "projected_total_time", "driver_number"], bucket, "projected_position"
     )

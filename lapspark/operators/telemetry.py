@@ -153,7 +153,7 @@ def timed_lap_features(
 ) -> DataFrame:
     """Features of quick laps with their lap time (the reference's training table)."""
     quick = quick_laps(lap_times, ratio).select(*keys, "lap_time_seconds")
-    kept = attach(samples, quick.select(*keys), keys, ["sample_no"], "left_semi")
+    kept = attach(samples, quick.select(*keys), keys, ["sample_no"], "left_semi", salts=4)
     return lap_features(kept, keys).join(quick, list(keys))
 
 

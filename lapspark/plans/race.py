@@ -185,7 +185,8 @@ def restrict_drivers(spark, sf):
 
 @query("distinct_drivers", """SELECT DISTINCT user_id % 5 AS session_key, user_id AS driver_number FROM events""")
 def distinct_drivers(spark, sf):
-    return L.distinct_drivers(A.laps(spark, sf))
+    position = A.position(spark, sf)
+    return L.distinct_drivers(position)
 
 
 @query("rolling_pace", f"""WITH {ROLLING}
@@ -351,7 +352,7 @@ degradation AS (
 
 @query("stint_degradation", f"""WITH {DEGRADATION}
 SELECT session_key, driver_number, stint_number, compound, laps_in_stint,
-       round(deg_per_lap, 9) AS deg_per_lap, round(mean_pace, 9) AS mean_pace FROM degradation""", digits=9)
+       round(deg_per_lap, 10) AS deg_per_lap, round(mean_pace, 10) AS mean_pace FROM degradation""", digits=10)
 def stint_degradation(spark, sf):
     laps = A.laps(spark, sf)
     return S.stint_degradation(laps, A.stints(laps))

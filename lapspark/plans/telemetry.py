@@ -10,7 +10,7 @@ from lapspark.operators import profiles as R
 from lapspark.operators import telemetry as T
 from lapspark.operators.laps import DRIVER, LAP
 from lapspark.plans.registry import query
-from lapspark.schemas import MODEL_FEATURES, STYLE_FEATURES
+from lapspark.schemas import MODEL_FEATURES, STYLE_FEATURES, STYLE_PROFILES
 from lapspark.session import materialize
 from lapspark.sources import adapters as A
 from lapspark.sources import tables
@@ -378,7 +378,19 @@ def archetype(spark, sf):
     return R.archetype(R.normalised_profile(laps)).select(*DRIVER, "archetype")
 
 
-@query("style_matches")
+STYLE_VALUES = ", ".join(f"('{name}', {vector})" for name, _era, vector in STYLE_PROFILES)
+
+
+@query("style_matches", f"""WITH {NORMALISED},
+styles(name, vector) AS (VALUES {STYLE_VALUES}),
+asked AS (SELECT session_key || '/' || driver_number AS query_id,
+                 CAST([{', '.join(STYLE_FEATURES)}] AS DOUBLE[]) AS v FROM normalised),
+scored AS (
+  SELECT query_id, name, CASE WHEN list_inner_product(v, v) < 1e-18 THEN 0.0
+         ELSE list_cosine_similarity(v, CAST(vector AS DOUBLE[])) END AS similarity FROM asked, styles)
+SELECT query_id, rank, name, round(similarity, 6) AS similarity FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, name) AS rank FROM scored)
+WHERE rank <= 2""")
 def style_matches(spark, sf):
     """Nearest built-in style profiles of every driver's normalised profile."""
     laps = materialize(_features(spark, sf).select(*LAP, *STYLE_FEATURES))
