@@ -151,7 +151,7 @@ def lap_features(
 def timed_lap_features(
     samples: DataFrame, lap_times: DataFrame, ratio: float, keys: Sequence[str] = tuple(LAP)
 ) -> DataFrame:
-    """Features of quick laps with their lap time (the reference's training table)."""
+    """Features of quick laps together with their lap time: the training table."""
     quick = quick_laps(lap_times, ratio).select(*keys, "lap_time_seconds")
     kept = attach(samples, quick.select(*keys), keys, ["sample_no"], "left_semi", salts=4)
     return lap_features(kept, keys).join(quick, list(keys))
