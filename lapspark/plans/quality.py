@@ -9,7 +9,7 @@ from lapspark.operators import laps as L
 from lapspark.operators import ml as M
 from lapspark.operators import profiles as R
 from lapspark.operators import quality as Q
-from lapspark.plans.race import CUMULATIVE, LAPS, POSITION
+from lapspark.plans.race import CUMULATIVE, LAPS, POSITION, STINTS
 from lapspark.plans.registry import query
 from lapspark.schemas import ensure_columns, LAPS as LAP_SCHEMA
 from lapspark.session import shared_dir
@@ -426,3 +426,40 @@ SELECT * FROM l WHERE session_key = (SELECT max(session_key) FROM l)""")
 def latest_session(spark, sf):
     newest = live.latest_session(A.laps(spark, sf))
     return newest.groupBy(*L.DRIVER).agg(F.count(F.lit(1)).alias("laps"))
+
+
+# --- source scans: race tables landed as files, read back with their schemas ---
+
+
+def _landed(spark, df, name, fmt="parquet"):
+    path = shared_dir(spark, name)
+    df.write.partitionBy("session_key").format(fmt).save(path)
+    return path
+
+
+@query("read_laps", f"""WITH {LAPS}
+SELECT session_key, driver_number, lap_number, lap_duration, is_pit_out_lap, CAST(NULL AS BIGINT) AS st_speed,
+       CAST(NULL AS TIMESTAMP) AS date_start FROM laps""")
+def read_laps(spark, sf):
+    """JSON laps: fields the files do not have read as null."""
+    rows = A.laps(spark, sf).select(*L.LAP, "lap_duration", "is_pit_out_lap")
+    return tables.read_laps(spark, _landed(spark, rows, "laps-json", "json"), "json")
+
+
+@query("read_stints", f"""WITH {LAPS}, {STINTS}
+SELECT session_key, driver_number, stint_number, compound, tyre_age_at_start, lap_start, lap_end FROM stints""")
+def read_stints(spark, sf):
+    return tables.read_stints(spark, _landed(spark, A.stints(A.laps(spark, sf)), "stints"))
+
+
+@query("read_position", f"""WITH {POSITION} SELECT session_key, driver_number, position, date FROM pos""")
+def read_position(spark, sf):
+    return tables.read_position(spark, _landed(spark, A.position(spark, sf), "position"))
+
+
+@query("read_drivers", """SELECT c_custkey % 5 AS session_key, c_custkey AS driver_number,
+       CASE WHEN c_acctbal >= 0 THEN upper(substr(c_mktsegment, 1, 3)) END AS name_acronym, c_name AS full_name,
+       'TEAM ' || c_nationkey AS team_name, 'ff00' || lpad(CAST(c_nationkey AS VARCHAR), 2, '0') AS team_colour
+FROM customer""")
+def read_drivers(spark, sf):
+    return tables.read_drivers(spark, _landed(spark, A.drivers(spark, sf), "drivers"))

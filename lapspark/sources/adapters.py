@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lapspark.functions.scalar import micros, sequence_bucket, time_bucket
@@ -10,11 +10,16 @@ from lapspark.operators.laps import DRIVER, LAP
 from lapspark.operators.ordered import row_number_in_order, with_running
 from lapspark.session import materialize
 
-EPOCH_MICROS = 1704067200000000  # 2024-01-01 00:00:00 UTC
+EPOCH = "2024-01-01 00:00:00"
 STINT_LENGTH = 12
 ORDERS_PER_LAP = 5000
 
 
+def _epoch() -> Column:
+    """Start of the car data in microseconds, midnight in the session's time zone."""
+    return micros(F.lit(EPOCH).cast("timestamp"))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -143,7 +148,7 @@ def sample_laps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def car_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Time-stamped telemetry from line items, one sample per supplier and instant."""
-    stamp = F.lit(EPOCH_MICROS) + F.col("l_orderkey") * 1_000_000 + F.col("l_linenumber") * 100_000
+    stamp = _epoch() + F.col("l_orderkey") * 1_000_000 + F.col("l_linenumber") * 100_000
     return (
         table(spark, sf_dir, "lineitem")
         .groupBy(F.col("l_suppkey").alias("driver_number"), F.timestamp_micros(stamp).alias("date"))
@@ -169,7 +174,7 @@ def car_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def car_laps(car: DataFrame) -> DataFrame:
     """Timed laps cut from the car data: 5000 seconds of samples each."""
-    lap = F.floor((micros("date") - EPOCH_MICROS) / (ORDERS_PER_LAP * 1_000_000)) + 1
+    lap = F.floor((micros("date") - _epoch()) / (ORDERS_PER_LAP * 1_000_000)) + 1
     return (
         car.groupBy("session_key", "driver_number", lap.alias("lap_number"))
         .agg(F.min("date").alias("date_start"), F.max("date").alias("_end"))
