@@ -11,7 +11,7 @@ import os
 import time
 
 from lapspark.plans import QUERIES
-from lapspark.session import build_session
+from lapspark.session import build_session, drop_materialized
 
 HEADLINE = [
     "gap_to_leader", "clean_laps", "rolling_pace", "rolling_pace_median", "pace_summary", "lap_positions",
@@ -49,6 +49,7 @@ def main() -> None:
             }
         )
     )
+    drop_materialized(spark)
     spark.stop()
 
 
