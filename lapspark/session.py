@@ -25,17 +25,17 @@ def build_session(app: str = "lapspark", master: str | None = None, **conf: str)
 
 
 def _shared_base(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``.
+    """The folder named by ``spark.checkpoint.dir`` (or by ``setCheckpointDir``).
 
-    Only a local session may fall back to a temporary folder: on a cluster a machine-local folder
-    would be lost with its executor.
+    Only a local session may fall back to a temporary folder, in tests: on a cluster a machine-local folder would be
+    lost with its executor.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-        base = tempfile.mkdtemp(prefix="lapspark-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lapspark-"))
+        base = spark.sparkContext.getCheckpointDir()
     return base
 
 

@@ -10,10 +10,9 @@ def spark(tmp_path_factory):
     session = build_session(
         "tests", "local[4]",
         spark__sql__shuffle__partitions="4", spark__ui__enabled="false", spark__driver__memory="6g",
+        spark__checkpoint__dir=str(tmp_path_factory.mktemp("shared")),
     )
     session.sparkContext.setLogLevel("ERROR")
-    if not session.conf.get("spark.checkpoint.dir", None):
-        session.conf.set("spark.checkpoint.dir", str(tmp_path_factory.mktemp("shared")))
     yield session
     session.stop()
 
