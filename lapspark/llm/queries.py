@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lapspark.llm import bpe, packing, secret_scan, sql, token_count
+from lapspark.llm import bpe, packing, secret_scan, sql, suffix_dedup, token_count
 from lapspark.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -32,6 +32,12 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encoding_digest(read(spark, sf_dir, "documents"))
 
 
+@query
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without its 400-byte strings that occur elsewhere."""
+    return suffix_dedup.removal_digest(read(spark, sf_dir, "documents"))
+
+
 @query
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Byte-level BPE token count of every document."""
