@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lapspark.llm import bpe, packing, secret_scan, simhash, sql, suffix_dedup, token_count
+from lapspark.llm import bpe, packing, secret_scan, simhash, sql, suffix_dedup, token_count, topk
 from lapspark.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -44,6 +44,12 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.fingerprint_digest(read(spark, sf_dir, "documents"))
 
 
+@query
+def op7_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest vectors of every hundredth vector by integer inner product."""
+    return topk.top_k(read(spark, sf_dir, "embeddings"))
+
+
 @query
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Byte-level BPE token count of every document."""
