@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lapspark.llm import bpe, packing, secret_scan, simhash, sql, suffix_dedup, token_count, topk
+from lapspark.llm import bpe, packing, quality_gam, quality_gbt, secret_scan, simhash, sql, suffix_dedup, token_count, topk
 from lapspark.llm.common import read
+from lapspark.llm.doc_stats import quality_labels
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -44,6 +45,12 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.fingerprint_digest(read(spark, sf_dir, "documents"))
 
 
+@query
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document."""
+    return quality_gam.score_quality(read(spark, sf_dir, "documents"), quality_labels(spark, sf_dir)).drop("_row")
+
+
 @query
 def op7_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten nearest vectors of every hundredth vector by integer inner product."""
@@ -60,3 +67,9 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's pieces with their places in sequences of 2,048 tokens."""
     return packing.pack_documents(read(spark, sf_dir, "documents"))
+
+
+@query
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base statistics and verdict of every document."""
+    return quality_gbt.judge(read(spark, sf_dir, "documents"), quality_labels(spark, sf_dir))
