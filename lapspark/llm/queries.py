@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lapspark.llm import bpe, packing, quality_gam, quality_gbt, secret_scan, simhash, sql, suffix_dedup, token_count, topk
+from lapspark.llm import bpe, packing, quality_gam, quality_gbt, secret_scan, sentence_spans, simhash, sql, suffix_dedup, token_count, topk
 from lapspark.llm.common import read
 from lapspark.llm.doc_stats import quality_labels
 
@@ -39,6 +39,12 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.removal_digest(read(spark, sf_dir, "documents"))
 
 
+@query
+def op4_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without its sentences in later copies of a span."""
+    return sentence_spans.sentence_digest(read(spark, sf_dir, "documents"))
+
+
 @query
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate component of every document."""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from lapspark.llm.sentence_spans import SEGMENT
 from lapspark.llm.secret_scan import ACCESS, ASSIGN, EXAMPLE, HEX, KINDS, OPAQUE
 
 
@@ -70,3 +71,40 @@ scored AS (
 ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored)
 SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM ranked WHERE rank <= 10
 """
+
+_PARTS = SEGMENT.replace("'", "''")
+OP4_SENTENCE_SPANS = f"""
+WITH parts AS (
+    SELECT doc_id, generate_subscripts(p, 1) AS place, unnest(p) AS part
+    FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{_PARTS}') AS p FROM documents)
+),
+sentences AS (
+    SELECT *, trim(part, E' \\t\\n\\r\\f\\v') AS sentence FROM parts
+),
+numbered AS (
+    SELECT doc_id, place, sentence, row_number() OVER (PARTITION BY doc_id ORDER BY place) - 1 AS number,
+           count(*) OVER (PARTITION BY doc_id) AS total
+    FROM sentences WHERE sentence <> ''
+),
+spans AS (
+    SELECT doc_id, number, total, concat_ws(chr(10), sentence, lead(sentence, 1) OVER w, lead(sentence, 2) OVER w) AS span
+    FROM numbered WINDOW w AS (PARTITION BY doc_id ORDER BY place)
+),
+later AS (
+    SELECT doc_id, number FROM (
+        SELECT *, row_number() OVER (PARTITION BY span ORDER BY doc_id, number) AS nth FROM spans
+        WHERE number = 0 OR number <= total - 3
+    ) WHERE nth > 1
+),
+gone AS (
+    SELECT DISTINCT n.doc_id, n.place FROM numbered n JOIN later l ON n.doc_id = l.doc_id AND n.number - l.number BETWEEN 0 AND 2
+),
+kept AS (
+    SELECT p.doc_id, string_agg(p.part, '' ORDER BY p.place) FILTER (g.place IS NULL) AS text, count(g.place) AS n_removed
+    FROM parts p LEFT JOIN gone g USING (doc_id, place) GROUP BY p.doc_id
+),
+counts AS (SELECT doc_id, max(total) AS total FROM numbered GROUP BY doc_id)
+SELECT doc_id, coalesce(total, 0) AS n_sentences, coalesce(n_removed, 0) AS n_removed,
+       sha256(coalesce(k.text, '')) AS kept_sha256
+FROM documents d LEFT JOIN kept k USING (doc_id) LEFT JOIN counts USING (doc_id)
+"""
