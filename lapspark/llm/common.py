@@ -37,6 +37,28 @@ def join_rows(left: DataFrame, right: DataFrame, how: str = "left") -> DataFrame
     return left.join(right, same, how).drop("_right_row", "_right_id")
 
 
+def carried(docs: DataFrame) -> DataFrame:
+    """``doc_id, text, _row`` as in ``identified`` (the text as it is), everything else of ``docs`` inside ``_doc``.
+
+    So no column of the input can clash with an inner one; ``restored`` undoes it.
+    """
+    others = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
+    return docs.select(
+        "doc_id", "text", F.xxhash64("doc_id", whole_text()).alias("_row"), F.struct(*others).alias("_doc"))
+
+
+def restored(work: DataFrame, docs: DataFrame, fresh_size: bool = False) -> DataFrame:
+    """The columns of ``docs`` from a ``carried`` table; ``n_chars`` is counted again if ``fresh_size``."""
+    def column(c: str):
+        if c == "text":
+            return F.col("text")
+        if c == "n_chars" and fresh_size:
+            return F.length("text").cast(docs.schema[c].dataType).alias(c)
+        return F.col(f"_doc.`{c}`").alias(c)
+
+    return work.select(*map(column, docs.columns))
+
+
 class Scratch:
     """Parquet tables in the folder all executors share; ``drop`` removes those no later step reads."""
 

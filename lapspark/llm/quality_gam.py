@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lapspark.llm.common import Scratch, join_rows
+from lapspark.llm.common import Scratch, carried, join_rows, restored
 from lapspark.llm.doc_stats import FEATURES, held_out, training_rows, with_statistics
 
 #: Rows at most that the model is fitted on (collected to the driver: 15 numbers each).
@@ -167,5 +167,4 @@ def score_quality(docs: DataFrame, labels: DataFrame, limit: int = TRAINING_ROWS
 def keep_good(docs: DataFrame, labels: DataFrame, limit: int = TRAINING_ROWS) -> DataFrame:
     """``docs`` without the rows the classifier rejects, columns unchanged."""
     rejected = score_quality(docs, labels, limit).where("predicted = 0").select("doc_id", "_row").distinct()
-    keyed = docs.withColumn("_row", F.xxhash64("doc_id", F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    return join_rows(keyed, rejected.withColumn("_out", F.lit(True))).where("_out is null").select(*docs.columns)
+    return restored(join_rows(carried(docs), rejected, "left_anti"), docs)

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lapspark.llm.common import Scratch, identified, join_rows
+from lapspark.llm.common import Scratch, carried, identified, join_rows, restored
 
 
 def _either_case(word: str) -> str:
@@ -152,10 +152,8 @@ def scan_secrets(docs: DataFrame, owner: str = "source", repository: str = "doc_
 
 def redact_secrets(docs: DataFrame, owner: str = "source", repository: str = "doc_id", max_owners: int = 1,
                    mark: str = "[SECRET]") -> DataFrame:
-    """``docs`` with live spans replaced by ``mark``; other texts and columns stay as they are."""
+    """``docs`` with live spans replaced by ``mark``; ``n_chars``, if there, follows the text, all else stays."""
     live = scan_secrets(docs, owner, repository, max_owners).where("n_live > 0").select("doc_id", "_row", "live").distinct()
-    keyed = docs.withColumn("_row", F.xxhash64("doc_id", F.coalesce(F.col("text").cast("string"), F.lit(""))))
-
     def step(acc: Column, s: Column) -> Column:
         # A span that overlaps the one before only continues the cut.
         gap = F.substring(F.col("text"), acc["at"].cast("int") + 1, F.greatest(s["start"] - acc["at"], F.lit(0)).cast("int"))
@@ -168,9 +166,6 @@ def redact_secrets(docs: DataFrame, owner: str = "source", repository: str = "do
     start = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
     cut = F.aggregate("live", start, step, lambda acc: F.concat(
         acc["out"], F.substring(F.col("text"), acc["at"].cast("int") + 1, F.length("text"))))
-    joined = join_rows(keyed, live).withColumn(
-        "_cut", F.when(F.col("live").isNull(), F.col("text")).otherwise(cut))
-    size = {"n_chars": F.length("_cut").cast("long")} if "n_chars" in docs.columns else {}
-    return joined.select(*[
-        (F.col("_cut") if c == "text" else size.get(c, F.col(f"`{c}`"))).alias(c) for c in docs.columns
-    ])
+    found = join_rows(carried(docs), live)
+    text = F.when(F.col("live").isNull(), F.col("text")).otherwise(cut)
+    return restored(found.withColumn("text", text), docs, fresh_size=True)

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lapspark.llm.common import Scratch, identified, join_rows
+from lapspark.llm.common import Scratch, carried, identified, join_rows, restored
 
 #: A segment ends after a run of stops or line feeds and the white space behind it.
 SEGMENT = r"[^.!?\n]*[.!?\n]+[ \t\n\r\f\v]*|[^.!?\n]+"
@@ -100,17 +100,15 @@ def sentence_digest(docs: DataFrame, span: int = 3) -> DataFrame:
 
 def remove_later_spans(docs: DataFrame, span: int = 3) -> DataFrame:
     """``docs`` with the sentences of later spans removed from ``text``; ``n_chars``, if there, follows it."""
-    keyed = docs.withColumn("_row", F.xxhash64("doc_id", F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    joined = join_rows(keyed, later_spans(identified(docs), span))
-    at = joined.columns.index("text")
+    joined = join_rows(carried(docs), later_spans(identified(docs), span)).select("text", "_numbers", "_doc")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns = batch.columns
-            columns[at] = pa.array(
-                [t.as_py() if not n or t.as_py() is None else _kept(t.as_py(), n, span)[0]
-                 for t, n in zip(batch.column("text"), batch.column("_numbers").to_pylist())], pa.string())
-            yield pa.RecordBatch.from_arrays(columns, batch.schema.names).select(docs.columns)
-
-    cleaned = joined.mapInArrow(run, docs.schema)
-    return cleaned.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else cleaned
+            out = [
+                t.as_py() if not n or t.as_py() is None else _kept(t.as_py(), n, span)[0]
+                for t, n in zip(batch.column("text"), batch.column("_numbers").to_pylist())
+            ]
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()), batch.column("_doc")], ["text", "_doc"])
+
+    kept = joined.select("text", "_doc").schema
+    return restored(joined.mapInArrow(run, kept), docs, fresh_size=True)

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lapspark.llm.common import Scratch, identified, join_rows
+from lapspark.llm.common import Scratch, carried, identified, join_rows, restored
 
 BITS, BLOCKS = 64, 6
 #: Node pairs expanded at once.
@@ -335,8 +335,6 @@ def keep_one_of_each(docs: DataFrame, words: int = 5, errors: int = WIDE_ERRORS)
     """
     found = near_duplicates(docs, words, WIDE, sampled_masks(), errors)
     chosen = found.where((F.col("doc_id") == F.col("component_id")) | F.col("doc_id").isNull()).select("doc_id", "_row").distinct()
-    keyed = docs.withColumn("_row", F.xxhash64("doc_id", F.coalesce(F.col("text").cast("string"), F.lit(""))))
     first = Window.partitionBy("_row", "doc_id").orderBy(F.lit(1))
-    kept = join_rows(keyed, chosen, "left_semi")
-    return kept.withColumn("_nth", F.row_number().over(first)).where(
-        (F.col("_nth") == 1) | F.col("doc_id").isNull()).select(*docs.columns)
+    kept = join_rows(carried(docs), chosen, "left_semi").withColumn("_nth", F.row_number().over(first))
+    return restored(kept.where((F.col("_nth") == 1) | F.col("doc_id").isNull()), docs)

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lapspark.llm.common import Scratch, identified, join_rows
+from lapspark.llm.common import Scratch, carried, identified, join_rows, restored
 
 _K1, _K2, _K3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 #: Bytes named together; longer documents are cut into slabs that overlap.
@@ -323,11 +323,9 @@ def remove_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
 
     Other columns stay; ``n_chars``, if there, follows the text. A null text stays null.
     """
-    keyed = docs.withColumn("_row", F.xxhash64("doc_id", F.coalesce(F.col("text").cast("string"), F.lit(""))))
     listed = repeated_starts(identified(docs), length).groupBy("_row", "doc_id").agg(
         F.collect_list(F.struct("lo", "hi")).alias("_starts"))
-    joined = join_rows(keyed, listed)
-    at = joined.columns.index("text")
+    joined = join_rows(carried(docs), listed).select("text", "_starts", "_doc")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -338,9 +336,7 @@ def remove_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
                 if starts and text:
                     text = _bytes_kept(text.encode(), starts, length)[0].decode("utf-8", "ignore")
                 out.append(text)
-            columns = batch.columns
-            columns[at] = pa.array(out, pa.string())
-            yield pa.RecordBatch.from_arrays(columns, batch.schema.names).select(docs.columns)
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()), batch.column("_doc")], ["text", "_doc"])
 
-    cleaned = joined.mapInArrow(run, docs.schema)
-    return cleaned.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else cleaned
+    kept = joined.select("text", "_doc").schema
+    return restored(joined.mapInArrow(run, kept), docs, fresh_size=True)
