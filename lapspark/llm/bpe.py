@@ -5,6 +5,8 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import re
+import struct
 from collections.abc import Iterator
 from itertools import chain
 
@@ -19,6 +21,10 @@ from lapspark.llm.tokenizing import Memo, batches_of, by_special, specials, toke
 NONE = 1 << 30
 #: Longer words take the heap, since rescanning the rank array is quadratic.
 SHORT = 64
+_PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
+#: Letters of UTF-8 outside ASCII only have bytes from 128 on; the alphabet shows 161-172 and 174-255 as themselves and
+#: counts the hidden ones on from 256.
+_BYTE_ALPHABET = {b: 256 + k for k, b in enumerate([*range(33), *range(127, 161), 173])}
 
 
 class WordBpe:
@@ -36,7 +42,8 @@ class WordBpe:
         self.ids: dict[str, int] = model["vocab"]
         self.ranks = {tuple(m): r for r, m in enumerate(model["merges"])}
         self.tokens = {i: t for t, i in chain(self.ids.items(), self.special.items())}
-        self.memo = Memo(lambda units: [self._unit(u) for u in units])
+        self.words = Memo(lambda words: [tuple(self.ids[t] for t in self.merge(w) if t in self.ids) for w in words])
+        self.units = Memo(self._units, limit=500_000)
 
     def merge(self, word: str) -> list[str]:
         """The tokens of one pre-token.
@@ -49,21 +56,19 @@ class WordBpe:
         if len(word) > SHORT:
             return self._merge_long(text, bounds)
         rank = self.ranks.get
-
-        def between(i: int) -> int:
-            return rank((text[bounds[i]:bounds[i + 1]], text[bounds[i + 1]:bounds[i + 2]]), NONE)
-
-        ranks = [between(i) for i in range(len(bounds) - 2)]
+        first = [*word[:-1], text[len(word) - 1:]]
+        ranks = [rank(pair, NONE) for pair in zip(first, first[1:])]
         while ranks:
             least = min(ranks)
             if least == NONE:
                 break
             i = ranks.index(least)
             del bounds[i + 1], ranks[i]
+            a, b = bounds[i], bounds[i + 1]
             if i < len(ranks):
-                ranks[i] = between(i)
+                ranks[i] = rank((text[a:b], text[b:bounds[i + 2]]), NONE)
             if i:
-                ranks[i - 1] = between(i - 1)
+                ranks[i - 1] = rank((text[bounds[i - 1]:a], text[a:b]), NONE)
         return [text[a:b] for a, b in zip(bounds, bounds[1:])]
 
     def _merge_long(self, text: str, bounds: list[int]) -> list[str]:
@@ -91,23 +96,43 @@ class WordBpe:
                 offer(before[i])
         return [text[i:j] for i, j in sorted(end.items())]
 
-    def _unit(self, unit: bytes) -> tuple[bytes, int, str]:
-        """Packed ids, their number and the decoded text of what stands between two white spaces."""
-        ids: list[int] = []
-        for part in by_special(unit.decode(), self.special):
+    def _split(self, unit: str) -> list:
+        """Words, in the byte alphabet, and ids of special strings."""
+        plain = _PLAIN.fullmatch(unit)
+        if plain:
+            # Latin letters with stops behind: composed already, and no contraction to look for.
+            word, stops = plain.groups()
+            word = word.lower().encode().decode("latin-1").translate(_BYTE_ALPHABET)
+            return [word, stops] if stops else [word]
+        out: list = []
+        for part in by_special(unit, self.special):
             if part in self.special:
-                ids.append(self.special[part])
-                continue
-            for word, _ in self.tok.pre_tokenizer.pre_tokenize_str(self.tok.normalizer.normalize_str(part)):
-                ids += [self.ids[t] for t in self.merge(word) if t in self.ids]
-        return np.array(ids, "<u4").tobytes(), len(ids), self.decode(ids)
+                out.append(self.special[part])
+            else:
+                out += [w for w, _ in self.tok.pre_tokenizer.pre_tokenize_str(self.tok.normalizer.normalize_str(part))]
+        return out
+
+    def _units(self, units: list[bytes]) -> list[tuple[bytes, int, str]]:
+        """Packed ids, their number and the decoded text of what stands between two white spaces."""
+        split = [self._split(u.decode()) for u in units]
+        known = self.words.prepare([w for words in split for w in words if isinstance(w, str)])
+        out = []
+        for words in split:
+            ids: list[int] = []
+            for w in words:
+                if isinstance(w, str):
+                    ids += known[w]
+                else:
+                    ids.append(w)
+            out.append((struct.pack(f"<{len(ids)}I", *ids), len(ids), self.decode(ids)))
+        return out
 
     def encode_batch(self, texts: list[str]) -> Iterator[tuple[bytes, int, str]]:
         """For each text its ids as little-endian unsigned 32-bit integers, their number, and what they decode to."""
         for some in batches_of(texts):
             # White space never joins a token, nor does normalisation compose across it.
             split = [text.encode().split() for text in some]
-            known = self.memo.prepare([u for units in split for u in units])
+            known = self.units.prepare([u for units in split for u in units])
             for units in split:
                 parts = [known[u] for u in units]
                 yield (
