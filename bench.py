@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 import os
+import tempfile
 import time
 
 from lapspark.plans import QUERIES
@@ -29,6 +30,7 @@ def main() -> None:
     spark = build_session(
         "bench", f"local[{cpus}]",
         spark__sql__shuffle__partitions=cpus, spark__ui__enabled="false", spark__driver__memory="16g",
+        spark__checkpoint__dir=tempfile.mkdtemp(prefix="lapspark-bench-"),
     )
     spark.sparkContext.setLogLevel("ERROR")
     # One untimed query starts the executors and loads the code paths.

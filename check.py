@@ -5,6 +5,7 @@ from __future__ import annotations
 import glob
 import os
 import sys
+import tempfile
 import time
 
 import duckdb
@@ -75,7 +76,8 @@ def main() -> int:
     sf_dir = f"{ROOT}/sf{sf}"
     names = sys.argv[2:] or list(QUERIES)
     spark = build_session("check", "local[8]", spark__sql__shuffle__partitions="8", spark__ui__enabled="false",
-                          spark__driver__memory="12g", spark__log__level="ERROR")
+                          spark__driver__memory="12g", spark__log__level="ERROR",
+                          spark__checkpoint__dir=tempfile.mkdtemp(prefix="lapspark-check-"))
     spark.sparkContext.setLogLevel("ERROR")
     con = connect(sf_dir)
     failed = 0

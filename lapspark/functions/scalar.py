@@ -27,6 +27,13 @@ def nan_to_null(c: Column | str) -> Column:
     return F.nanvl(col(c), F.lit(None).cast("double"))
 
 
+def at_least(lowest: int, **arguments: int) -> None:
+    """Raise for an argument that is no integer or too small; nothing is silently changed."""
+    for name, value in arguments.items():
+        if isinstance(value, bool) or not isinstance(value, int) or value < lowest:
+            raise ValueError(f"{name} must be an integer of at least {lowest}, got {value!r}")
+
+
 def sequence_bucket(c: Column | str) -> Column:
     """Contiguous chunk of an integer ordering column (lap number, sample number)."""
     return F.coalesce(F.shiftright(col(c).cast("long"), LAP_BUCKET_BITS), F.lit(LAST_BUCKET))
@@ -82,10 +89,10 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v)
 
 
-def cosine(a: Column, b: Column) -> Column:
-    """Cosine similarity, 0.0 when either vector is (almost) zero."""
-    na, nb = F.sqrt(dot(a, a)), F.sqrt(dot(b, b))
-    return F.when((na < 1e-9) | (nb < 1e-9), F.lit(0.0)).otherwise(dot(a, b) / (na * nb))
+def unit(a: Column) -> Column:
+    """The vector divided by its length; an (almost) zero vector becomes zero, so its cosines are 0.0."""
+    length = F.sqrt(dot(a, a))
+    return F.transform(a, lambda x: F.when(length < 1e-9, F.lit(0.0)).otherwise(x / length))
 
 
 def fraction_of_points(arr: Column, predicate) -> Column:

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lapspark.functions.scalar import upsample
-from lapspark.operators.joins import attach
 from lapspark.schemas import DISPLAY_POINTS
 
 PAIR = ["session_key", "driver_a", "driver_b"]
@@ -22,7 +21,7 @@ def lap_pairs(traces: DataFrame, pairs: DataFrame) -> DataFrame:
             *[F.col(c).alias(f"{c}_{side}") for c in traces.columns if c not in ("session_key", "driver_number")],
         )
         other = "driver_b" if side == "a" else "driver_a"
-        out = attach(out, renamed, ["session_key", f"driver_{side}"], [other])
+        out = out.join(renamed, ["session_key", f"driver_{side}"])
     return out
 
 

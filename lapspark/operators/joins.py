@@ -7,35 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MIN_SALTS = 4
-MAX_SALTS = 128
 CELL_BITS = 5
 
 
-def attach(
-    df: DataFrame,
-    stats: DataFrame,
-    keys: Sequence[str],
-    spread: Sequence[str],
-    how: str = "inner",
-    salts: int | None = None,
-) -> DataFrame:
-    """Join per-key statistics (at most one row per key) onto detail rows.
-
-    The detail side is salted on ``spread`` and the statistics are replicated per salt, so a hot
-    key is split over many tasks; the number follows the session's shuffle partitions. Pass a small
-    ``salts`` where the statistics are themselves a large table. Below the session's broadcast
-    threshold Spark still turns this into a broadcast join, because that threshold is a check of
-    the actual size, and adaptive execution splits what remains uneven.
-    """
-    if salts is None:
-        partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        salts = max(MIN_SALTS, min(MAX_SALTS, partitions // 4))
-    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"))
-    copies = stats.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted.join(copies, [*keys, "_salt"], how).drop("_salt")
-
-
 def _levels(length: Column) -> Column:
     """Smallest level whose cell (32 ** (level + 1) units) is at least as long as the interval."""
     level = F.lit(6)
@@ -69,7 +43,7 @@ def interval_join(
         F.explode(F.sequence(_cell(F.col(start), F.col("_level")), _cell(F.col(end), F.col("_level")))),
     )
     used = bounded.groupBy(*by).agg(F.sort_array(F.collect_set("_level")).alias("_levels"))
-    probes = attach(points, used, by, [point])
+    probes = points.join(used, by)
     probes = probes.withColumn("_level", F.explode("_levels")).withColumn(
         "_cell", _cell(F.col(point), F.col("_level"))
     )

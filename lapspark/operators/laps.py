@@ -7,8 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lapspark.functions.scalar import add_seconds, nan_to_null, sequence_bucket, value_bucket
-from lapspark.operators.joins import attach
+from lapspark.functions.scalar import add_seconds, at_least, nan_to_null, sequence_bucket, value_bucket
 from lapspark.operators.ordered import rolling_mean, row_number_in_order, with_running
 from lapspark.operators.quantiles import grouped_median
 from lapspark.schemas import SAFETY_CAR_RATIO
@@ -30,7 +29,8 @@ def normalise_laps(laps: DataFrame) -> DataFrame:
 
 def valid_laps(laps: DataFrame, keep_pit_out: bool = True) -> DataFrame:
     """Laps with a positive duration, optionally without pit-out laps (a null flag is kept)."""
-    out = laps.where(F.col("lap_duration") > 0)
+    # NaN ranks above every number, so it has to become null before the comparison.
+    out = laps.where(nan_to_null(F.col("lap_duration")) > 0)
     if not keep_pit_out and "is_pit_out_lap" in laps.columns:
         out = out.where(~F.col("is_pit_out_lap").eqNullSafe(True))
     return out
@@ -41,7 +41,7 @@ def clean_laps(laps: DataFrame, sc_ratio: float = SAFETY_CAR_RATIO) -> DataFrame
     valid = valid_laps(laps, keep_pit_out=False)
     limits = grouped_median(valid, SESSION, "lap_duration", "_median")
     return (
-        attach(valid, limits, SESSION, ["driver_number", "lap_number"])
+        valid.join(limits, SESSION)
         .where(F.col("lap_duration") <= F.col("_median") * sc_ratio)
         .drop("_median")
     )
@@ -49,10 +49,10 @@ def clean_laps(laps: DataFrame, sc_ratio: float = SAFETY_CAR_RATIO) -> DataFrame
 
 def quick_laps(laps: DataFrame, ratio: float, lap_time: str = "lap_time_seconds") -> DataFrame:
     """Laps within ``ratio`` of the driver's own best."""
-    timed = laps.where(F.col(lap_time).isNotNull())
+    timed = laps.where(nan_to_null(F.col(lap_time)).isNotNull())
     best = timed.groupBy(*DRIVER).agg(F.min(lap_time).alias("_best"))
     return (
-        attach(timed, best, DRIVER, ["lap_number"])
+        timed.join(best, DRIVER)
         .where(F.col(lap_time) <= F.col("_best") * ratio)
         .drop("_best")
     )
@@ -83,7 +83,7 @@ def rolling_pace(
         rows = materialize(clean_laps(laps).select(*LAP, "lap_duration"))
         periods = 1 if min_periods is None else min_periods
     else:
-        rows = laps.where(F.col("lap_duration").isNotNull())
+        rows = laps.where(nan_to_null(F.col("lap_duration")).isNotNull())
         periods = window if min_periods is None else min_periods
     return rolling_mean(
         rows, DRIVER, ["lap_number", "lap_duration"], sequence_bucket("lap_number"),
@@ -138,7 +138,7 @@ def gap_to_leader(laps: DataFrame) -> DataFrame:
     )
     timed = materialize(timed.select(*LAP, "cum_time"))
     leader = timed.groupBy("session_key", "lap_number").agg(F.min("cum_time").alias("_leader"))
-    return attach(timed, leader, ["session_key", "lap_number"], ["driver_number"]).select(
+    return timed.join(leader, ["session_key", "lap_number"]).select(
         *LAP, "cum_time", (F.col("cum_time") - F.col("_leader")).alias("gap")
     )
 
@@ -152,7 +152,7 @@ def pivot_by_driver(df: DataFrame, value: str, drivers: Sequence[int]) -> DataFr
 
 def _latest(df: DataFrame, value: str) -> DataFrame:
     last = df.groupBy(*SESSION).agg(F.max("lap_number").alias("_last"))
-    return attach(df, last, SESSION, ["driver_number", "lap_number"]).where(
+    return df.join(last, SESSION).where(
         F.col("lap_number") == F.col("_last")
     ).select(*LAP, value)
 
@@ -161,14 +161,14 @@ def _known(df: DataFrame, drivers: DataFrame | None) -> DataFrame:
     if drivers is None:
         return df
     keys = drivers.select(*DRIVER).distinct()
-    return attach(df, keys, DRIVER, ["lap_number"], "left_semi")
+    return df.join(keys, DRIVER, "left_semi")
 
 
 def latest_pace(
     laps: DataFrame, window: int = 5, top_n: int = 5, drivers: DataFrame | None = None
 ) -> DataFrame:
     """Drivers present on the session's last lap by rolling pace; ``top_n`` per session."""
-    window, top_n = max(2, min(window, 15)), max(1, min(top_n, 20))
+    at_least(1, window=window, top_n=top_n)
     pace = _known(_latest(rolling_pace(laps, window), "rolling_pace"), drivers)
     return top_per_key(pace, SESSION, [F.col("rolling_pace"), F.col("driver_number")], top_n, "rank")
 
@@ -194,7 +194,7 @@ def distinct_drivers(df: DataFrame, column: str = "driver_number") -> DataFrame:
 
 def fastest_laps(laps: DataFrame) -> DataFrame:
     """Each driver's shortest lap that is not a pit-out lap (non-positive times are not excluded)."""
-    rows = laps.where(F.col("lap_duration").isNotNull())
+    rows = laps.where(nan_to_null(F.col("lap_duration")).isNotNull())
     if "is_pit_out_lap" in laps.columns:
         rows = rows.where(~F.col("is_pit_out_lap").eqNullSafe(True))
     kept = [c for c in rows.columns if c not in DRIVER]
@@ -209,8 +209,7 @@ def label_drivers(df: DataFrame, drivers: DataFrame, how: str = "left", column:
     names = drivers.groupBy(F.col("session_key"), F.col("driver_number").alias(column)).agg(
         F.max("name_acronym").alias("_acronym"), F.max("team_colour").alias("_colour")
     )
-    spread = [c for c in df.columns if c not in ("session_key", column)][:3] or [column]
-    out = attach(df, names, ["session_key", column], spread, how)
+    out = df.join(names, ["session_key", column], how)
     label = F.col("_acronym") if how == "inner" else F.coalesce("_acronym", F.col(column).cast("string"))
     colour = F.concat(F.lit("#"), F.upper("_colour"))
     return out.withColumns({"driver_label": label, "team_colour": colour}).drop("_acronym", "_colour")

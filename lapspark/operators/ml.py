@@ -26,8 +26,9 @@ FOLDS = 5
 
 
 def require_two_classes(rows: DataFrame, label: str = "label") -> None:
-    """A classifier needs at least two classes; stops at the second one found."""
-    if len(rows.select(label).distinct().limit(2).collect()) < 2:
+    """A classifier needs at least two classes: the smallest and the largest label differ."""
+    low, high = rows.agg(F.min(label), F.max(label)).first()
+    if low is None or low == high:
         raise ValueError("training needs at least two classes")
 
 
@@ -232,7 +233,8 @@ def shapley_sample(
     For each permutation a row is paired with one background row; walking the permutation, features
     move one by one from the background's value to the row's own value, and the change in the
     predicted class's probability is credited to the moved feature. Every step is a row, all steps
-    are scored by one ``transform``.
+    are scored by one ``transform``. The attributions of a row add up to ``own_probability`` minus
+    ``background_probability`` (its mean over the background rows that were drawn).
     """
     features = list(features)
     n = len(features)
@@ -278,8 +280,10 @@ def shapley_sample(
             (F.get(F.col("_walk")["p"], s) - F.get(F.col("_walk")["p"], s - 1)).alias("gain"),
         ),
     )
-    credit = walk.select(ident, F.inline(gains)).groupBy(ident, "feature").agg(
-        F.avg("gain").alias("attribution")
+    p = F.col("_walk")["p"]
+    credit = walk.select(ident, F.get(p, n).alias("_own"), F.get(p, 0).alias("_base"), F.inline(gains)).groupBy(ident, "feature").agg(
+        F.avg("gain").alias("attribution"), F.avg("_own").alias("own_probability"),
+        F.avg("_base").alias("background_probability"),
     )
     from pyspark.sql import Window
 

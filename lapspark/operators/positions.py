@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lapspark.functions.scalar import sequence_bucket, time_bucket
-from lapspark.operators.joins import attach
 from lapspark.operators.laps import DRIVER, LAP, SESSION
 from lapspark.operators.ordered import asof_backward, row_number_in_order, with_neighbours
 from lapspark.session import materialize
@@ -47,10 +46,8 @@ def lap_positions(position: DataFrame, laps: DataFrame) -> DataFrame:
     lap_index = materialize(numbered)
     count = lap_index.groupBy(*SESSION).agg(F.max("_i").alias("_count"))
     recorded = materialize(recorded_positions(position, laps))
-    places = attach(lap_index, count, SESSION, ["_i"])
-    known = attach(
-        recorded.where(F.col("position").isNotNull()), places, ["session_key", "lap_number"], ["driver_number"]
-    )
+    places = lap_index.join(count, SESSION)
+    known = recorded.where(F.col("position").isNotNull()).join(places, ["session_key", "lap_number"])
     spans = with_neighbours(
         known, DRIVER, ["_i"], sequence_bucket("_i"), lag={"_p": F.col("_i")}, lead={"_n": F.col("_i")}
     )
@@ -64,11 +61,11 @@ def lap_positions(position: DataFrame, laps: DataFrame) -> DataFrame:
     ).select(*DRIVER, "_i", F.when(F.col("_i") >= F.col("_own"), F.col("_position")).alias("position"))
     # Drivers that only ever reported nulls still get their laps, all null.
     silent = recorded.groupBy(*DRIVER).agg(F.max("position").alias("position")).where(F.col("position").isNull())
-    blank = attach(silent, count, SESSION, ["driver_number"]).select(
+    blank = silent.join(count, SESSION).select(
         *DRIVER, F.explode(F.sequence(F.lit(1).cast("long"), F.col("_count"))).alias("_i"), "position"
     )
     grid = grid.unionByName(blank)
-    return attach(grid, lap_index, ["session_key", "_i"], ["driver_number"]).select(*LAP, "position")
+    return grid.join(lap_index, ["session_key", "_i"]).select(*LAP, "position")
 
 
 def position_at(requests: DataFrame, position: DataFrame, laps: DataFrame) -> DataFrame:
@@ -90,7 +87,7 @@ def position_on_lap(cutoffs: DataFrame, position: DataFrame, laps: DataFrame, la
     """Last known position at or before one lap per driver (``cutoffs`` has one row per driver)."""
     known = recorded_positions(position, laps).where(F.col("position").isNotNull())
     return (
-        attach(known, cutoffs.select(*DRIVER, lap), DRIVER, ["lap_number"])
+        known.join(cutoffs.select(*DRIVER, lap), DRIVER)
         .where(F.col("lap_number") <= F.col(lap))
         .groupBy(*DRIVER)
         .agg(F.max_by("position", "lap_number").alias("current_position"))

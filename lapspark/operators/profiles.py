@@ -7,8 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lapspark.functions.scalar import cosine, half_even, nan_to_null
-from lapspark.operators.joins import attach
+from lapspark.functions.scalar import dot, half_even, nan_to_null, unit
 from lapspark.operators.laps import DRIVER, SESSION, top_per_key
 from lapspark.operators.quantiles import value_percentile
 from lapspark.schemas import BASE_FEATURES, STYLE_FEATURES, STYLE_PROFILES
@@ -44,7 +43,7 @@ def normalised_profile(laps: DataFrame, features: Sequence[str] = STYLE_FEATURES
     """
     rows = _clean(laps, features)
     means = rows.groupBy(*DRIVER).agg(*[F.avg(f).alias(f) for f in features])
-    scaled = attach(means, _bounds(rows, features), SESSION, ["driver_number"])
+    scaled = means.join(_bounds(rows, features), SESSION)
 
     def scale(f: str) -> Column:
         width = F.col(f"_hi_{f}") - F.col(f"_lo_{f}")
@@ -59,7 +58,7 @@ def consistency_matrix(
     """Population deviation per driver, scaled to 0-1 across the selected drivers."""
     rows = laps if drivers is None else laps.where(F.col("driver_number").isin(list(drivers)))
     spread = _clean(rows, features).groupBy(*DRIVER).agg(*[F.stddev_pop(f).alias(f) for f in features])
-    scaled = attach(spread, _bounds(spread, features), SESSION, ["driver_number"])
+    scaled = spread.join(_bounds(spread, features), SESSION)
     return scaled.select(
         *DRIVER,
         *[
@@ -116,7 +115,7 @@ def percentile_rank(laps: DataFrame, features: Sequence[str], ident: Sequence[st
     long = rows.select(*SESSION, *ident, F.inline(pairs)).where(F.col("value").isNotNull())
     keys = [*SESSION, "feature"]
     ranks = value_percentile(long, keys, "value", "percentile")
-    return attach(long, ranks, [*keys, "value"], list(ident))
+    return long.join(ranks, [*keys, "value"])
 
 
 def style_profiles(spark: SparkSession) -> DataFrame:
@@ -135,32 +134,27 @@ def cosine_topk(
 
     Profiles are packed into blocks of at most ``block`` vectors whose number follows the counted
     profile table. A query meets whole blocks through an equi-join and scores a block inside its
-    row, keeping ``k`` hits: no query-profile pair is ever emitted as a row.
+    row, keeping ``k`` hits: no query-profile pair is ever emitted as a row. Vectors are divided by their
+    length before they meet, so a pair costs one dot product, and the best ``k`` are kept as the block is walked.
+    A profile's ``era``, where the table has one, is returned.
     """
     blocks = max(1, -(-profiles.count() // block))
     slot = F.pmod(F.xxhash64("name"), F.lit(blocks)).cast("int")
+    told = ["name", *[c for c in ("era",) if c in profiles.columns]]
+    length_one = unit(F.transform("vector", lambda x: x.cast("double")))
     packed = (
-        profiles.withColumn("_block", slot)
+        profiles.select(*told, slot.alias("_block"), length_one.alias("v"))
         .groupBy("_block")
-        .agg(F.collect_list(F.struct("name", F.col("vector").alias("v"))).alias("_profiles"))
+        .agg(F.collect_list(F.struct(*told, "v")).alias("_profiles"))
     )
-    asked = queries.select(ident, F.transform("vector", lambda x: x.cast("double")).alias("_q"))
+    asked = queries.select(ident, unit(F.transform("vector", lambda x: x.cast("double"))).alias("_q"))
     asked = asked.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    met = attach(asked, packed, ["_block"], [ident])
-    scored = F.transform(
-        "_profiles",
-        lambda p: F.struct((-cosine(F.col("_q"), p["v"])).alias("minus"), p["name"].alias("name")),
-    )
-    best = F.slice(F.array_sort(scored), 1, k)
-    if blocks == 1:
-        ranked = met.select(ident, F.posexplode(best).alias("_p", "_h"))
-        return ranked.select(
-            ident, (F.col("_p") + 1).alias("rank"), F.col("_h.name").alias("name"),
-            (-F.col("_h.minus")).alias("similarity"),
-        )
-    hits = met.select(ident, F.inline(best))
-    top = top_per_key(hits, [ident], [F.col("minus"), F.col("name")], k, "rank")
-    return top.select(ident, "rank", "name", (-F.col("minus")).alias("similarity"))
+    met = asked.join(packed, ["_block"])
+    hit = lambda p: F.struct((-dot(F.col("_q"), p["v"])).alias("minus"), *[p[c].alias(c) for c in told])
+    none = F.slice(F.transform("_profiles", hit), 1, 0)
+    best = F.aggregate("_profiles", none, lambda kept, p: F.slice(F.array_sort(F.array_append(kept, hit(p))), 1, k))
+    top = top_per_key(met.select(ident, F.inline(best)), [ident], [F.col("minus"), F.col("name")], k, "rank")
+    return top.select(ident, "rank", *told, (-F.col("minus")).alias("similarity"))
 
 
 def retrieval_quality(profiles: DataFrame) -> tuple[DataFrame, DataFrame]:

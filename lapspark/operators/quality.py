@@ -8,8 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lapspark.functions.scalar import nan_to_null
-from lapspark.operators.joins import attach
-from lapspark.schemas import FEATURE_BOUNDS, MODEL_FEATURES, OTHER_BOUNDS
+from lapspark.schemas import ARGUMENT_LIMITS, FEATURE_BOUNDS, MODEL_FEATURES, OTHER_BOUNDS
 
 # --- fixed values: limits and report layout ---
 MAX_MESSAGE_CHARS = 500
@@ -47,9 +46,9 @@ def check_bounds(
     return df.withColumn("reason", reason).withColumn("is_valid", F.col("reason").isNull())
 
 
-def check_membership(df: DataFrame, known: DataFrame, column: str, spread: Sequence[str]) -> DataFrame:
+def check_membership(df: DataFrame, known: DataFrame, column: str) -> DataFrame:
     """Rows whose value is not in the reference set."""
-    return attach(df, known.select(column).distinct(), [column], spread, "left_anti")
+    return df.join(known.select(column).distinct(), [column], "left_anti")
 
 
 def training_rows(laps: DataFrame, features: Sequence[str] = MODEL_FEATURES) -> DataFrame:
@@ -183,6 +182,24 @@ def sanitize_text(messages: DataFrame, column: str = "text") -> DataFrame:
     ).drop("_trimmed", "_cleaned")
 
 
+def check_arguments(requests: DataFrame, limits: Mapping[str, tuple[int, int]] = ARGUMENT_LIMITS) -> DataFrame:
+    """Text arguments as integers inside their limits, with ``error`` for the first one that is no integer.
+
+    A missing argument takes the lower limit; a request with an error has no values. The operators themselves take any
+    valid value, so these limits hold for requests only.
+    """
+    number = {name: F.col(name).try_cast("int") for name in limits}
+    error = F.lit(None).cast("string")
+    for name in reversed(list(limits)):
+        wrong = F.col(name).isNotNull() & number[name].isNull()
+        error = F.when(wrong, F.concat(F.lit(f"{name} must be int, got "), F.col(name))).otherwise(error)
+    checked = requests.withColumn("error", error)
+    return checked.withColumns({
+        name: F.when(F.col("error").isNull(), F.greatest(F.lit(lo), F.least(F.lit(hi), F.coalesce(number[name], F.lit(lo)))))
+        for name, (lo, hi) in limits.items()
+    })
+
+
 def clamp_argument(value, lowest: int, highest: int) -> int:
     """Integer argument inside a range; a missing one takes the lower bound."""
     return lowest if value is None else max(lowest, min(int(value), highest))

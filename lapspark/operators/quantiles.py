@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lapspark.functions.scalar import value_bucket
-from lapspark.operators.joins import attach
 from lapspark.operators.ordered import with_running
 
 
@@ -61,6 +60,6 @@ def value_percentile(df: DataFrame, keys: Sequence[str], value: str, name: str)
     counts = value_counts(df, keys, value)
     totals = counts.groupBy(*keys).agg(F.sum("_n").alias("_total"))
     ranked = with_running(counts, keys, [value], value_bucket(value), sums={"_upto": F.col("_n")})
-    return attach(ranked, totals, list(keys), [value]).select(
+    return ranked.join(totals, list(keys)).select(
         *keys, value, (F.col("_upto") * 100.0 / F.col("_total")).alias(name)
     )

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lapspark.functions.scalar import nan_to_null
 from lapspark.operators.joins import interval_join
 from lapspark.operators.laps import DRIVER, LAP, clean_laps
 
@@ -39,7 +40,7 @@ def tyre_age(laps: DataFrame, stints: DataFrame) -> DataFrame:
 def stint_degradation(laps: DataFrame, stints: DataFrame, clean: bool = True) -> DataFrame:
     """Least-squares slope of duration on lap number for every stint with at least three laps."""
     rows = clean_laps(laps) if clean else laps
-    joined = laps_with_stints(rows.where(F.col("lap_duration").isNotNull()), stints)
+    joined = laps_with_stints(rows.where(nan_to_null(F.col("lap_duration")).isNotNull()), stints)
     return (
         joined.where(F.col("stint_number").isNotNull())
         .groupBy(*DRIVER, "stint_number")

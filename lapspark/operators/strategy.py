@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lapspark.functions.scalar import LAST_BUCKET, half_even, sequence_bucket, value_bucket
-from lapspark.operators.joins import CELL_BITS, attach
+from lapspark.functions.scalar import LAST_BUCKET, at_least, half_even, nan_to_null, sequence_bucket, value_bucket
+from lapspark.operators.joins import CELL_BITS
 from lapspark.operators.laps import (
     DRIVER,
     LAP,
@@ -36,7 +36,7 @@ def pit_laps(stints: DataFrame) -> DataFrame:
     groups = ranked.groupBy(*DRIVER, "_order").agg(F.count(F.lit(1)).alias("_n"))
     first = groups.groupBy(*DRIVER).agg(F.min("_order").alias("_first"))
     return (
-        attach(groups, first, DRIVER, ["_order.lap_start"])
+        groups.join(first, DRIVER)
         .where((F.col("_order") != F.col("_first")) | (F.col("_n") > 1))
         .select(*DRIVER, F.col("_order.lap_start").alias("pit_lap"))
         .where(F.col("pit_lap").isNotNull())
@@ -77,7 +77,7 @@ def detect_undercuts(
     two rows meet only where the digits above the compared one agree, in both dimensions at once,
     so the pairs examined follow the number of swaps and not the square of the field.
     """
-    lookahead = max(1, min(lookahead, 10))
+    at_least(1, lookahead=lookahead)
     pits = pit_laps(stints)
     runners = stints.select(*DRIVER).distinct()
     offsets = [-1, *range(1, lookahead + 1)]
@@ -90,8 +90,8 @@ def detect_undercuts(
         .agg(F.collect_list(F.struct("pit_lap", "_off")).alias("_wanted"))
     )
     grid = lap_positions(position, laps).where(F.col("position").isNotNull())
-    grid = attach(grid, runners, DRIVER, ["lap_number"], "left_semi")
-    around = attach(grid, wanted, ["session_key", "lap_number"], ["driver_number"])
+    grid = grid.join(runners, DRIVER, "left_semi")
+    around = grid.join(wanted, ["session_key", "lap_number"])
     around = around.select(*DRIVER, F.col("position").cast("long"), F.inline("_wanted"))
     at = [F.max(F.when(F.col("_off") == o, F.col("position"))) for o in offsets]
     seen = materialize(
@@ -103,7 +103,7 @@ def detect_undercuts(
         F.max(F.greatest(F.col("before"), F.array_max("after"))).alias("_top")
     )
     digits = F.greatest(F.ceil(F.log2(F.col("_top") + 2.0) / CELL_BITS), F.lit(1)).cast("int")
-    seen = attach(seen, top.select("session_key", digits.alias("_levels")), SESSION, ["driver_number", "pit_lap"])
+    seen = seen.join(top.select("session_key", digits.alias("_levels")), SESSION)
     marked = seen.join(pits.withColumn("_pits", F.lit(True)), [*DRIVER, "pit_lap"], "left")
 
     def side(rows: DataFrame, kind: str, before: Column, after) -> DataFrame:
@@ -159,14 +159,14 @@ def undercut_markers(events: DataFrame, laps: DataFrame) -> DataFrame:
         "gap",
     )
     keys = ["session_key", "attacking_driver", "lap"]
-    return attach(events, gaps, keys, ["defending_driver"], "left").withColumn(
+    return events.join(gaps, keys, "left").withColumn(
         "gap", F.coalesce("gap", F.lit(0.0))
     )
 
 
 def undercut_windows(laps: DataFrame, stints: DataFrame, threshold_seconds: float = 1.5) -> DataFrame:
     """Laps where the next-faster car is within reach and on older tyres."""
-    rows = laps_with_stints(laps.where(F.col("lap_duration").isNotNull()), stints)
+    rows = laps_with_stints(laps.where(nan_to_null(F.col("lap_duration")).isNotNull()), stints)
     rows = rows.withColumn("tyre_age", F.coalesce("tyre_age", F.lit(0)))
     paired = with_neighbours(
         rows,
@@ -204,18 +204,19 @@ def project_finish(
     The wear beyond the free laps is summed in closed form instead of lap by lap. Totals are rounded
     to milliseconds before ranking; ties keep ascending driver numbers.
     """
-    laps_remaining = max(0, min(laps_remaining, 80))
+    at_least(0, laps_remaining=laps_remaining)
+    at_least(1, window=window)
     running = valid_laps(laps).where(F.col("driver_number").isNotNull())
     totals = running.groupBy(*DRIVER).agg(
         F.sum("lap_duration").alias("elapsed"), F.max("lap_number").alias("current_lap")
     )
     session_last = totals.groupBy(*SESSION).agg(F.max("current_lap").alias("_session_last"))
-    totals = attach(totals, session_last, SESSION, ["driver_number"])
+    totals = totals.join(session_last, SESSION)
     recent = top_per_key(clean_laps(laps), DRIVER, [F.desc("lap_number"), F.desc("lap_duration")], window, "_r")
     pace = recent.groupBy(*DRIVER).agg(F.avg("lap_duration").alias("_pace"))
     cutoffs = totals.select(*DRIVER, "current_lap")
     tyres = (
-        attach(stints, cutoffs, DRIVER, ["lap_start"])
+        stints.join(cutoffs, DRIVER)
         .where(F.col("current_lap").between(F.col("lap_start"), F.col("lap_end")))
         .withColumn(
             "_age", F.col("current_lap") - F.col("lap_start") + F.coalesce("tyre_age_at_start", F.lit(0))
@@ -270,7 +271,7 @@ def project_finish(
             F.lit(" → P"), F.col("projected_position").cast("string"),
         )
     )
-    return attach(ranked, winner, SESSION, ["driver_number"], "left").withColumns(
+    return ranked.join(winner, SESSION, "left").withColumns(
         {"gap_to_winner": gap, "change_label": change}
     ).drop("_winner", "_dnf")
 

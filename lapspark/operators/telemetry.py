@@ -16,7 +16,7 @@ from lapspark.functions.scalar import (
     sequence_bucket,
     time_bucket,
 )
-from lapspark.operators.joins import attach, interval_join
+from lapspark.operators.joins import interval_join
 from lapspark.operators.laps import DRIVER, LAP, fastest_laps, quick_laps, top_per_key
 from lapspark.operators.ordered import row_number_in_order, with_neighbours, with_running
 from lapspark.schemas import MIN_SAMPLES_PER_LAP, OUTLINE_POINTS, TRACE_POINTS
@@ -57,8 +57,8 @@ def resample(
     decrease along ``order``; see :func:`axis_violations`. Keys with fewer than ``min_samples``
     samples are left out.
     """
-    rows = with_channels(samples, channels).where(F.col(axis).isNotNull())
-    rows = rows.withColumn(axis, F.col(axis).cast("double")).select(*keys, order, axis, *channels)
+    rows = with_channels(samples, channels).withColumn(axis, nan_to_null(F.col(axis).cast("double")))
+    rows = rows.where(F.col(axis).isNotNull()).select(*keys, order, axis, *channels)
     here = {"_x1": F.col(axis), **{f"_n_{c}": F.col(c) for c in channels}}
     rows = with_neighbours(
         rows, keys, [order], sequence_bucket(order) if bucket is None else bucket,
@@ -153,7 +153,7 @@ def timed_lap_features(
 ) -> DataFrame:
     """Features of quick laps together with their lap time: the training table."""
     quick = quick_laps(lap_times, ratio).select(*keys, "lap_time_seconds")
-    kept = attach(samples, quick.select(*keys), keys, ["sample_no"], "left_semi", salts=4)
+    kept = samples.join(quick.select(*keys), keys, "left_semi")
     return lap_features(kept, keys).join(quick, list(keys))
 
 
@@ -271,7 +271,7 @@ def representative_lap(laps: DataFrame, ratio: float, group: str = "session_key"
         F.count("lap_number").alias("_laps")
     )
     busiest = top_per_key(counts, [group], [F.desc("_laps"), F.asc("driver_number")], 1, "_r")
-    theirs = attach(laps, busiest.select(group, "driver_number"), [group, "driver_number"], ["lap_number"])
+    theirs = laps.join(busiest.select(group, "driver_number"), [group, "driver_number"])
     return (
         quick_laps(theirs, ratio)
         .groupBy(group, "driver_number")
@@ -284,5 +284,5 @@ def circuit_outline(
 ) -> DataFrame:
     """X/Y outline of the track from the representative lap, in long form."""
     lap = representative_lap(laps, ratio)
-    kept = attach(samples, lap, LAP, ["sample_no"], "left_semi")
+    kept = samples.join(lap, LAP, "left_semi")
     return resample(kept, LAP, "sample_no", "distance", ["x", "y"], points)

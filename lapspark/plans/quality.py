@@ -10,8 +10,12 @@ from lapspark.operators import ml as M
 from lapspark.operators import profiles as R
 from lapspark.operators import quality as Q
 from lapspark.plans.race import CUMULATIVE, LAPS, POSITION, STINTS
-from lapspark.plans.registry import query
-from lapspark.schemas import ensure_columns, LAPS as LAP_SCHEMA
+from lapspark.plans.registry import ORACLES, query
+from lapspark.schemas import ARGUMENT_LIMITS
+from lapspark.schemas import LAPS as LAP_SCHEMA
+from lapspark.schemas import POSITION as POSITION_SCHEMA
+from lapspark.schemas import STINTS as STINT_SCHEMA
+from lapspark.schemas import ensure_columns
 from lapspark.session import shared_dir
 from lapspark.sources import adapters as A
 from lapspark.sources import tables
@@ -90,7 +94,7 @@ WHERE user_id NOT IN (SELECT s_suppkey FROM supplier)""")
 def check_membership(spark, sf):
     events = A.table(spark, sf, "events").select("event_id", F.col("user_id").alias("driver_number"))
     known = A.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("driver_number"))
-    return Q.check_membership(events, known, "driver_number", ["event_id"])
+    return Q.check_membership(events, known, "driver_number")
 
 
 @query("training_rows", """SELECT o_orderkey, o_totalprice AS mean_speed,
@@ -365,6 +369,79 @@ def cross_validate(spark, sf):
     return M.cross_validate(_labelled(spark, sf), FEATURES)
 
 
+@query("class_probability_invariants", """SELECT vec_id AS id, (SELECT count(DISTINCT label) FROM embeddings) AS classes,
+       1.0 AS total, true AS ranked, true AS falling FROM embeddings""")
+def class_probability_invariants(spark, sf):
+    """Every row has each class once, ranks 1..n by falling probability, and probabilities that sum to 1."""
+    by_rank = F.sort_array(F.collect_list(F.struct("rank", "probability", "class"))).alias("p")
+    rows = class_probabilities(spark, sf).groupBy("id").agg(by_rank)
+    falling = F.array_sort(F.transform("p", lambda x: -x["probability"]))
+    return rows.select(
+        "id", F.size(F.array_distinct(F.col("p.class"))).alias("classes"),
+        F.aggregate("p", F.lit(0.0), lambda s, x: s + x["probability"]).alias("total"),
+        (F.col("p.rank") == F.sequence(F.lit(1), F.size("p"))).alias("ranked"),
+        (falling == F.transform("p", lambda x: -x["probability"])).alias("falling"),
+    )
+
+
+@query("cross_validate_invariants", """SELECT range AS fold, true AS in_range, true AS centred, true AS spread
+FROM range(0, 5)""")
+def cross_validate_invariants(spark, sf):
+    """Accuracies between 0 and 1; the mean and the population deviation are those of the folds."""
+    rows = cross_validate(spark, sf)
+    told = rows.agg(F.avg("accuracy").alias("m"), F.stddev_pop("accuracy").alias("s"))
+    mean, deviation = told.select("m").scalar(), told.select("s").scalar()
+    return rows.select(
+        "fold", F.col("accuracy").between(0, 1).alias("in_range"),
+        ((F.abs(F.col("cv_mean") - mean) < 1e-9) & (F.abs(F.col("delta") - F.col("accuracy") + mean) < 1e-9)).alias("centred"),
+        (F.abs(F.col("cv_std") - deviation) < 1e-9).alias("spread"),
+    )
+
+
+@query("feature_importance_invariants", f"""SELECT unnest([{', '.join(f"'{f}'" for f in sorted([*BLOCKS, 'overall', 'norm2']))}]) AS feature,
+       true AS in_range""")
+def feature_importance_invariants(spark, sf):
+    """One importance for each feature, an accuracy difference."""
+    return feature_importance(spark, sf).select("feature", F.col("importance").between(-1, 1).alias("in_range"))
+
+
+@query("shapley_invariants", """SELECT vec_id AS id, 10 AS features, true AS adds_up, true AS ranked FROM embeddings""")
+def shapley_invariants(spark, sf):
+    """The attributions of a row add up to its probability minus the mean probability of its background rows."""
+    rows = shapley_sample(spark, sf).groupBy("id").agg(
+        F.count_distinct("feature").alias("features"), F.sum("attribution").alias("_sum"),
+        F.max("own_probability").alias("_own"), F.max("background_probability").alias("_background"),
+        F.sort_array(F.collect_list("rank")).alias("_ranks"),
+    )
+    return rows.select(
+        "id", "features", (F.abs(F.col("_sum") - F.col("_own") + F.col("_background")) < 1e-9).alias("adds_up"),
+        (F.col("_ranks") == F.sequence(F.lit(1), F.size("_ranks"))).alias("ranked"),
+    )
+
+
+@query("check_arguments", """WITH r AS (SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN NULL WHEN 1 THEN CAST(c_custkey % 40 - 5 AS VARCHAR)
+       ELSE c_mktsegment END AS a, CAST(c_nationkey AS VARCHAR) AS b FROM customer),
+e AS (SELECT c_custkey, b, CASE WHEN a IS NOT NULL AND try_cast(a AS INTEGER) IS NULL THEN 'window must be int, got ' || a END AS error,
+      try_cast(a AS INTEGER) AS a FROM r)
+SELECT c_custkey, error, CASE WHEN error IS NULL THEN greatest(2, least(15, coalesce(a, 2))) END AS window,
+       CASE WHEN error IS NULL THEN greatest(1, least(20, CAST(b AS INTEGER))) END AS top_n FROM e""")
+def check_arguments(spark, sf):
+    raw = F.when(F.col("c_custkey") % 3 == 1, (F.col("c_custkey") % 40 - 5).cast("string")).when(
+        F.col("c_custkey") % 3 == 2, F.col("c_mktsegment"))
+    requests = A.table(spark, sf, "customer").select(
+        "c_custkey", raw.alias("window"), F.col("c_nationkey").cast("string").alias("top_n"))
+    return Q.check_arguments(requests, {k: ARGUMENT_LIMITS[k] for k in ("window", "top_n")})
+
+
+@query("stored_class_metrics", ORACLES["class_metrics"])
+def stored_class_metrics(spark, sf):
+    """Per-class rows written to the metrics store and read back whole."""
+    path = shared_dir(spark, "class-metrics")
+    rows = M.class_metrics(_predictions(spark, sf))
+    tables.write_metrics(rows, path)
+    return tables.read_metrics(spark, path, rows.schema)
+
+
 @query("feature_importance")
 def feature_importance(spark, sf):
     rows = _labelled(spark, sf)
@@ -374,7 +451,7 @@ def feature_importance(spark, sf):
 @query("shapley_sample")
 def shapley_sample(spark, sf):
     rows = _labelled(spark, sf)
-    return M.shapley_sample(M.train_classifier(rows, FEATURES, trees=60), rows, rows, FEATURES, permutations=4)
+    return M.shapley_sample(M.train_classifier(rows, FEATURES), rows, rows, FEATURES)
 
 
 # --- streaming, run over everything available ---
@@ -408,17 +485,51 @@ def stream_latest_position(spark, sf):
 @query("live_gap_to_leader", f"""WITH {CUMULATIVE}
 SELECT session_key, driver_number, lap_number, round(cum_time, 6) AS cum_time, round(gap, 6) AS gap FROM gaps""")
 def live_gap_to_leader(spark, sf):
-    """Laps arriving in several batches give the same gaps as the batch query."""
+    return _live(spark, sf, "gap_to_leader")
+
+
+def _live(spark, sf, name):
+    """One analytic over laps, stints and positions that arrive in several batches, by the engine's own schemas."""
     laps = A.laps(spark, sf)
-    landing, results = shared_dir(spark, "laps"), shared_dir(spark, "results")
-    laps.repartition(2).write.parquet(landing)
-    stream = live.stream_table(spark, landing, spark.read.parquet(landing).schema, files_per_batch=1)
-    wanted = {"gap_to_leader": live.ANALYTICS["gap_to_leader"]}
-    apply = live.live_analytics(
-        shared_dir(spark, "lap-store"), results, A.stints(laps), A.position(spark, sf), wanted
-    )
-    live.run_available(stream, apply, shared_dir(spark, "live-state"))
-    return spark.read.parquet(f"{results}/gap_to_leader").withColumn("session_key", F.col("session_key").cast("long"))
+    micros = F.unix_micros(F.col("date").cast("timestamp")) - F.round(F.col("lap_duration") * 1_000_000).cast("long")
+    sources = {
+        "laps": (live.stream_laps, laps.select(*L.LAP, "lap_duration", "is_pit_out_lap", F.lit(None).cast("int").alias("st_speed"),
+                                               F.timestamp_micros(micros).alias("date_start")), LAP_SCHEMA),
+        "stints": (live.stream_stints, A.stints(laps), STINT_SCHEMA),
+        "position": (live.stream_position, A.position(spark, sf), POSITION_SCHEMA),
+    }
+    store, results = shared_dir(spark, "live-store"), shared_dir(spark, "live-results")
+    for kind, (stream, rows, schema) in sources.items():
+        landing = shared_dir(spark, f"landing-{kind}")
+        rows.select(*[F.col(f.name).cast(f.dataType) for f in schema]).repartition(2).write.parquet(landing)
+        apply = live.live_analytics(store, results, kind, {name: live.ANALYTICS[name]})
+        live.run_available(stream(spark, landing, files_per_batch=1), apply, shared_dir(spark, f"state-{kind}"))
+    return spark.read.parquet(f"{results}/{name}").withColumn("session_key", F.col("session_key").cast("long"))
+
+
+@query("live_rolling_pace", ORACLES["rolling_pace"])
+def live_rolling_pace(spark, sf):
+    return _live(spark, sf, "rolling_pace")
+
+
+@query("live_pace_summary", ORACLES["pace_summary"])
+def live_pace_summary(spark, sf):
+    return _live(spark, sf, "pace_summary")
+
+
+@query("live_stint_degradation", ORACLES["stint_degradation"], digits=10)
+def live_stint_degradation(spark, sf):
+    return _live(spark, sf, "stint_degradation")
+
+
+@query("live_undercuts", ORACLES["detect_undercuts"])
+def live_undercuts(spark, sf):
+    return _live(spark, sf, "undercuts")
+
+
+@query("live_projection", ORACLES["project_finish"])
+def live_projection(spark, sf):
+    return _live(spark, sf, "projection")
 
 
 @query("latest_session", """WITH l AS (SELECT user_id % 5 AS session_key, user_id AS driver_number, count(*) AS laps FROM events GROUP BY 1, 2)
@@ -439,13 +550,24 @@ def _landed(spark, df, name, fmt="parquet"):
 
 @query("read_laps", f"""WITH {LAPS}
 SELECT session_key, driver_number, lap_number, lap_duration, is_pit_out_lap, CAST(NULL AS BIGINT) AS st_speed,
-       CAST(NULL AS TIMESTAMP) AS date_start FROM laps""")
+       CAST(NULL AS TIMESTAMP) AS date_start, CAST(NULL AS TIMESTAMP) AS date FROM laps""")
 def read_laps(spark, sf):
     """JSON laps: fields the files do not have read as null."""
     rows = A.laps(spark, sf).select(*L.LAP, "lap_duration", "is_pit_out_lap")
     return tables.read_laps(spark, _landed(spark, rows, "laps-json", "json"), "json")
 
 
+@query("read_laps_with_nan", f"""WITH {LAPS}
+SELECT session_key, driver_number, lap_number, CASE WHEN lap_number % 7 <> 0 THEN lap_duration END AS lap_duration,
+       CASE WHEN lap_number % 7 <> 0 THEN date + to_microseconds(CAST(round(lap_duration * 1000000) AS BIGINT)) END AS date
+FROM laps""")
+def read_laps_with_nan(spark, sf):
+    """NaN durations read as null; the lap's end comes from its start."""
+    nan = F.when(F.col("lap_number") % 7 == 0, F.lit(float("nan"))).otherwise(F.col("lap_duration"))
+    rows = A.laps(spark, sf).select(*L.LAP, nan.alias("lap_duration"), F.col("date").alias("date_start"))
+    return tables.read_laps(spark, _landed(spark, rows, "laps-nan")).select(*L.LAP, "lap_duration", "date")
+
+
 @query("read_stints", f"""WITH {LAPS}, {STINTS}
 SELECT session_key, driver_number, stint_number, compound, tyre_age_at_start, lap_start, lap_end FROM stints""")
 def read_stints(spark, sf):

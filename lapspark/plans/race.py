@@ -373,6 +373,13 @@ def detect_undercuts(spark, sf):
     return X.detect_undercuts(laps, A.stints(laps), A.position(spark, sf))
 
 
+@query("undercuts_long_lookahead", f"""WITH {UNDERCUTS.replace('unnest([1, 2, 3])', 'unnest(range(1, 16))')} SELECT * FROM undercuts""")
+def undercuts_long_lookahead(spark, sf):
+    """Fifteen laps ahead: the operator has no upper limit."""
+    laps = A.laps(spark, sf)
+    return X.detect_undercuts(laps, A.stints(laps), A.position(spark, sf), lookahead=15)
+
+
 @query("undercut_markers", f"""WITH {UNDERCUTS}, {CUMULATIVE.removeprefix(LAPS + ",")}
 SELECT u.session_key, u.lap, u.attacking_driver, u.defending_driver, u.type,
        round(coalesce(g.gap, 0.0), 6) AS gap
@@ -404,6 +411,14 @@ def project_finish(spark, sf):
     return X.project_finish(laps, A.stints(laps), A.position(spark, sf), laps_remaining=10)
 
 
+@query("project_finish_long", f"""WITH {PROJECTION.replace('range(1, 11)', 'range(1, 121)').replace('10 * coalesce', '120 * coalesce')}
+SELECT * FROM projection""")
+def project_finish_long(spark, sf):
+    """A hundred and twenty laps to go: the operator has no upper limit."""
+    laps = A.laps(spark, sf)
+    return X.project_finish(laps, A.stints(laps), A.position(spark, sf), laps_remaining=120)
+
+
 @query("project_finish_gaps", f"""WITH {PROJECTION}
 SELECT p.session_key, p.driver_number, p.projected_position,
        round(CASE WHEN status = 'DNF' THEN 0.0 ELSE projected_total_time - w.t END, 6) AS gap_to_winner,

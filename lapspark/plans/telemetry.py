@@ -6,9 +6,11 @@ from pyspark.sql import functions as F
 
 from lapspark.functions.scalar import upsample
 from lapspark.operators import compare as C
+from lapspark.operators import ml as M
 from lapspark.operators import profiles as R
 from lapspark.operators import telemetry as T
 from lapspark.operators.laps import DRIVER, LAP
+from lapspark.operators.quality import training_rows
 from lapspark.plans.registry import query
 from lapspark.schemas import MODEL_FEATURES, STYLE_FEATURES, STYLE_PROFILES
 from lapspark.session import materialize
@@ -33,7 +35,7 @@ sample_laps AS (
 
 
 def grid_sql(source: str, keys: str, order: str, axis: str, channels: list[str], points: int, name: str) -> str:
-    """Resampling in SQL: every sample joined with the grid points of its segment."""
+    """Resampling in SQL: every sample with the grid points around its segment, then those inside it."""
     leads = ", ".join(f"lead({c}) OVER w AS n_{c}" for c in channels)
     values = ", ".join(
         f"CASE WHEN x1 IS NULL THEN {c} ELSE (n_{c} - {c}) / (x1 - {axis}) * (g - {axis}) + {c} END AS {c}"
@@ -49,8 +51,12 @@ def grid_sql(source: str, keys: str, order: str, axis: str, channels: list[str],
   WINDOW w AS (PARTITION BY {keys} ORDER BY {order}),
          full_w AS (PARTITION BY {keys} ORDER BY {order} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
 {name}_pts AS (
-  SELECT s.*, k, CASE WHEN k = {last} THEN d1 ELSE k * ((d1 - d0) / {last}.0) + d0 END AS g
-  FROM {name}_seg s, range(0, {points}) r(k)),
+  SELECT *, CASE WHEN k = {last} THEN d1 ELSE k * ((d1 - d0) / {last}.0) + d0 END AS g
+  FROM (SELECT *, unnest(range(
+          CASE WHEN d1 > d0 THEN greatest(0, floor(({axis} - d0) / (d1 - d0) * {last}) - 1)::BIGINT ELSE 0 END,
+          CASE WHEN d1 > d0 AND x1 IS NOT NULL
+               THEN least({points}, floor((x1 - d0) / (d1 - d0) * {last}) + 2)::BIGINT ELSE {points} END)) AS k
+        FROM {name}_seg)),
 {name} AS (
   SELECT {keys}, k, g, n, {values} FROM {name}_pts
   WHERE g >= {axis} AND (x1 IS NULL OR g < x1))"""
@@ -198,7 +204,7 @@ proxy AS (
 TRACES = f"""{PROXY},
 {grid_sql('proxy', 'session_key, driver_number', 'date', 'distance', ['speed', 'throttle', 'brake'], 200, 'bydist')},
 {grid_sql('(SELECT *, CAST(i AS DOUBLE) AS ix FROM proxy)', 'session_key, driver_number', 'i', 'ix', ['elapsed'], 200, 'byindex')},
-traces AS (
+traces AS MATERIALIZED (
   SELECT d.session_key, d.driver_number, d.k, d.speed, d.throttle, d.brake, i.elapsed AS cumtime
   FROM bydist d JOIN byindex i USING (session_key, driver_number, k) WHERE d.n >= 2)"""
 
@@ -289,7 +295,7 @@ def time_delta_summary(spark, sf):
 
 SECTORS = f"""{TRACES},
 wide AS (SELECT session_key, driver_number, list(speed ORDER BY k) AS v FROM traces GROUP BY 1, 2),
-fine AS (
+fine AS MATERIALIZED (
   SELECT session_key, driver_number, k,
          (v[least(CAST(floor(k * (199 / 999.0)) AS BIGINT) + 2, 200)] - v[least(CAST(floor(k * (199 / 999.0)) AS BIGINT), 199) + 1])
            * (k * (199 / 999.0) - least(floor(k * (199 / 999.0)), 199)) + v[least(CAST(floor(k * (199 / 999.0)) AS BIGINT), 199) + 1] AS speed
@@ -378,17 +384,17 @@ def archetype(spark, sf):
     return R.archetype(R.normalised_profile(laps)).select(*DRIVER, "archetype")
 
 
-STYLE_VALUES = ", ".join(f"('{name}', {vector})" for name, _era, vector in STYLE_PROFILES)
+STYLE_VALUES = ", ".join(f"('{name}', '{era}', {vector})" for name, era, vector in STYLE_PROFILES)
 
 
 @query("style_matches", f"""WITH {NORMALISED},
-styles(name, vector) AS (VALUES {STYLE_VALUES}),
+styles(name, era, vector) AS (VALUES {STYLE_VALUES}),
 asked AS (SELECT session_key || '/' || driver_number AS query_id,
                  CAST([{', '.join(STYLE_FEATURES)}] AS DOUBLE[]) AS v FROM normalised),
 scored AS (
-  SELECT query_id, name, CASE WHEN list_inner_product(v, v) < 1e-18 THEN 0.0
+  SELECT query_id, name, era, CASE WHEN list_inner_product(v, v) < 1e-18 THEN 0.0
          ELSE list_cosine_similarity(v, CAST(vector AS DOUBLE[])) END AS similarity FROM asked, styles)
-SELECT query_id, rank, name, round(similarity, 6) AS similarity FROM (
+SELECT query_id, rank, name, era, round(similarity, 6) AS similarity FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, name) AS rank FROM scored)
 WHERE rank <= 2""")
 def style_matches(spark, sf):
@@ -400,6 +406,33 @@ def style_matches(spark, sf):
     return R.cosine_topk(asked, R.style_profiles(spark), 2)
 
 
+TRAINING = f"""{FEATURES},
+training AS (
+  SELECT {KEYS}, CAST(driver_number AS VARCHAR) AS label, session_key || '/' || driver_number || '/' || lap_number AS id,
+         {', '.join(f'coalesce({f}, 0.0) AS {f}' if f == 'steer_std' else f for f in MODEL_FEATURES)}
+  FROM timed WHERE {' AND '.join(f'{f} IS NOT NULL' for f in MODEL_FEATURES if f != 'steer_std')})"""
+
+
+def training_table_rows(spark, sf):
+    """Complete lap features with the driver as class: what the classifier is trained on."""
+    laps = T.lap_features(A.samples(spark, sf)).join(A.sample_laps(spark, sf), LAP)
+    return training_rows(laps).select(
+        *LAP, F.col("driver_number").cast("string").alias("label"), F.concat_ws("/", *LAP).alias("id"), *MODEL_FEATURES)
+
+
+@query("training_table", f"""WITH {TRAINING}
+SELECT {KEYS}, label, {rounded(MODEL_FEATURES)} FROM training""")
+def training_table(spark, sf):
+    return training_table_rows(spark, sf).drop("id")
+
+
+@query("training_folds", f"""WITH {TRAINING}, n AS (SELECT label, count(*) AS n FROM training GROUP BY 1)
+SELECT label, f.fold, CAST((n - f.fold + 4) // 5 AS BIGINT) AS rows FROM n, range(0, 5) f(fold) WHERE (n - f.fold + 4) // 5 > 0""")
+def training_folds(spark, sf):
+    folds = M.stratified_folds(training_table_rows(spark, sf))
+    return folds.groupBy("label", "fold").agg(F.count(F.lit(1)).alias("rows"))
+
+
 @query("percentile_rank", f"""WITH {FEATURES},
 long AS (SELECT session_key, driver_number, lap_number, f.feature, f.value FROM timed,
   LATERAL (VALUES {', '.join(f"('{f}', CAST({f} AS DOUBLE))" for f in MODEL_FEATURES)}) f(feature, value))

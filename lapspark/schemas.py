@@ -98,6 +98,8 @@ SESSION_LABELS = {
     "FP2": "Practice 2",
     "FP3": "Practice 3",
 }
+# Request limits: lowest and highest value.
+ARGUMENT_LIMITS = {"window": (2, 15), "top_n": (1, 20), "lookahead": (1, 10), "laps_remaining": (1, 80)}
 # Twelve-dimensional driving-style profiles in STYLE_FEATURES order: name, era, vector.
 STYLE_PROFILES = [
     ("Michael Schumacher", "1991–2012", [0.85, 0.80, 0.55, 0.80, 0.35, 0.78, 0.90, 0.88, 0.85, 0.0, 0.78, 0.05]),

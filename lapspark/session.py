@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -40,10 +42,11 @@ def _shared_base(spark: SparkSession) -> str:
 
 
 _RUN = uuid.uuid4().hex
+_SCOPES: list[str] = []
 
 
 def _run_dir(spark: SparkSession) -> str:
-    return f"{_shared_base(spark).rstrip('/')}/lapspark-{_RUN}"
+    return "/".join([_shared_base(spark).rstrip("/"), f"lapspark-{_RUN}", *_SCOPES])
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
@@ -63,7 +66,24 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def remove_folder(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def drop_materialized(spark: SparkSession) -> None:
     """Remove every table this run has written to the shared folder (call when it is over)."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(_run_dir(spark))
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    remove_folder(spark, _run_dir(spark))
+
+
+@contextmanager
+def scratch_tables(spark: SparkSession) -> Iterator[None]:
+    """Tables that are materialized inside are removed at the end; results must be written before."""
+    _SCOPES.append(uuid.uuid4().hex)
+    try:
+        yield
+    finally:
+        try:
+            drop_materialized(spark)
+        finally:
+            _SCOPES.pop()

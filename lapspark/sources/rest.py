@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from lapspark.sources.tables import without_nan
+
 
 class EndpointPartition(InputPartition):
     def __init__(self, endpoint: str, session_key: str) -> None:
@@ -77,11 +79,18 @@ def read_rest(spark: SparkSession, **options: str) -> DataFrame:
 
 
 def parse_payload(raw: DataFrame, endpoint: str, schema: T.StructType) -> DataFrame:
-    """Typed rows of one endpoint; absent fields and unreadable timestamps become null."""
+    """Typed rows of one endpoint; absent fields, unreadable timestamps and NaN become null.
+
+    ``extra`` holds the fields the schema does not name, as JSON text by name.
+    """
     text = T.StructType(
         [T.StructField(f.name, T.StringType() if isinstance(f.dataType, T.TimestampType) else f.dataType) for f in schema]
     )
     rows = raw.where((F.col("endpoint") == endpoint) & F.col("payload").isNotNull())
-    parsed = rows.select(F.from_json("payload", text).alias("_r")).select("_r.*")
+    fields = F.from_json("payload", "map<string,string>")
+    known = F.array(*[F.lit(f.name) for f in schema])
+    parsed = rows.select(
+        F.from_json("payload", text).alias("_r"), F.map_filter(fields, lambda k, v: ~F.array_contains(known, k)).alias("extra")
+    ).select("_r.*", "extra")
     stamps = [f.name for f in schema if isinstance(f.dataType, T.TimestampType)]
-    return parsed.withColumns({c: F.try_to_timestamp(c) for c in stamps})
+    return without_nan(parsed.withColumns({c: F.try_to_timestamp(c) for c in stamps}))

@@ -10,14 +10,20 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lapspark import schemas
+from lapspark.operators.laps import normalise_laps
 from lapspark.schemas import SESSION_LABELS
 
 
 def read_table(
-    spark: SparkSession, path: str, schema: T.StructType, fmt: str = "parquet", session_key: int | None = None
+    spark: SparkSession, path: str, schema: T.StructType, fmt: str = "parquet", session_key: int | None = None,
+    extra: bool = False,
 ) -> DataFrame:
-    """Rows of one table. JSON fields that are absent read as null; timestamps that cannot be parsed
-    become null. A session filter reaches the partition directories."""
+    """Rows of one table. Absent JSON fields read as null; timestamps that cannot be parsed become null, and so does
+    NaN. A session filter reaches the partition directories.
+
+    Further columns of Parquet files stay. Those of JSON files stay with ``extra``, which costs a pass over the files to
+    find their names; without it the files are read once, by the schema.
+    """
     if fmt == "json":
         text = T.StructType(
             [
@@ -25,16 +31,27 @@ def read_table(
                 for f in schema.fields
             ]
         )
+        if extra:
+            found = spark.read.json(path).schema
+            text = T.StructType([*text.fields, *[f for f in found.fields if f.name not in text.names]])
         df = spark.read.schema(text).json(path)
         stamps = [f.name for f in schema.fields if isinstance(f.dataType, T.TimestampType)]
         df = df.withColumns({c: F.try_to_timestamp(c) for c in stamps})
     else:
         df, _ = schemas.ensure_columns(spark.read.format(fmt).load(path), schema)
+    df = without_nan(df)
     return df if session_key is None else df.where(F.col("session_key") == session_key)
 
 
+def without_nan(df: DataFrame) -> DataFrame:
+    """NaN in any column of doubles or floats becomes null."""
+    floating = [f.name for f in df.schema.fields if isinstance(f.dataType, (T.DoubleType, T.FloatType))]
+    return df.withColumns({c: F.nanvl(F.col(c), F.lit(None).cast(df.schema[c].dataType)) for c in floating})
+
+
 def read_laps(spark, path, fmt="parquet", session_key=None) -> DataFrame:
-    return read_table(spark, path, schemas.LAPS, fmt, session_key)
+    """Laps with ``date``, the lap's end, derived from start and duration where the files lack it."""
+    return normalise_laps(read_table(spark, path, schemas.LAPS, fmt, session_key))
 
 
 def read_stints(spark, path, fmt="parquet", session_key=None) -> DataFrame:
@@ -103,14 +120,11 @@ def session_meta(spark: SparkSession, session_key: int, year: int, grand_prix: s
 def write_by_session(df: DataFrame, path: str) -> None:
     """Overwrite only the sessions present in ``df``.
 
-    Rows are spread over (session, hash) before writing: files stay few, yet a hot session is not
-    written by a single task.
+    Rows are gathered by session before writing, so files stay few; adaptive execution splits a hot
+    session by its measured size, so it is not written by a single task.
     """
-    spread = F.pmod(F.xxhash64(*[c for c in df.columns if c in ("driver_number", "lap_number")]), F.lit(16))
     (
-        df.withColumn("_spread", spread)
-        .repartition("session_key", "_spread")
-        .drop("_spread")
+        df.hint("rebalance", "session_key")
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("session_key")

@@ -1,8 +1,8 @@
 """Structured Streaming: incremental tables, duplicate suppression and live analytics.
 
-The stream checkpoint owns the read position, so no high-water mark is kept by hand. Late rows
-beyond the watermark are left out of the de-duplicated stream and counted in the query progress;
-a batch backfill repairs them.
+The stream checkpoint owns the read position, so no high-water mark is kept by hand. Rows beyond the
+watermark are left out of the de-duplicated stream and counted in the query progress;
+``add_late_rows`` adds them from the source table.
 """
 
 from __future__ import annotations
@@ -16,11 +16,11 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from lapspark import schemas
-from lapspark.operators.joins import attach
-from lapspark.operators.laps import DRIVER, LAP, gap_to_leader, pace_summary, rolling_pace
+from lapspark.operators.laps import DRIVER, LAP, gap_to_leader, normalise_laps, pace_summary, rolling_pace
 from lapspark.operators.stints import stint_degradation
 from lapspark.operators.strategy import detect_undercuts, project_finish
-from lapspark.session import materialize
+from lapspark.session import materialize, remove_folder, scratch_tables
+from lapspark.sources.tables import without_nan
 
 WATERMARK = "10 minutes"
 
@@ -78,6 +78,11 @@ def _overwrite_sessions(df: DataFrame, path: str) -> None:
     )
 
 
+def _touched(batch: DataFrame) -> list[int]:
+    """Sessions of a micro-batch: a few numbers that steer partition pruning."""
+    return [r.session_key for r in batch.select("session_key").distinct().collect() if r.session_key is not None]
+
+
 def upsert_latest_position(path: str) -> Callable[[DataFrame, int], None]:
     """``foreachBatch`` function keeping the newest position per driver in a table by session.
 
@@ -89,13 +94,13 @@ def upsert_latest_position(path: str) -> Callable[[DataFrame, int], None]:
         fresh = batch.where(F.col("position").isNotNull()).groupBy(*DRIVER).agg(newest)
         fresh = fresh.select(*DRIVER, "_last.position", "_last.date")
         old = _stored(batch.sparkSession, path)
-        if old is not None:
-            touched = fresh.select("session_key").distinct()
-            old = attach(old.select(*fresh.columns), touched, ["session_key"], ["driver_number"], "left_semi")
-            both = fresh.unionByName(old).groupBy(*DRIVER).agg(newest)
-            fresh = both.select(*DRIVER, "_last.position", "_last.date")
-        # The result is written before its own source is replaced.
-        _overwrite_sessions(materialize(fresh), path)
+        with scratch_tables(batch.sparkSession):
+            if old is not None:
+                old = old.select(*fresh.columns).where(F.col("session_key").isin(_touched(batch)))
+                both = fresh.unionByName(old).groupBy(*DRIVER).agg(newest)
+                fresh = both.select(*DRIVER, "_last.position", "_last.date")
+            # The result is written before its own source is replaced.
+            _overwrite_sessions(materialize(fresh), path)
 
     return apply
 
@@ -110,41 +115,74 @@ ANALYTICS: dict[str, Analytic] = {
     "undercuts": lambda laps, stints, position: detect_undercuts(laps, stints, position),
     "projection": lambda laps, stints, position: project_finish(laps, stints, position),
 }
+#: Per kind of row: its schema and what makes a row replace an earlier one.
+KINDS: dict[str, tuple[T.StructType, list[str]]] = {
+    "laps": (schemas.LAPS, LAP),
+    "stints": (schemas.STINTS, [*DRIVER, "stint_number"]),
+    "position": (schemas.POSITION, [*DRIVER, "date"]),
+}
+
+
+def _session_rows(spark: SparkSession, store: str, kind: str, sessions: Sequence[int]) -> DataFrame:
+    """Newest version of every stored row of these sessions; only their partitions are read."""
+    schema, key = KINDS[kind]
+    stored = _stored(spark, f"{store}/{kind}")
+    if stored is None:
+        return spark.createDataFrame([], schema)
+    rows = stored.where(F.col("session_key").isin(list(sessions)))
+    rest = [c for c in rows.columns if c not in (*key, "batch_id")]
+    newest = F.max_by(F.struct(*rest), "batch_id").alias("_row") if rest else F.count(F.lit(1)).alias("_row")
+    out = rows.groupBy(*key).agg(newest)
+    return out.select(*key, "_row.*") if rest else out.select(*key)
 
 
 def live_analytics(
-    store: str, results: str, stints: DataFrame, position: DataFrame, analytics: Mapping[str, Analytic] | None = None
+    store: str, results: str, kind: str = "laps", analytics: Mapping[str, Analytic] | None = None
 ) -> Callable[[DataFrame, int], None]:
-    """``foreachBatch`` function: store new laps, then recompute the sessions they belong to.
+    """``foreachBatch`` function for one kind of rows (laps, stints or position): store, then recompute.
 
-    Every batch lands in its own ``(session_key, batch_id)`` partitions, so replaying it overwrites
-    the same files. The whole session is analysed, not only the rows of the latest batch.
+    Every batch lands in its own ``(session_key, batch_id)`` partitions of ``store/kind``, so replaying it overwrites
+    the same files. Then the touched sessions are analysed as a whole, from all that is stored of the three kinds. Their
+    partitions of the results are replaced, also by nothing if a correction leaves no row. Intermediates are removed
+    when the batch is done.
     """
     wanted = dict(ANALYTICS if analytics is None else analytics)
 
     def apply(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
+        sessions = _touched(batch)
         (
             batch.withColumn("batch_id", F.lit(batch_id))
             .write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
             .partitionBy("session_key", "batch_id")
-            .parquet(store)
+            .parquet(f"{store}/{kind}")
         )
-        stored = spark.read.parquet(store)
-        touched = materialize(stored.where(F.col("batch_id") == batch_id).select("session_key").distinct())
-        rest = [c for c in stored.columns if c not in (*LAP, "batch_id")]
-        laps = attach(stored, touched, ["session_key"], ["driver_number", "lap_number"], "left_semi")
-        newest = F.max_by(F.struct(*rest), "batch_id").alias("_row")
-        laps = materialize(laps.groupBy(*LAP).agg(newest).select(*LAP, "_row.*"))
-        own_stints = attach(stints, touched, ["session_key"], ["driver_number", "lap_start"], "left_semi")
-        own_position = attach(position, touched, ["session_key"], ["driver_number", "date"], "left_semi")
-        for name, fn in wanted.items():
-            _overwrite_sessions(fn(laps, own_stints, own_position), f"{results}/{name}")
+        with scratch_tables(spark):
+            laps, stints, position = (materialize(_session_rows(spark, store, k, sessions)) for k in KINDS)
+            laps = normalise_laps(without_nan(laps))
+            for name, fn in wanted.items():
+                found = materialize(fn(laps, stints, position))
+                _overwrite_sessions(found, f"{results}/{name}")
+                for gone in set(sessions) - set(_touched(found)):
+                    remove_folder(spark, f"{results}/{name}/session_key={gone}")
 
     return apply
 
 
+def add_late_rows(source: DataFrame, path: str, keys: Sequence[str]) -> None:
+    """Append to a de-duplicated table the rows of ``source`` whose key it lacks, one for each key.
+
+    This is the batch repair of what arrived beyond the watermark. Running it again adds nothing.
+    """
+    stored = _stored(source.sparkSession, path)
+    fresh = source.dropDuplicates(list(keys))
+    if stored is not None:
+        fresh = fresh.join(stored.select(*keys), list(keys), "left_anti").select(*stored.columns)
+    with scratch_tables(source.sparkSession):
+        materialize(fresh).write.mode("append").parquet(path)
+
+
 def start(
     stream: DataFrame, apply: Callable[[DataFrame, int], None], checkpoint: str, interval: str | None = None
 ) -> StreamingQuery:

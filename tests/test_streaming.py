@@ -1,10 +1,12 @@
 import datetime as dt
+import os
 
-from lapspark.operators.laps import gap_to_leader
+from lapspark import schemas
+from lapspark.operators.laps import normalise_laps
 from lapspark.operators.positions import latest_position
-from lapspark.session import shared_dir
+from lapspark.session import _run_dir, shared_dir
 from lapspark.streaming import live
-from tests.conftest import LAPS, POSITION, STINTS
+from tests.conftest import POSITION
 
 START = dt.datetime(2026, 1, 1)
 
@@ -13,24 +15,76 @@ def rows_of(df):
     return sorted(map(tuple, df.collect()))
 
 
-def test_live_analytics_equals_batch_and_replays(spark):
-    laps = [(s, d, i, 90.0 + d + i / 10, False, START + dt.timedelta(seconds=90 * i)) for s in (1, 2) for d in (1, 2, 3) for i in range(1, 7)]
-    landing, results, store = (shared_dir(spark, n) for n in ("landing", "results", "store"))
-    stints = spark.createDataFrame([(s, d, 1, "SOFT", 0, 1, 9) for s in (1, 2) for d in (1, 2, 3)], STINTS)
-    position = spark.createDataFrame([(r[0], r[1], r[1], r[5]) for r in laps], POSITION)
-    apply = live.live_analytics(store, results, stints, position)
-    state = shared_dir(spark, "state")
+def land(spark, kind, rows, schema, folder, apply, state):
+    spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(folder)
+    stream = {"laps": live.stream_laps, "stints": live.stream_stints, "position": live.stream_position}[kind]
+    live.run_available(stream(spark, folder), apply, state)
+
+
+def folders(spark):
+    folder = iter(shared_dir(spark, f"live{k}") for k in range(99))
+    store, results = next(folder), next(folder)
+    kinds = {k: (next(folder), next(folder), live.live_analytics(store, results, k)) for k in live.KINDS}
+
+    def arrive(kind, rows):
+        landing, state, apply = kinds[kind]
+        land(spark, kind, rows, live.KINDS[kind][0], landing, apply, state)
+
+    return results, arrive, kinds
+
+
+def race(sessions=(1, 2)):
+    laps = [(s, d, i, 90.0 + d + i / 10, False, None, START + dt.timedelta(seconds=90 * i)) for s in sessions for d in (1, 2, 3) for i in range(1, 7)]
+    stints = [(s, d, k + 1, "SOFT", 0, 1 + 3 * k, 3 + 3 * k) for s in sessions for d in (1, 2, 3) for k in (0, 1)]
+    position = [(s, d, d if i < 4 else 4 - d, START + dt.timedelta(seconds=90 * i + 200)) for s in sessions for d in (1, 2, 3) for i in range(1, 7)]
+    return laps, stints, position
+
+
+def test_live_analytics_equal_batch_and_replays(spark):
+    laps, stints, position = race()
+    results, arrive, kinds = folders(spark)
+    os.makedirs(_run_dir(spark), exist_ok=True)
+    before = set(os.listdir(_run_dir(spark)))
     for part in (laps[:20], laps[20:]):
-        spark.createDataFrame(part, LAPS).coalesce(1).write.mode("append").parquet(landing)
-        stream = live.stream_table(spark, landing, spark.read.parquet(landing).schema)
-        live.run_available(stream, apply, state)
-    want = gap_to_leader(spark.createDataFrame(laps, LAPS))
-    got = spark.read.parquet(f"{results}/gap_to_leader").select(*want.columns)
-    assert rows_of(got) == rows_of(want)
-    assert spark.read.parquet(f"{results}/projection").count() == 6
-    apply(spark.createDataFrame(laps[20:], LAPS), 1)  # a replayed batch changes nothing
-    assert rows_of(spark.read.parquet(f"{results}/gap_to_leader").select(*want.columns)) == rows_of(want)
-    assert spark.read.parquet(store).count() == len(laps)
+        arrive("laps", part)
+    arrive("position", position)
+    arrive("stints", stints)
+    frames = [
+        normalise_laps(spark.createDataFrame(laps, schemas.LAPS)), spark.createDataFrame(stints, schemas.STINTS),
+        spark.createDataFrame(position, schemas.POSITION),
+    ]
+    for name, fn in live.ANALYTICS.items():
+        want = fn(*frames)
+        got = spark.read.parquet(f"{results}/{name}").select(*want.columns)
+        assert rows_of(got) == rows_of(want), name
+    assert spark.read.parquet(f"{results}/undercuts").count() > 0
+    known = rows_of(spark.read.parquet(f"{results}/gap_to_leader"))
+    kinds["laps"][2](spark.createDataFrame(laps[20:], schemas.LAPS), 1)  # a replayed batch changes nothing
+    assert rows_of(spark.read.parquet(f"{results}/gap_to_leader")) == known
+    left = set(os.listdir(_run_dir(spark))) - before
+    assert all(x.startswith("live") for x in left)
+
+
+def test_corrections_replace_old_results(spark):
+    laps, stints, position = race()
+    results, arrive, _ = folders(spark)
+    arrive("laps", laps)
+    # A correction leaves session 2 without any valid lap: its rows go, those of session 1 stay.
+    arrive("laps", [(*r[:3], float("nan"), *r[4:]) for r in laps if r[0] == 2])
+    assert {r.session_key for r in spark.read.parquet(f"{results}/gap_to_leader").collect()} == {1}
+    # Positions that come later change the projection of their own session.
+    arrive("position", [r for r in position if r[0] == 1])
+    told = spark.read.parquet(f"{results}/projection").where("session_key = 1").collect()
+    assert sorted(r.current_position for r in told) == [1, 2, 3]
+
+
+def test_late_rows_are_added_from_the_source(spark):
+    out = shared_dir(spark, "unique")
+    source = spark.createDataFrame([(1, 1, 4, START), (1, 1, 4, START), (1, 2, 4, START)], POSITION)
+    source.limit(1).write.parquet(out)
+    for _ in range(2):
+        live.add_late_rows(source, out, ["session_key", "driver_number", "date"])
+    assert spark.read.parquet(out).count() == 2
 
 
 def test_latest_position_upsert(spark):
