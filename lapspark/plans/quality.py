@@ -512,7 +512,7 @@ def live_rolling_pace(spark, sf):
     return _live(spark, sf, "rolling_pace")
 
 
-@query("live_pace_summary", ORACLES["pace_summary"])
+@query("live_pace_summary", ORACLES["pace_summary"], digits=9)
 def live_pace_summary(spark, sf):
     return _live(spark, sf, "pace_summary")
 
