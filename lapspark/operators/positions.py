@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lapspark.functions.scalar import sequence_bucket, time_bucket
+from lapspark.operators.joins import interval_join
 from lapspark.operators.laps import DRIVER, LAP, SESSION
 from lapspark.operators.ordered import asof_backward, row_number_in_order, with_neighbours
 from lapspark.session import materialize
@@ -68,9 +69,42 @@ def lap_positions(position: DataFrame, laps: DataFrame) -> DataFrame:
     return grid.join(lap_index, ["session_key", "_i"]).select(*LAP, "position")
 
 
+def position_spans(position: DataFrame, laps: DataFrame) -> DataFrame:
+    """Each reported position with the laps ``from_lap`` to ``to_lap`` it holds for; spans of a driver never overlap.
+
+    The last one ends with the session. Lookups on spans need no row per driver and lap.
+    """
+    last = laps.groupBy(*SESSION).agg(F.max("lap_number").alias("_session_last"))
+    known = recorded_positions(position, laps).where(F.col("position").isNotNull())
+    spans = with_neighbours(
+        known, DRIVER, ["lap_number"], sequence_bucket("lap_number"), lead={"_n": F.col("lap_number")}
+    )
+    to_lap = F.when(F.col("_has_lead"), F.col("_n") - 1).otherwise(F.col("_session_last"))
+    return spans.join(last, SESSION).select(
+        *DRIVER, F.col("lap_number").alias("from_lap"), to_lap.alias("to_lap"), "position"
+    )
+
+
+def _driven(rows: DataFrame, laps: DataFrame) -> DataFrame:
+    """Rows whose lap somebody of the session has driven; a position is defined on those only."""
+    keys = ["session_key", "lap_number"]
+    return rows.join(laps.select(*keys).distinct(), keys, "left_semi")
+
+
+def session_positions(wanted: DataFrame, position: DataFrame, laps: DataFrame) -> DataFrame:
+    """Every driver's known position on the wanted laps of a session (``session_key, lap_number``, more columns stay)."""
+    return interval_join(
+        _driven(wanted, laps), position_spans(position, laps), SESSION, "lap_number", "from_lap", "to_lap"
+    ).drop("from_lap", "to_lap")
+
+
 def position_at(requests: DataFrame, position: DataFrame, laps: DataFrame) -> DataFrame:
     """Position for requested (driver, lap) rows; null when unknown."""
-    return requests.select(*LAP).distinct().join(lap_positions(position, laps), LAP, "left")
+    asked = requests.select(*LAP).distinct()
+    found = interval_join(
+        _driven(asked, laps), position_spans(position, laps), DRIVER, "lap_number", "from_lap", "to_lap"
+    )
+    return asked.join(found.select(*LAP, "position"), LAP, "left")
 
 
 def latest_position(position: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,11 +15,12 @@ from lapspark.operators.laps import (
     SESSION,
     clean_laps,
     gap_to_leader,
+    restrict_drivers,
     top_per_key,
     valid_laps,
 )
 from lapspark.operators.ordered import row_number_in_order, with_neighbours
-from lapspark.operators.positions import lap_positions, position_on_lap
+from lapspark.operators.positions import position_on_lap, session_positions
 from lapspark.operators.stints import laps_with_stints
 from lapspark.schemas import DEGRADATION_FREE_LAPS, DEGRADATION_PER_LAP
 from lapspark.session import materialize
@@ -67,9 +70,9 @@ def _cells(df: DataFrame, low_dim: int) -> DataFrame:
 
 
 def detect_undercuts(
-    laps: DataFrame, stints: DataFrame, position: DataFrame, lookahead: int = 3
+    laps: DataFrame, stints: DataFrame, position: DataFrame, lookahead: int = 3, drivers: Sequence | None = None
 ) -> DataFrame:
-    """Position swaps around pit stops.
+    """Position swaps around pit stops, among ``drivers`` if given (an event depends on its two drivers only).
 
     Driver A pits; driver B does not pit on that lap. A was behind and gets ahead within
     ``lookahead`` laps: undercut by A. A was not behind and is then not ahead: overcut by B.
@@ -78,6 +81,7 @@ def detect_undercuts(
     so the pairs examined follow the number of swaps and not the square of the field.
     """
     at_least(1, lookahead=lookahead)
+    stints = restrict_drivers(stints, drivers)
     pits = pit_laps(stints)
     runners = stints.select(*DRIVER).distinct()
     offsets = [-1, *range(1, lookahead + 1)]
@@ -89,9 +93,7 @@ def detect_undercuts(
         .groupBy("session_key", "lap_number")
         .agg(F.collect_list(F.struct("pit_lap", "_off")).alias("_wanted"))
     )
-    grid = lap_positions(position, laps).where(F.col("position").isNotNull())
-    grid = grid.join(runners, DRIVER, "left_semi")
-    around = grid.join(wanted, ["session_key", "lap_number"])
+    around = session_positions(wanted, position.join(runners, DRIVER, "left_semi"), laps)
     around = around.select(*DRIVER, F.col("position").cast("long"), F.inline("_wanted"))
     at = [F.max(F.when(F.col("_off") == o, F.col("position"))) for o in offsets]
     seen = materialize(

@@ -179,8 +179,7 @@ ALLOWED = list(range(40))
 SELECT * FROM undercuts WHERE attacking_driver < 40 AND defending_driver < 40""")
 def restrict_drivers(spark, sf):
     laps = A.laps(spark, sf)
-    events = X.detect_undercuts(laps, A.stints(laps), A.position(spark, sf))
-    return L.restrict_drivers(events, ALLOWED, "attacking_driver", "defending_driver")
+    return X.detect_undercuts(laps, A.stints(laps), A.position(spark, sf), drivers=ALLOWED)
 
 
 @query("distinct_drivers", """SELECT DISTINCT user_id % 5 AS session_key, user_id AS driver_number FROM events""")
