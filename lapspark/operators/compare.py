@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lapspark.functions.scalar import upsample
@@ -27,21 +27,23 @@ def lap_pairs(traces: DataFrame, pairs: DataFrame) -> DataFrame:
 
 def time_delta(pairs: DataFrame) -> DataFrame:
     """Cumulative time difference per grid point; positive means A is ahead."""
-    both = F.arrays_zip(F.col("cumtime_a").alias("a"), F.col("cumtime_b").alias("b"))
-    points = pairs.select(*PAIR, F.size("cumtime_a").alias("_n"), F.posexplode(both).alias("k", "_p"))
-    delta = F.col("_p.b") - F.col("_p.a")
-    rows = points.select(
+    deltas = pairs.select(*PAIR, F.zip_with("cumtime_a", "cumtime_b", lambda a, b: b - a).alias("_d"))
+    # The next point stands in the same array, so no point travels to find its neighbour.
+    change = F.transform(
+        "_d", lambda x, k: F.coalesce(F.signum(F.get(F.col("_d"), k + 1)) != F.signum(x), F.lit(False)))
+    points = deltas.select(
+        *PAIR, F.size("_d").alias("_n"),
+        F.posexplode(F.arrays_zip(F.col("_d").alias("delta"), change.alias("lead_change"))).alias("k", "_p"),
+    )
+    delta = F.col("_p.delta")
+    return points.select(
         *PAIR,
         "k",
         (F.col("k") * 100.0 / (F.col("_n") - 1)).alias("lap_pct"),
         delta.alias("delta"),
         F.when(delta >= 0, delta).otherwise(0.0).alias("ahead_a"),
         F.when(delta < 0, delta).otherwise(0.0).alias("ahead_b"),
-    )
-    along = Window.partitionBy(*PAIR).orderBy("k")
-    following = F.lead(F.signum("delta")).over(along)
-    return rows.withColumn(
-        "lead_change", F.coalesce(following != F.signum("delta"), F.lit(False))
+        F.col("_p.lead_change").alias("lead_change"),
     )
 
 
@@ -69,26 +71,32 @@ def time_delta_summary(delta: DataFrame) -> DataFrame:
     )
 
 
+def _winners(points: int) -> Column:
+    """The faster driver between neighbouring display points (ties go to A)."""
+    faster = F.zip_with(
+        upsample(F.col("speed_trace_a"), points), upsample(F.col("speed_trace_b"), points),
+        lambda a, b: F.when(a >= b, "a").otherwise("b"),
+    )
+    return F.slice(faster, 1, points - 1)
+
+
 def microsectors(pairs: DataFrame, points: int = DISPLAY_POINTS) -> DataFrame:
     """Faster driver on each gap between neighbouring display points (ties go to A)."""
-    both = F.arrays_zip(
-        upsample(F.col("speed_trace_a"), points).alias("a"),
-        upsample(F.col("speed_trace_b"), points).alias("b"),
-    )
-    rows = pairs.select(*PAIR, F.posexplode(both).alias("k", "_p"))
-    return rows.where(F.col("k") < points - 1).select(
-        *PAIR, "k", F.when(F.col("_p.a") >= F.col("_p.b"), "a").otherwise("b").alias("winner")
-    )
+    return pairs.select(*PAIR, F.posexplode(_winners(points)).alias("k", "winner"))
 
 
-def microsector_runs(sectors: DataFrame) -> DataFrame:
+def microsector_runs(pairs: DataFrame, points: int = DISPLAY_POINTS) -> DataFrame:
     """Consecutive microsectors with one winner merged; neighbouring runs share a display point."""
-    along = Window.partitionBy(*PAIR).orderBy("k")
-    started = F.coalesce(F.lag("winner").over(along) != F.col("winner"), F.lit(False)).cast("int")
-    marked = sectors.withColumn("_new", started)
-    runs = marked.withColumn("run", F.sum("_new").over(along))
-    return runs.groupBy(*PAIR, "run").agg(
-        F.first("winner").alias("winner"),
-        F.min("k").alias("first_point"),
-        (F.max("k") + 1).alias("last_point"),
+    won = pairs.select(*PAIR, _winners(points).alias("_w"))
+    new = F.filter(
+        F.sequence(F.lit(0), F.size("_w") - 1),
+        lambda k: (k == 0) | (F.get(F.col("_w"), k - 1) != F.get(F.col("_w"), k)),
+    )
+    runs = F.transform(
+        "_new",
+        lambda k, i: F.struct(
+            i.cast("long").alias("run"), F.get(F.col("_w"), k).alias("winner"), k.alias("first_point"),
+            F.coalesce(F.get(F.col("_new"), i + 1), F.size("_w")).alias("last_point"),
+        ),
     )
+    return won.where(F.size("_w") > 0).withColumn("_new", new).select(*PAIR, F.inline(runs))

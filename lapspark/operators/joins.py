@@ -10,10 +10,26 @@ from pyspark.sql import functions as F
 CELL_BITS = 5
 
 
+def join_per_key(rows: DataFrame, stats: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Rows with what was aggregated for each of ``keys``; one key may hold a large share of the rows.
+
+    An aggregate is already dealt by its keys, and a join that reuses this cannot be split. With the keys' hash as one
+    more join key both sides are dealt for the join itself: adaptive execution then broadcasts a small side by its
+    measured size and splits the partitions of hot keys.
+    """
+    # Hashes depend on the type, so the statistics take that of the rows.
+    theirs = F.xxhash64(*[F.col(k).cast(rows.schema[k].dataType) for k in keys])
+    joined = rows.withColumn("_hash", F.xxhash64(*keys)).join(stats.withColumn("_hash", theirs), [*keys, "_hash"], how)
+    return joined.drop("_hash")
+
+
 def _levels(length: Column) -> Column:
-    """Smallest level whose cell (32 ** (level + 1) units) is at least as long as the interval."""
-    level = F.lit(6)
-    for k in range(5, -1, -1):
+    """Smallest level whose cell (32 ** (level + 1) units) is at least as long as the interval.
+
+    Level 11 covers every 64-bit length.
+    """
+    level = F.lit(11)
+    for k in range(10, -1, -1):
         level = F.when(length <= (1 << (CELL_BITS * (k + 1))), F.lit(k)).otherwise(level)
     return level
 
@@ -43,7 +59,7 @@ def interval_join(
         F.explode(F.sequence(_cell(F.col(start), F.col("_level")), _cell(F.col(end), F.col("_level")))),
     )
     used = bounded.groupBy(*by).agg(F.sort_array(F.collect_set("_level")).alias("_levels"))
-    probes = points.join(used, by)
+    probes = join_per_key(points, used, by)
     probes = probes.withColumn("_level", F.explode("_levels")).withColumn(
         "_cell", _cell(F.col(point), F.col("_level"))
     )

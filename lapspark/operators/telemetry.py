@@ -16,7 +16,7 @@ from lapspark.functions.scalar import (
     sequence_bucket,
     time_bucket,
 )
-from lapspark.operators.joins import interval_join
+from lapspark.operators.joins import join_per_key
 from lapspark.operators.laps import DRIVER, LAP, fastest_laps, quick_laps, top_per_key
 from lapspark.operators.ordered import row_number_in_order, with_neighbours, with_running
 from lapspark.schemas import MIN_SAMPLES_PER_LAP, OUTLINE_POINTS, TRACE_POINTS
@@ -153,7 +153,7 @@ def timed_lap_features(
 ) -> DataFrame:
     """Features of quick laps together with their lap time: the training table."""
     quick = quick_laps(lap_times, ratio).select(*keys, "lap_time_seconds")
-    kept = samples.join(quick.select(*keys), keys, "left_semi")
+    kept = samples.join(quick.select(*keys), list(keys), "left_semi")
     return lap_features(kept, keys).join(quick, list(keys))
 
 
@@ -194,7 +194,11 @@ def distance_proxy(
 def fastest_lap_samples(
     laps: DataFrame, car_data: DataFrame, slack_seconds: float = 0.5
 ) -> DataFrame:
-    """Car data of each driver's fastest lap, both ends inclusive, with a small tail."""
+    """Car data of each driver's fastest lap, both ends inclusive, with a small tail.
+
+    There is one window per driver, so car data meets it in a plain join with the range as a filter: at most one shuffle
+    of car data, none where the windows are small enough to be broadcast.
+    """
     best = fastest_laps(laps).where(F.col("date_start").isNotNull())
     begin = micros("date_start")
     windows = best.select(
@@ -205,7 +209,8 @@ def fastest_lap_samples(
         micros(add_seconds(F.col("date_start"), F.col("lap_duration") + slack_seconds)).alias("_to"),
     )
     points = car_data.where(F.col("date").isNotNull()).withColumn("_at", micros("date"))
-    return interval_join(points, windows, DRIVER, "_at", "_from", "_to").drop("_at", "_from", "_to")
+    inside = join_per_key(points, windows, DRIVER).where(F.col("_at").between(F.col("_from"), F.col("_to")))
+    return inside.drop("_at", "_from", "_to")
 
 
 def fastest_lap_traces(

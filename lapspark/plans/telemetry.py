@@ -327,7 +327,7 @@ r AS (SELECT *, CAST(sum(new) OVER (PARTITION BY session_key, driver_a, driver_b
 SELECT session_key, driver_a, driver_b, run, any_value(winner) AS winner, min(k) AS first_point,
        max(k) + 1 AS last_point FROM r GROUP BY 1, 2, 3, 4""")
 def microsector_runs(spark, sf):
-    return C.microsector_runs(C.microsectors(_lap_pairs(spark, sf)))
+    return C.microsector_runs(_lap_pairs(spark, sf))
 
 
 # --- driver profiles over the lap features ---

@@ -159,7 +159,7 @@ def test_microsectors(spark):
     fa, fb = np.interp(t, np.linspace(0, 1, 200), a), np.interp(t, np.linspace(0, 1, 150), b)
     want = np.where(fa[:-1] >= fb[:-1], "a", "b")
     assert [r.winner for r in sectors.orderBy("k").collect()] == want.tolist()
-    runs = C.microsector_runs(sectors).orderBy("run").collect()
+    runs = C.microsector_runs(pairs_of(spark, a, b, a, b)).orderBy("run").collect()
     assert runs[0].first_point == 0 and runs[-1].last_point == 999
     assert all(p.last_point == q.first_point and p.winner != q.winner for p, q in zip(runs, runs[1:]))
 
