@@ -73,12 +73,15 @@ def critique_quality(critiques: DataFrame, by: Sequence[str] = ("feature",)) ->
 
 
 def cap_history(
-    messages: DataFrame, key: str = "conv_id", order: str = "turn", text: str = "text"
+    messages: DataFrame, key: str = "conv_id", order: str = "turn", text: str = "text", keep: int = HISTORY_LENGTH
 ) -> DataFrame:
-    """The latest 20 messages of each conversation, over-long ones cut and marked."""
+    """The latest ``keep`` messages of each conversation, over-long ones cut and marked.
+
+    Messages of one turn are taken in falling order of their text.
+    """
     cut = F.when(
         F.length(text) > MESSAGE_LENGTH,
         F.concat(F.substring(text, 1, MESSAGE_LENGTH), F.lit(" [truncated]")),
     ).otherwise(F.col(text))
-    kept = top_per_key(messages, [key], [F.desc(order)], HISTORY_LENGTH, "_back")
+    kept = top_per_key(messages, [key], [F.desc(order), F.desc(text)], keep, "_back")
     return kept.drop("_back").withColumn(text, cut)

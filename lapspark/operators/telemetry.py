@@ -175,16 +175,19 @@ def extended_features(laps: DataFrame) -> DataFrame:
 def distance_proxy(
     samples: DataFrame, keys: Sequence[str] = tuple(DRIVER), seconds: int = 300
 ) -> DataFrame:
-    """Distance as the running integral of the *previous* speed over time, plus elapsed seconds."""
+    """Distance as the running integral of the *previous* speed over time, plus elapsed seconds.
+
+    Samples of one instant follow each other by speed.
+    """
     bucket = time_bucket("date", seconds)
     rows = with_neighbours(
-        samples.where(F.col("date").isNotNull()), keys, ["date"], bucket,
+        samples.where(F.col("date").isNotNull()), keys, ["date", "speed"], bucket,
         lag={"_v": nan_to_null(F.col("speed").cast("double")), "_t": F.col("date")},
         first={"_start": F.col("date")},
     )
     step = F.coalesce(F.col("_v") / 3.6 * elapsed_seconds(F.col("date"), F.col("_t")), F.lit(0.0))
     rows = with_running(
-        rows.withColumn("_step", step), keys, ["date"], time_bucket("date", seconds),
+        rows.withColumn("_step", step), keys, ["date", "speed"], time_bucket("date", seconds),
         sums={"distance": F.col("_step")},
     )
     rows = rows.withColumn("elapsed", elapsed_seconds(F.col("date"), F.col("_start")))
@@ -230,7 +233,7 @@ def fastest_lap_traces(
         samples.withColumn("_us", micros("date")), DRIVER, "_us", "distance",
         ["speed", "throttle", "brake"], points, bucket=F.floor(F.col("_us") / 300_000_000),
     )
-    numbered = row_number_in_order(samples, DRIVER, ["date"], time_bucket("date"), "_i")
+    numbered = row_number_in_order(samples, DRIVER, ["date", "speed"], time_bucket("date"), "_i")
     by_index = resample(
         numbered.withColumn("_x", F.col("_i").cast("double")), DRIVER, "_i", "_x", ["elapsed"], points
     )

@@ -177,9 +177,11 @@ for _name, _kind, _lo, _hi in reversed(Q.REPORT_FIELDS):
     elif _kind == "integer":
         _RULES = _rating_rule(_name, _RULES)
     else:
-        _RULES = f"CASE WHEN json_type(doc, '$.{_name}') IS NULL THEN '{_name}: missing' ELSE {_RULES} END"
+        _RULES = f"""CASE WHEN json_type(doc, '$.{_name}') IS NULL THEN '{_name}: missing'
+      WHEN json_type(doc, '$.{_name}') <> 'VARCHAR' THEN '{_name}: not text' ELSE {_RULES} END"""
+_RULES = f"CASE WHEN doc IS NULL THEN 'not json' WHEN json_type(doc) <> 'OBJECT' THEN 'not an object' ELSE {_RULES} END"
 
-REPORTS = f"""j AS (SELECT conv_id, turn, CAST({A.REPORT_JSON} AS JSON) AS doc FROM conversations),
+REPORTS = f"""j AS (SELECT conv_id, turn, try_cast({A.REPORT_JSON} AS JSON) AS doc FROM conversations),
 checked AS (SELECT *, {_RULES} AS reason FROM j)"""
 
 
@@ -261,15 +263,15 @@ def audit_cost(spark, sf):
     return U.audit_cost(A.audit_log(spark, sf))
 
 
-@query("audit_log_file", f"""WITH {AUDIT} SELECT count(*) AS calls, CAST(sum(p) AS BIGINT) AS prompt_tokens FROM log""")
+@query("audit_log_file", f"""WITH {AUDIT} SELECT feature, round(latency_ms, 6) AS latency_ms, p AS prompt_tokens,
+       c AS completion_tokens, success FROM log""")
 def audit_log_file(spark, sf):
     """Append to a JSON-lines log, then read it back tolerating damaged lines."""
     path = shared_dir(spark, "audit")
     tables.append_audit_log(A.audit_log(spark, sf), path)
     spark.createDataFrame([("",), ("{broken",)], "value string").write.mode("append").text(path)
-    return tables.read_audit_log(spark, path).agg(
-        F.count("ts").alias("calls"), F.sum("prompt_tokens").alias("prompt_tokens")
-    )
+    rows = tables.read_audit_log(spark, path).where(F.col("ts").isNotNull())
+    return rows.select("feature", "latency_ms", "prompt_tokens", "completion_tokens", "success")
 
 
 @query("session_label", """SELECT o_orderkey AS session_key, o_orderstatus AS session_type,

@@ -446,8 +446,7 @@ def percentile_rank(spark, sf):
 
 
 @query("feature_store", f"""WITH {FEATURES}
-SELECT session_key, count(*) AS laps, count(DISTINCT driver_number) AS drivers,
-       round(avg(mean_speed), 6) AS mean_speed FROM features GROUP BY 1""")
+SELECT {KEYS}, {rounded([f for f in MODEL_FEATURES if f != 'lap_time_seconds'])} FROM features""")
 def feature_store(spark, sf):
     """Written partitioned by session, read back through the pruned scan."""
     from lapspark.session import shared_dir
@@ -455,8 +454,5 @@ def feature_store(spark, sf):
     path = shared_dir(spark, "features")
     tables.write_lap_features(T.lap_features(A.samples(spark, sf)), path)
     stored = tables.read_lap_features(spark, path)
-    return stored.groupBy(F.col("session_key").cast("long").alias("session_key")).agg(
-        F.count(F.lit(1)).alias("laps"),
-        F.count_distinct("driver_number").alias("drivers"),
-        F.avg("mean_speed").alias("mean_speed"),
-    )
+    features = [f for f in MODEL_FEATURES if f != "lap_time_seconds"]
+    return stored.select(*[F.col(c).cast("long").alias(c) for c in LAP], *features)

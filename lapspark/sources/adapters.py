@@ -208,7 +208,8 @@ CRITIQUE_JSON = """CASE turn % 6
   WHEN 4 THEN concat('{"confidence": ', CAST(conv_id % 11 - 3 AS STRING), '.7}')
   ELSE 'plain text {' END"""
 
-REPORT_JSON = """concat('{"headline": "h <b>', CAST(conv_id AS STRING), '</b>"',
+REPORT_JSON = """CASE WHEN conv_id % 17 = 3 THEN 'no report {' WHEN conv_id % 17 = 5 THEN '["no object"]' ELSE
+  concat('{"headline": ', CASE WHEN conv_id % 17 = 7 THEN '17' ELSE concat('"h <b>', CAST(conv_id AS STRING), '</b>"') END,
   CASE WHEN conv_id % 7 = 1 THEN '' ELSE concat(', "strengths": ["s1", "<s2>"',
     CASE WHEN conv_id % 5 = 2 THEN '' ELSE ', "s3"' END, ']') END,
   ', "weaknesses": ', CASE WHEN turn = 3 THEN '"slow"' ELSE '["w1", "w2", "w3"]' END,
@@ -216,7 +217,7 @@ REPORT_JSON = """concat('{"headline": "h <b>', CAST(conv_id AS STRING), '</b>"',
   ', "raw_pace_rating": "', CAST(turn % 10 + 1 AS STRING), '"',
   ', "consistency_rating": ', CASE WHEN conv_id % 9 = 4 THEN 'null' ELSE CAST(conv_id % 9 + 1 AS STRING) END,
   ', "tactical_tips": ["t1", ', CASE WHEN turn = 2 THEN '2' ELSE '"t2"' END, ']',
-  ', "style_tags": ["a", "b", "c", "d", "e", "f"]}')"""
+  ', "style_tags": ["a", "b", "c", "d", "e", "f"]}') END"""
 
 
 def critiques(spark: SparkSession, sf_dir: str) -> DataFrame:
