@@ -1,6 +1,7 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import functions as F
 
 from lapspark.operators import laps as L
 from lapspark.operators import positions as P
@@ -178,3 +179,35 @@ def test_undercut_window(spark):
     stints = spark.createDataFrame([(1, 1, 1, "S", 10, 1, 9), (1, 2, 1, "S", 0, 1, 9), (1, 3, 1, "S", 0, 1, 9)], STINTS)
     row = X.undercut_windows(laps, stints).collect()
     assert [(r.driver_number, r.target_driver, r.pace_delta, r.tyre_age_delta) for r in row] == [(2, 1, 1.0, 10)]
+
+
+def test_nan_counts_as_missing_everywhere(mini):
+    laps, stints, position = mini
+    gone = (F.col("lap_number") % 4 == 2) & (F.col("driver_number") % 2 == 0)
+    null = laps.withColumn("lap_duration", F.when(~gone, F.col("lap_duration")))
+    nan = laps.withColumn("lap_duration", F.when(gone, F.lit(float("nan"))).otherwise(F.col("lap_duration")))
+    operators = {
+        "valid": lambda d: L.valid_laps(d).drop("date"), "clean": lambda d: L.clean_laps(d),
+        "quick": lambda d: L.quick_laps(d, 1.2, "lap_duration"), "rolling": L.rolling_pace,
+        "rolling_full": lambda d: L.rolling_pace(d, 3, clean=False).select(*L.LAP, "rolling_pace"),
+        "summary": L.pace_summary, "gap": L.gap_to_leader, "fastest": L.fastest_laps,
+        "degradation": lambda d: S.stint_degradation(d, stints, clean=False),
+        "windows": lambda d: X.undercut_windows(d, stints), "projection": lambda d: X.project_finish(d, stints, position),
+        "simple": lambda d: X.project_finish_simple(d, 20),
+    }
+    for name, fn in operators.items():
+        assert sorted(map(str, fn(nan).collect())) == sorted(map(str, fn(null).collect())), name
+
+
+def test_arguments_are_checked_not_changed(mini):
+    laps, stints, position = mini
+    for call in (lambda: L.latest_pace(laps, window=0), lambda: L.latest_pace(laps, top_n=0),
+                 lambda: X.detect_undercuts(laps, stints, position, lookahead=0),
+                 lambda: X.project_finish(laps, stints, position, laps_remaining=-1)):
+        with pytest.raises(ValueError):
+            call()
+
+
+def test_many_rows_when_asked(spark):
+    laps = spark.createDataFrame([(1, d, 1, 90.0 + d / 10, False, None) for d in range(60)], LAPS)
+    assert L.latest_pace(laps, top_n=50).count() == 50
