@@ -103,17 +103,19 @@ def held_out() -> Column:
 
 
 def training_rows(stats: DataFrame, labels: DataFrame, limit: int) -> tuple[np.ndarray, np.ndarray]:
-    """Features and ``quality`` of at most ``limit`` labelled rows that are not held out, the first by a hash of their id.
+    """Features and ``quality`` of at most ``limit`` labelled rows that are not held out, chosen by a hash of their id.
 
     Rows without a label or with one other than 0 and 1 teach nothing; several labels of one id count by their maximum.
+    Where there are more rows, a share that gives slightly fewer than ``limit`` is kept, so no task sends more than its
+    part of them to the driver.
     """
     known = labels.where(F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.max("quality").cast("int").alias("quality"))
-    chosen = (
-        stats.where(~held_out()).join(known, "doc_id")
-        .select(F.xxhash64("doc_id").alias("h"), "doc_id", "_row", "features", "quality")
-        .orderBy("h", "doc_id", "_row").limit(limit)
-    )
-    rows = chosen.collect()
+    labelled = stats.where(~held_out()).join(known, "doc_id").select("doc_id", "_row", "features", "quality")
+    total = labelled.count()
+    if total > limit:
+        share = int((1 << 32) * 0.97 * limit / total)
+        labelled = labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 32)) < share).limit(limit)
+    rows = sorted(labelled.collect(), key=lambda r: (r.doc_id, r["_row"]))
     x = np.array([r.features for r in rows], np.float64).reshape(-1, len(FEATURES))
     return x, np.array([r.quality for r in rows], np.float64)
 

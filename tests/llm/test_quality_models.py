@@ -104,3 +104,15 @@ def test_empty_tables_and_one_class(spark, make_docs):
         assert all(r.score > 0.5 for r in operator(docs, ones).collect())
     out = quality_gam.keep_good(docs, ones)
     assert out.columns == docs.columns and out.count() == 3
+
+
+def test_training_sample_is_bounded_and_stable(spark):
+    from lapspark.llm.common import Scratch
+
+    stats = doc_stats.with_statistics(read(spark, SF, "documents"), Scratch(spark))
+    labels = doc_stats.quality_labels(spark, SF)
+    whole = doc_stats.training_rows(stats, labels, 10_000)
+    some = doc_stats.training_rows(stats, labels, 100)
+    again = doc_stats.training_rows(stats.repartition(3), labels, 100)
+    assert len(whole[1]) == len(labels.where("crc32(cast(doc_id as string)) % 3 <> 1").collect())
+    assert 60 < len(some[1]) <= 100 and all(np.array_equal(a, b) for a, b in zip(some, again))
