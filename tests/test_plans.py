@@ -42,3 +42,20 @@ def test_projection_reaches_the_scan(spark):
 
 def test_every_sql_check_belongs_to_a_query():
     assert set(ORACLES) <= set(QUERIES) and len(QUERIES) >= 90
+
+
+@pytest.mark.parametrize("name", ["percentile_rank", "undercut_markers", "time_delta", "gap_to_leader"])
+def test_statistics_are_not_copied(big_tables, name):
+    old = big_tables.conf.get("spark.sql.shuffle.partitions")
+    big_tables.conf.set("spark.sql.shuffle.partitions", "2000")
+    try:
+        plan = QUERIES[name](big_tables, SF)._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        big_tables.conf.set("spark.sql.shuffle.partitions", old)
+    assert "_salt" not in plan
+
+
+@pytest.mark.parametrize("name", ["position_at", "detect_undercuts"])
+def test_lookups_build_no_grid(big_tables, name):
+    plan = QUERIES[name](big_tables, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "_own" not in plan and "_count" not in plan
