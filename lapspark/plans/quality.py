@@ -9,7 +9,7 @@ from lapspark.operators import laps as L
 from lapspark.operators import ml as M
 from lapspark.operators import profiles as R
 from lapspark.operators import quality as Q
-from lapspark.plans.race import CUMULATIVE, LAPS, POSITION, STINTS
+from lapspark.plans.race import CUMULATIVE, LAPS, POSITION, ROLLING, STINTS
 from lapspark.plans.registry import ORACLES, query
 from lapspark.schemas import ARGUMENT_LIMITS
 from lapspark.schemas import LAPS as LAP_SCHEMA
@@ -509,7 +509,8 @@ def _live(spark, sf, name):
     return spark.read.parquet(f"{results}/{name}").withColumn("session_key", F.col("session_key").cast("long"))
 
 
-@query("live_rolling_pace", ORACLES["rolling_pace"])
+@query("live_rolling_pace", f"""WITH {ROLLING}
+SELECT session_key, driver_number, lap_number, round(rolling_pace, 6) AS rolling_pace FROM rolling""")
 def live_rolling_pace(spark, sf):
     return _live(spark, sf, "rolling_pace")
 
