@@ -25,10 +25,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lapspark.llm.common import Scratch, carried, identified, join_rows, restored
+from lapspark.operators.joins import join_per_key
 
 BITS, BLOCKS = 64, 6
 #: Node pairs expanded at once.
-FRONTIER = 1 << 18
+FRONTIER = 1 << 15
 #: Rows of one group that one task joins; larger groups are cut into slices that meet in pairs.
 SLICE = 16_384
 #: For shingle similarity 0.8: 256 bits, of which two such texts differ in 39 on average (standard deviation 6).
@@ -115,6 +116,7 @@ class _Forest:
 
     def __init__(self, n: int):
         self.parent = np.arange(n)
+        self.joined = 0
 
     def roots(self, x: np.ndarray) -> np.ndarray:
         while True:
@@ -132,15 +134,24 @@ class _Forest:
             # Each larger root gets one smaller parent, so no cycle can arise.
             top, pick = np.unique(np.maximum(a, b), return_index=True)
             self.parent[top] = np.minimum(a, b)[pick]
+            self.joined += len(top)
             yield x[pick], y[pick]
 
 
-def trie_join(group: np.ndarray, fp: np.ndarray, side: np.ndarray, errors: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _linked(x: np.ndarray, y: np.ndarray, fp: np.ndarray, side: np.ndarray, errors: int) -> np.ndarray:
+    """Which rows may meet and differ in at most ``errors`` bits."""
+    meet = (x != y) & ((side[x] == 3) | (side[x] != side[y]))
+    return meet & (np.bitwise_count(fp[x] ^ fp[y]).sum(axis=1, dtype=np.int64) <= errors)
+
+
+def trie_join(group: np.ndarray, fp: np.ndarray, side: np.ndarray, errors: int, forest: _Forest) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of rows of one group with at most ``errors`` differing bits, in batches.
 
     Rows are sorted by group and fingerprint, each fingerprint once. A node of depth d is a run of rows that agree in
     the group and the first d bits. ``side`` is 3 for rows that meet all others of their group, 1 and 2 for rows of two
-    slices, which meet only each other (pairs within a slice are found elsewhere).
+    slices, which meet only each other (pairs within a slice are found elsewhere). Two nodes whose rows all hang
+    together in ``forest`` already are left out: their pairs would connect nothing, so a large group of near copies does
+    not cost the square of its size.
     """
     n = len(fp)
     starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
@@ -151,10 +162,19 @@ def trie_join(group: np.ndarray, fp: np.ndarray, side: np.ndarray, errors: int)
               np.zeros(int(several.sum()), np.int16))]
     # For each depth, how many rows before a place have a one there: sorted runs split after their zeros.
     ones: dict[int, np.ndarray] = {}
+    root, breaks, known = np.arange(n), np.arange(n), -1
     while stack:
         depth, a0, a1, b0, b1, spent = stack.pop()
         if not len(a0):
             continue
+        if len(a0) > 256:
+            if forest.joined != known:
+                known, root = forest.joined, forest.roots(np.arange(n))
+                breaks = np.r_[0, np.cumsum(root[1:] != root[:-1])]
+            done = (breaks[a1 - 1] == breaks[a0]) & (breaks[b1 - 1] == breaks[b0]) & (root[a0] == root[b0])
+            if done.any():
+                rest = ~done
+                a0, a1, b0, b1, spent = a0[rest], a1[rest], b0[rest], b1[rest], spent[rest]
         if len(a0) > FRONTIER:
             half = len(a0) // 2
             for cut in (slice(half), slice(half, None)):
@@ -164,8 +184,7 @@ def trie_join(group: np.ndarray, fp: np.ndarray, side: np.ndarray, errors: int)
         single = (a1 - a0 == 1) & (b1 - b0 == 1)
         if single.any():
             x, y = a0[single], b0[single]
-            meet = (side[x] == 3) | (side[x] != side[y])
-            ok = (x != y) & meet & (np.bitwise_count(fp[x] ^ fp[y]).sum(axis=1, dtype=np.int64) <= errors)
+            ok = _linked(x, y, fp, side, errors)
             if ok.any():
                 yield x[ok], y[ok]
             rest = ~single
@@ -195,10 +214,19 @@ def trie_join(group: np.ndarray, fp: np.ndarray, side: np.ndarray, errors: int)
 def _edges(node: np.ndarray, group: np.ndarray, fp: np.ndarray, side: np.ndarray, errors: int) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of nodes that span the linked rows of every group."""
     forest, left, right = _Forest(len(fp)), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for x, y in trie_join(group, fp, side, errors):
+
+    def take(x: np.ndarray, y: np.ndarray) -> None:
         for a, b in forest.join(x, y):
             left.append(a)
             right.append(b)
+
+    # Near rows of the sorted order come first; within groups of near copies they connect almost everything.
+    for step in (1, 2, 3, 5, 8, 13):
+        x = np.flatnonzero(group[step:] == group[:-step]) if len(group) > step else np.zeros(0, np.int64)
+        ok = _linked(x, x + step, fp, side, errors)
+        take(x[ok], x[ok] + step)
+    for x, y in trie_join(group, fp, side, errors, forest):
+        take(x, y)
     return node[np.concatenate(left)], node[np.concatenate(right)]
 
 
@@ -213,7 +241,7 @@ def links(distinct: DataFrame, masks: list[list[int]], errors: int, batch_rows:
     rows = distinct.select("node", *fps, F.explode(keys).alias("key")).select("node", *fps, "key.*")
     # Larger groups are cut into slices; slice pairs (i, j) become groups of their own.
     large = rows.groupBy("choice", "part").agg(F.count("*").alias("n")).where(F.col("n") > SLICE)
-    rows = rows.join(large, ["choice", "part"], "left")
+    rows = join_per_key(rows, large, ["choice", "part"], "left")
     slices = F.coalesce(F.ceil(F.col("n") / (SLICE // 2)), F.lit(1)).cast("int")
     rows = rows.withColumn("slices", slices).withColumn("slice", F.pmod(F.xxhash64("node"), "slices").cast("int"))
     partners = F.transform(
@@ -274,7 +302,7 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     def smallest(pairs: DataFrame, up: bool) -> DataFrame:
         # (u, v) with v a neighbour of u; the neighbours move to the smallest of u and its neighbours.
         least = pairs.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        moved = pairs.join(least, "u")
+        moved = join_per_key(pairs, least, ["u"])
         if up:
             moved = moved.where("v > u")
         out = moved.select(F.col("v").alias("x"), F.col("m").alias("y"))
@@ -316,8 +344,8 @@ def near_duplicates(docs: DataFrame, words: int, width: int, masks: list[list[in
     rooted = least.select("node", "least").join(found, F.col("node") == F.col("found"), "left").select(
         "node", "least", F.coalesce("root", "node").alias("root"))
     smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(smallest, "root").select("node", "component_id")
-    return rows.join(named, "node").select("doc_id", "_row", *fps, "component_id")
+    named = join_per_key(rooted, smallest, ["root"]).select("node", "component_id")
+    return join_per_key(rows, named, ["node"]).select("doc_id", "_row", *fps, "component_id")
 
 
 def fingerprint_digest(docs: DataFrame, errors: int = 4, words: int = 4) -> DataFrame:
