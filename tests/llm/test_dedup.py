@@ -30,7 +30,7 @@ def mixed_texts(rnd, length):
     for _ in range(45):
         a, b = rnd.choice(texts), rnd.choice(texts)
         i, k = rnd.randint(0, len(a)), rnd.randint(0, len(b))
-        x = b[:k] + a[i:i + rnd.randint(0, 250)] + b[k:]
+        x = b[:k] + a[i:i + rnd.randint(0, 4 * length)] + b[k:]
         if x and rnd.random() < 0.5:
             q = rnd.randrange(len(x))
             x = x[:q] + "Z" + x[q + 1:]
@@ -38,12 +38,12 @@ def mixed_texts(rnd, length):
     return [*texts, "a" * 300, "ab" * 200, "a" * length, "b" * length, "b" * length, "x" * (length - 1), "", None]
 
 
-@pytest.mark.parametrize("length", [40, 64])
+@pytest.mark.parametrize("length", [40, 64, 250])
 def test_repeated_bytes(make_docs, length):
     texts = mixed_texts(random.Random(length), length)
     want = list(removed([(t or "").encode() for t in texts], length))
     got = {r.doc_id: r for r in suffix_dedup.removal_digest(make_docs(texts).repartition(5), length).collect()}
-    assert len(got) == len(texts) and sum(w[1] for w in want) > 10_000
+    assert len(got) == len(texts) and sum(w[1] for w in want) > 5_000
     for i, (kept, n, runs) in enumerate(want):
         assert (got[i].n_removed, got[i].n_spans, got[i].kept_sha256) == (n, runs, hashlib.sha256(kept).hexdigest()), i
 
