@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lapspark.llm.common import Scratch, carried, identified, join_rows, restored
+from lapspark.operators.joins import join_per_key
 
 
 def _either_case(word: str) -> str:
@@ -123,7 +124,7 @@ def scan_secrets(docs: DataFrame, owner: str = "source", repository: str = "doc_
     found = scratch.table(candidates(docs, owner, repository), "secrets")
     occurrences = _occurrences(found)
     # Distinct, because repeated rows would show each span more than once.
-    counted = occurrences.drop("owner", "repository").distinct().join(_frequency(occurrences), "hash")
+    counted = join_per_key(occurrences.drop("owner", "repository").distinct(), _frequency(occurrences), ["hash"])
     verdict = counted.withColumn("is_live", F.col("looks_live") & (F.col("n_owners") <= max_owners))
     row = Window.partitionBy("_row", "doc_id").orderBy("start", "rank")
     is_base = F.col("rank") < 3

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lapspark.llm.common import Scratch, carried, identified, join_rows, restored
+from lapspark.operators.joins import join_per_key
 
 #: A segment ends after a run of stops or line feeds and the white space behind it.
 SEGMENT = r"[^.!?\n]*[.!?\n]+[ \t\n\r\f\v]*|[^.!?\n]+"
@@ -59,7 +60,7 @@ def later_spans(docs: DataFrame, span: int = 3) -> DataFrame:
     rows = scratch.table(_span_rows(docs, dict(docs.dtypes)["doc_id"], span), "spans")
     place = F.struct("doc_id", "_row", "number")
     first = rows.groupBy("h1", "h2").agg(F.min(place).alias("_first"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
-    later = rows.join(first, ["h1", "h2"]).where(~place.eqNullSafe(F.col("_first")))
+    later = join_per_key(rows, first, ["h1", "h2"]).where(~place.eqNullSafe(F.col("_first")))
     found = Scratch(docs.sparkSession).table(
         later.groupBy("_row", "doc_id").agg(F.collect_set("number").alias("_numbers")), "later")
     scratch.drop()

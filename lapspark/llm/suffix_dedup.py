@@ -29,6 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lapspark.llm.common import Scratch, carried, identified, join_rows, restored
+from lapspark.operators.joins import join_per_key
 
 _K1, _K2, _K3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 #: Bytes named together; longer documents are cut into slabs that overlap.
@@ -243,14 +244,14 @@ def _refined(docs: DataFrame, items: DataFrame, kind: str, length: int, single:
 def _settled(rows: DataFrame, bucket: list[str]) -> DataFrame:
     """Rows whose name occurs more than once in their bucket."""
     again = rows.groupBy(*bucket, "name").agg(F.count("*").alias("_n")).where("_n > 1").drop("_n")
-    return rows.join(again, [*bucket, "name"], "left_semi").select("doc_id", "_row", "lo", "hi")
+    return join_per_key(rows, again, [*bucket, "name"], "left_semi").select("doc_id", "_row", "lo", "hi")
 
 
 def _open(rows: DataFrame, bucket: list[str]) -> DataFrame:
     """One row for each name in buckets that hold several names."""
     first = rows.groupBy(*bucket, "name").agg(F.min(F.struct("_row", "doc_id", "at", "lo", "hi")).alias("_first"))
     several = first.groupBy(*bucket).agg(F.count("*").alias("_n")).where("_n > 1").drop("_n")
-    return first.join(several, bucket, "left_semi").select("gram", "_first.*")
+    return join_per_key(first, several, bucket, "left_semi").select("gram", "_first.*")
 
 
 def repeated_starts(docs: DataFrame, length: int = 400) -> DataFrame:
