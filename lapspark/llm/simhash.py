@@ -5,17 +5,15 @@ groups of a task level by level: the differing bits add up along the way, and a
 exceed the budget. Only distinct fingerprints take part, however many copies share one. A group passes on the edges of
 its spanning forest instead of all its pairs.
 
-Bits are chosen in two ways. For a budget of a few bits (``exact_masks``) the 64 bits are cut into parts and every choice
-of parts that must hold an agreeing one is taken, so no link is lost. For a similarity of word shingles the budget is a
-sixth of the bits, where no such choice is selective: there wider fingerprints are sampled (``sampled_masks``), and a pair
-at the wanted similarity meets with a probability of 99 per cent, a closer one more surely.
+The 64 bits are cut into parts and every choice of parts that must hold an agreeing one is taken (``exact_masks``), so
+no link is lost. Near copies by the similarity of word shingles are decided on the shingle sets (``shingle_sets``):
+fingerprints do not tell 0.8 from somewhat less.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
-from random import Random
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lapspark.llm import shingle_sets
 from lapspark.llm.common import Scratch, carried, identified, join_rows, restored
 from lapspark.operators.joins import join_per_key
 
@@ -32,8 +31,6 @@ BITS, BLOCKS = 64, 6
 FRONTIER = 1 << 15
 #: Rows of one group that one task joins; larger groups are cut into slices that meet in pairs.
 SLICE = 16_384
-#: For shingle similarity 0.8: 256 bits, of which two such texts differ in 39 on average (standard deviation 6).
-WIDE, WIDE_ERRORS, KEYS, KEY_BITS = 4, 46, 64, 16
 
 
 def fingerprint(text: str, words: int = 4, width: int = 1, seed: int = 42) -> np.ndarray:
@@ -95,18 +92,6 @@ def exact_masks(errors: int) -> list[list[int]]:
     return [[sum(c)] for c in combinations(block, BLOCKS - errors)]
 
 
-def sampled_masks(width: int = WIDE, keys: int = KEYS, bits: int = KEY_BITS) -> list[list[int]]:
-    """``keys`` masks of ``bits`` random bits each, always the same ones."""
-    random = Random(42)
-    out = []
-    for _ in range(keys):
-        mask = [0] * width
-        for bit in random.sample(range(width * BITS), bits):
-            mask[bit // BITS] |= 1 << bit % BITS
-        out.append(mask)
-    return out
-
-
 def _signed(mask: int) -> int:
     return mask - (1 << 64) if mask >> 63 else mask
 
@@ -354,14 +339,26 @@ def fingerprint_digest(docs: DataFrame, errors: int = 4, words: int = 4) -> Data
         "doc_id", F.lower(F.lpad(F.hex("fp0"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one_of_each(docs: DataFrame, words: int = 5, errors: int = WIDE_ERRORS) -> DataFrame:
+def keep_one_of_each(docs: DataFrame, words: int = 5) -> DataFrame:
     """``docs`` with only the row of the smallest ``doc_id`` of each group of near copies; rows without an id all stay.
 
-    Near copies share about four fifths or more of their ``words``-word shingles, as 256-bit fingerprints show it: at
-    the default budget texts with similarity 0.8 link with 90 per cent, 0.85 with 99, 0.6 with 3. Texts without a word
-    are copies of each other. Of repeated rows one stays.
+    Near copies share four fifths or more of their distinct ``words``-word shingles (exact Jaccard similarity, see
+    ``shingle_sets``) or are connected by such links. A text of fewer words is one shingle; texts without a word are
+    copies of each other. Of repeated rows one stays.
     """
-    found = near_duplicates(docs, words, WIDE, sampled_masks(), errors)
+    scratch, known = Scratch(docs.sparkSession), identified(docs)
+    rows = scratch.table(shingle_sets.sets(known, words), "sets")
+    id_first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")
+    nodes = scratch.table(
+        rows.groupBy("node").agg(F.min(id_first).alias("least"), F.first("size").alias("size"), F.first("sketch").alias("sketch"))
+        .select("node", "size", "sketch", "least.doc_id", "least._row"), "distinct")
+    edges = shingle_sets.links(known, nodes, words, components, scratch)
+    found = components(edges, scratch).withColumnRenamed("node", "found")
+    rooted = nodes.join(found, F.col("node") == F.col("found"), "left").select(
+        "node", "doc_id", F.coalesce("root", "node").alias("root"))
+    smallest = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    named = join_per_key(rooted, smallest, ["root"]).select("node", "component_id")
+    found = join_per_key(rows.select("node", "doc_id", "_row"), named, ["node"])
     chosen = found.where((F.col("doc_id") == F.col("component_id")) | F.col("doc_id").isNull()).select("doc_id", "_row").distinct()
     first = Window.partitionBy("_row", "doc_id").orderBy(F.lit(1))
     kept = join_rows(carried(docs), chosen, "left_semi").withColumn("_nth", F.row_number().over(first))
