@@ -21,10 +21,12 @@ counted with map-side combining and flags return through equi-joins, which adapt
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -319,13 +321,57 @@ def removal_digest(docs: DataFrame, length: int = 400) -> DataFrame:
         run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
-def remove_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
+_WORD = re.compile(rb"\S+")
+
+
+def _short_windows(docs: DataFrame, kind: str, length: int, words: int) -> DataFrame:
+    """Every run of ``words`` words under ``length`` bytes: ``doc_id, _row, lo, hi`` (its bytes) and a 128-bit name."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, text in enumerate(batch.column("text").cast(pa.binary()).to_pylist()):
+                places = np.array([m.span() for m in _WORD.finditer(text)], np.int64).reshape(-1, 2)
+                if len(places) < words:
+                    continue
+                lo, hi = places[:len(places) - words + 1, 0], places[words - 1:, 1]
+                short = hi - lo < length
+                lo, hi = lo[short], hi[short]
+                if not len(lo):
+                    continue
+                digest = [xxhash.xxh3_128_digest(text[x:y]) for x, y in zip(lo.tolist(), hi.tolist())]
+                halves = np.frombuffer(b"".join(digest), "<i8").reshape(-1, 2)
+                doc = pa.array(np.full(len(lo), i))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id").take(doc), batch.column("_row").take(doc), pa.array(lo), pa.array(hi),
+                     *(pa.array(np.ascontiguousarray(h)) for h in halves.T)],
+                    ["doc_id", "_row", "lo", "hi", "h1", "h2"])
+
+    return docs.select("doc_id", "_row", "text").mapInArrow(
+        run, f"doc_id {kind}, _row long, lo long, hi long, h1 long, h2 long")
+
+
+def repeated_windows(docs: DataFrame, length: int, words: int) -> DataFrame:
+    """``doc_id, _row, lo, hi``: bytes of all runs of ``words`` words under ``length`` bytes that also stand elsewhere."""
+    scratch, answer = Scratch(docs.sparkSession), Scratch(docs.sparkSession)
+    rows = scratch.table(_short_windows(docs, dict(docs.dtypes)["doc_id"], length, words), "windows")
+    again = rows.groupBy("h1", "h2").agg(F.count("*").alias("_n")).where("_n > 1").drop("_n")
+    found = answer.table(
+        join_per_key(rows, again, ["h1", "h2"], "left_semi").select("doc_id", "_row", "lo", "hi"), "repeated-windows")
+    scratch.drop()
+    return found
+
+
+def remove_repeats(docs: DataFrame, length: int = 400, words: int | None = None) -> DataFrame:
     """``docs`` without the repeated bytes of its texts; a character that loses a byte goes whole.
 
-    Other columns stay; ``n_chars``, if there, follows the text. A null text stays null.
+    With ``words``, runs of so many words that also stand elsewhere go too, however short the words are. Other columns stay; ``n_chars``, if there, follows the text. A null text stays null.
     """
-    listed = repeated_starts(identified(docs), length).groupBy("_row", "doc_id").agg(
-        F.collect_list(F.struct("lo", "hi")).alias("_starts"))
+    known = identified(docs)
+    found = repeated_starts(known, length)
+    if words:
+        # A window is bytes, not starts: as starts of strings of ``length`` bytes it ends ``length`` before.
+        short = repeated_windows(known, length, words)
+        found = found.unionByName(short.withColumn("hi", F.col("hi") - length))
+    listed = found.groupBy("_row", "doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("_starts"))
     joined = join_rows(carried(docs), listed).select("text", "_starts", "_doc")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
