@@ -340,11 +340,12 @@ def fingerprint_digest(docs: DataFrame, errors: int = 4, words: int = 4) -> Data
 
 
 def keep_one_of_each(docs: DataFrame, words: int = 5) -> DataFrame:
-    """``docs`` with only the row of the smallest ``doc_id`` of each group of near copies; rows without an id all stay.
+    """``docs`` with only the row of the smallest ``doc_id`` of each group of near copies.
 
     Near copies share four fifths or more of their distinct ``words``-word shingles (exact Jaccard similarity, see
     ``shingle_sets``) or are connected by such links. A text of fewer words is one shingle; texts without a word are
-    copies of each other. Of repeated rows one stays.
+    copies of each other. Rows without an id come after all others; of rows with one id the smallest hash of the text
+    stays, of repeated rows one.
     """
     scratch, known = Scratch(docs.sparkSession), identified(docs)
     rows = scratch.table(shingle_sets.sets(known, words), "sets")
@@ -355,11 +356,8 @@ def keep_one_of_each(docs: DataFrame, words: int = 5) -> DataFrame:
     edges = shingle_sets.links(known, nodes, words, components, scratch)
     found = components(edges, scratch).withColumnRenamed("node", "found")
     rooted = nodes.join(found, F.col("node") == F.col("found"), "left").select(
-        "node", "doc_id", F.coalesce("root", "node").alias("root"))
-    smallest = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    named = join_per_key(rooted, smallest, ["root"]).select("node", "component_id")
-    found = join_per_key(rows.select("node", "doc_id", "_row"), named, ["node"])
-    chosen = found.where((F.col("doc_id") == F.col("component_id")) | F.col("doc_id").isNull()).select("doc_id", "_row").distinct()
+        "doc_id", "_row", F.coalesce("root", "node").alias("root"))
+    chosen = rooted.groupBy("root").agg(F.min(id_first).alias("least")).select("least.doc_id", "least._row")
     first = Window.partitionBy("_row", "doc_id").orderBy(F.lit(1))
     kept = join_rows(carried(docs), chosen, "left_semi").withColumn("_nth", F.row_number().over(first))
-    return restored(kept.where((F.col("_nth") == 1) | F.col("doc_id").isNull()), docs)
+    return restored(kept.where("_nth = 1"), docs)

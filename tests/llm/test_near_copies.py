@@ -71,3 +71,12 @@ def test_border_of_similarity(make_docs, shared, linked):
     a = [f"a{k}" for k in range(13)]
     b = [*a[:shared + 4], *(f"b{k}" for k in range(9 - shared))]
     assert kept(make_docs, [" ".join(a), " ".join(b)]) == ([0] if linked else [0, 1])
+
+
+def test_one_row_stays_without_ids_and_with_equal_ones(spark):
+    rnd = random.Random(14)
+    a, b, c = (" ".join(f"w{rnd.randint(0, 10 ** 6)}" for _ in range(100)) for _ in range(3))
+    rows = [(5, a), (None, a), (None, a + " more"), (None, b), (None, b), (None, b + " more"), (1, c), (1, c + " more"), (2, c)]
+    out = simhash.keep_one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 0) for r in out) == [0, 1, 5]
+    assert {r.text[:40] for r in out} == {x[:40] for x in (a, b, c)}
