@@ -1,10 +1,14 @@
-"""What the corpus operators share: reading a table, row identity, scratch tables."""
+"""What the corpus operators share: reading a table, row identity, numbering, scratch tables."""
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from lapspark.operators.joins import join_per_key
 from lapspark.session import shared_dir
 
 
@@ -59,6 +63,28 @@ def restored(work: DataFrame, docs: DataFrame, fresh_size: bool = False) -> Data
     return work.select(*map(column, docs.columns))
 
 
+def numbered(rows: DataFrame, key: str, order: Sequence[Column], scratch: Scratch, name: str = "ordered") -> DataFrame:
+    """``rows`` with ``_pos``, the place (from 0) of a row among those of its ``key``, and ``_n``, how many these are.
+
+    ``key`` holds no null. All rows are sorted at once by ranges of (key, order), so a key with most of the rows is dealt
+    over many tasks, and rows equal in all of it by where they stood; what one task sees are counts of ranges.
+    """
+    placed = scratch.table(rows.withColumn("_tie", F.monotonically_increasing_id()), f"{name}-rows")
+    by = [F.col(key), *order, F.col("_tie")]
+    # Identifiers ascend over the ranges and inside each.
+    dealt = placed.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_at", F.monotonically_increasing_id())
+    dealt = scratch.table(dealt.drop("_tie"), name).withColumn("_range", F.shiftright("_at", 33))
+    scratch.drop(f"{name}-rows")
+    ranges = dealt.groupBy(key, "_range").agg(F.min("_at").alias("_first"), F.count("*").alias("_size"))
+    whole = Window.partitionBy(key)
+    before = whole.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = ranges.select(
+        key, "_range", "_first", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_before"),
+        F.sum("_size").over(whole).alias("_n"))
+    found = join_per_key(dealt, ranges, [key, "_range"])
+    return found.withColumn("_pos", F.col("_at") - F.col("_first") + F.col("_before")).drop("_at", "_range", "_first", "_before")
+
+
 class Scratch:
     """Parquet tables in the folder all executors share; ``drop`` removes those no later step reads."""
 

@@ -6,7 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lapspark.llm import bpe, packing, quality_gam, quality_gbt, secret_scan, sentence_spans, simhash, sql, suffix_dedup, token_count, topk
+from lapspark.llm import (
+    bpe, importance, merkle, minhash, packing, quality_gam, quality_gbt, secret_scan, sentence_spans, simhash, sql, suffix_dedup,
+    token_count, topk,
+)
 from lapspark.llm.common import read
 from lapspark.llm.doc_stats import quality_labels
 
@@ -79,3 +82,21 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base statistics and verdict of every document."""
     return quality_gbt.judge(read(spark, sf_dir, "documents"), quality_labels(spark, sf_dir))
+
+
+@query
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Importance weight, score and rank of every document, with ``benchmark`` as the target."""
+    return importance.resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+@query
+def op12_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Set size and near-duplicate component of every document."""
+    return minhash.component_digest(read(spark, sf_dir, "documents"))
+
+
+@query
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, roots, proof and folded root of every document."""
+    return merkle.manifest(read(spark, sf_dir, "documents"))
