@@ -135,7 +135,7 @@ def cosine_topk(
     Profiles are packed into blocks of at most ``block`` vectors whose number follows the counted
     profile table. A query meets whole blocks through an equi-join and scores a block inside its
     row, keeping ``k`` hits: no query-profile pair is ever emitted as a row. Vectors are divided by their
-    length before they meet, so a pair costs one dot product, and the best ``k`` are kept as the block is walked.
+    length before they meet, so a pair costs one dot product, and a block is sorted once.
     A profile's ``era``, where the table has one, is returned.
     """
     blocks = max(1, -(-profiles.count() // block))
@@ -151,8 +151,7 @@ def cosine_topk(
     asked = asked.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     met = asked.join(packed, ["_block"])
     hit = lambda p: F.struct((-dot(F.col("_q"), p["v"])).alias("minus"), *[p[c].alias(c) for c in told])
-    none = F.slice(F.transform("_profiles", hit), 1, 0)
-    best = F.aggregate("_profiles", none, lambda kept, p: F.slice(F.array_sort(F.array_append(kept, hit(p))), 1, k))
+    best = F.slice(F.array_sort(F.transform("_profiles", hit)), 1, k)
     top = top_per_key(met.select(ident, F.inline(best)), [ident], [F.col("minus"), F.col("name")], k, "rank")
     return top.select(ident, "rank", *told, (-F.col("minus")).alias("similarity"))
 

@@ -11,15 +11,17 @@ from lapspark.operators import profiles as R
 from lapspark.operators import quality as Q
 from lapspark.plans.race import CUMULATIVE, LAPS, POSITION, ROLLING, STINTS
 from lapspark.plans.registry import ORACLES, query
+from lapspark.plans.telemetry import FASTEST
 from lapspark.schemas import ARGUMENT_LIMITS
+from lapspark.schemas import CAR_DATA as CAR_SCHEMA
 from lapspark.schemas import LAPS as LAP_SCHEMA
 from lapspark.schemas import POSITION as POSITION_SCHEMA
 from lapspark.schemas import STINTS as STINT_SCHEMA
 from lapspark.schemas import ensure_columns
-from lapspark.session import shared_dir
+from lapspark.session import materialize, shared_dir
 from lapspark.sources import adapters as A
 from lapspark.sources import tables
-from lapspark.streaming import live
+from lapspark.streaming import keyed, live
 
 PROFILES = """profiles AS (
   SELECT 'profile ' || label AS name, list(m ORDER BY i) AS vector FROM (
@@ -535,6 +537,57 @@ def live_projection(spark, sf):
     return _live(spark, sf, "projection")
 
 
+def _keyed(spark, sf):
+    """Stores of lap and gap changes after two batches: wrong and missing laps first, then all others and the corrections."""
+    laps = A.laps(spark, sf).select(*L.LAP, "lap_duration", "is_pit_out_lap", F.col("date").alias("date_start"))
+    early = F.xxhash64(*L.LAP) % 2 == 0
+    wrong = laps.where(early).withColumn("lap_duration", F.when(F.col("lap_number") % 7 == 0, F.col("lap_duration") + 100).otherwise(F.col("lap_duration")))
+    rest = laps.where(~early | (F.col("lap_number") % 7 == 0))
+    landing, changes, gaps, *states = (shared_dir(spark, n) for n in ("keyed-laps", "lap-changes", "gap-changes", "lap-state", "gap-state"))
+    for batch in (wrong, rest):
+        batch.withColumn("st_speed", F.lit(None).cast("int")).select(
+            *[F.col(f.name).cast(f.dataType) for f in LAP_SCHEMA]).write.mode("append").parquet(landing)
+        keyed.start_changes(keyed.lap_changes(live.stream_laps(spark, landing)), changes, states[0]).awaitTermination()
+        changed = keyed.stream_changes(spark, changes, keyed.LAP_CHANGES)
+        keyed.start_changes(keyed.gap_changes(changed), gaps, states[1]).awaitTermination()
+    return changes, gaps
+
+
+@query("keyed_gap_to_leader", f"""WITH {CUMULATIVE}
+SELECT session_key, driver_number, lap_number, round(cum_time, 6) AS cum_time, round(gap, 6) AS gap FROM gaps""")
+def keyed_gap_to_leader(spark, sf):
+    """Running time and gap from state per driver and lap, after laps that came out of order and were corrected."""
+    return keyed.current(spark, _keyed(spark, sf)[1])
+
+
+@query("keyed_rolling_pace", f"""WITH {LAPS}
+SELECT session_key, driver_number, lap_number, CASE WHEN count(*) OVER w >= 5 THEN round(avg(lap_duration) OVER w, 6) END AS rolling_pace
+FROM laps WHERE lap_duration IS NOT NULL
+WINDOW w AS (PARTITION BY session_key, driver_number ORDER BY lap_number ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)""")
+def keyed_rolling_pace(spark, sf):
+    """Rolling pace over full windows from state per driver."""
+    return keyed.current(spark, _keyed(spark, sf)[0]).select(*L.LAP, "rolling_pace")
+
+
+@query("live_fastest_lap_samples", f"""WITH {FASTEST}
+SELECT session_key, driver_number, date, round(speed, 6) AS speed, lap_number, lap_time FROM fast""")
+def live_fastest_lap_samples(spark, sf):
+    """Samples joined with their laps as both arrive as streams, in files of their own; then those of the fastest laps."""
+    car = materialize(A.car_data(spark, sf))
+    laps = A.car_laps(car).withColumn("st_speed", F.lit(None).cast("int"))
+    landing = {}
+    for kind, rows, schema in (("car", car, CAR_SCHEMA), ("car-laps", laps, LAP_SCHEMA)):
+        landing[kind] = shared_dir(spark, f"landing-{kind}")
+        rows.select(*[F.col(f.name).cast(f.dataType) for f in schema]).repartition(2).write.parquet(landing[kind])
+    stream = live.lap_samples(
+        live.stream_laps(spark, landing["car-laps"], files_per_batch=1), live.stream_car_data(spark, landing["car"], files_per_batch=1),
+        longest="365 days", delay="3650 days")
+    out = shared_dir(spark, "lap-samples")
+    live.append_available(stream, out, shared_dir(spark, "lap-samples-state"))
+    found = live.fastest_lap_samples(spark.read.parquet(out), spark.read.schema(LAP_SCHEMA).parquet(landing["car-laps"]))
+    return found.select("session_key", "driver_number", "date", "speed", "lap_number", "lap_time")
+
+
 @query("latest_session", """WITH l AS (SELECT user_id % 5 AS session_key, user_id AS driver_number, count(*) AS laps FROM events GROUP BY 1, 2)
 SELECT * FROM l WHERE session_key = (SELECT max(session_key) FROM l)""")
 def latest_session(spark, sf):

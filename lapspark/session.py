@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -42,11 +43,12 @@ def _shared_base(spark: SparkSession) -> str:
 
 
 _RUN = uuid.uuid4().hex
-_SCOPES: list[str] = []
+#: Open scopes of this thread: batch functions of several streams run at the same time, each with its own.
+_SCOPES: ContextVar[tuple[str, ...]] = ContextVar("lapspark_scopes", default=())
 
 
 def _run_dir(spark: SparkSession) -> str:
-    return "/".join([_shared_base(spark).rstrip("/"), f"lapspark-{_RUN}", *_SCOPES])
+    return "/".join([_shared_base(spark).rstrip("/"), f"lapspark-{_RUN}", *_SCOPES.get()])
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
@@ -79,11 +81,11 @@ def drop_materialized(spark: SparkSession) -> None:
 @contextmanager
 def scratch_tables(spark: SparkSession) -> Iterator[None]:
     """Tables that are materialized inside are removed at the end; results must be written before."""
-    _SCOPES.append(uuid.uuid4().hex)
+    before = _SCOPES.set((*_SCOPES.get(), uuid.uuid4().hex))
     try:
         yield
     finally:
         try:
             drop_materialized(spark)
         finally:
-            _SCOPES.pop()
+            _SCOPES.reset(before)

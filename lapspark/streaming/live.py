@@ -16,7 +16,8 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from lapspark import schemas
-from lapspark.operators.laps import DRIVER, LAP, gap_to_leader, normalise_laps, pace_summary, rolling_pace
+from lapspark.functions.scalar import add_seconds, nan_to_null
+from lapspark.operators.laps import DRIVER, LAP, fastest_laps, gap_to_leader, normalise_laps, pace_summary, rolling_pace
 from lapspark.operators.stints import stint_degradation
 from lapspark.operators.strategy import detect_undercuts, project_finish
 from lapspark.session import materialize, remove_folder, scratch_tables
@@ -56,6 +57,34 @@ def deduplicate(stream: DataFrame, keys: Sequence[str], event_time: str = "date"
     return stream.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(list(keys))
 
 
+def lap_samples(
+    laps: DataFrame, car_data: DataFrame, longest: str = "30 minutes", delay: str = WATERMARK, slack_seconds: float = 0.5
+) -> DataFrame:
+    """Join of two streams: every sample with the timed lap it falls into (both ends inclusive, with a small tail).
+
+    Both sides keep state only as far as the watermarks and ``longest``, the length of a lap that is still joined, need:
+    a lap waits for its samples, and a sample for its lap, whichever comes first. Pit-out laps are left out, as for
+    ``fastest_laps``. Rows beyond the watermark are not admitted.
+    """
+    timed = laps.where(nan_to_null(F.col("lap_duration")).isNotNull() & F.col("date_start").isNotNull())
+    if "is_pit_out_lap" in laps.columns:
+        timed = timed.where(~F.col("is_pit_out_lap").eqNullSafe(True))
+    timed = timed.withWatermark("date_start", delay).select(
+        *[F.col(c).alias(f"_{c}") for c in DRIVER], "lap_number", F.col("lap_duration").alias("lap_time"), "date_start",
+        add_seconds(F.col("date_start"), F.col("lap_duration") + slack_seconds).alias("_to"))
+    points = car_data.where(F.col("date").isNotNull()).withWatermark("date", delay)
+    inside = F.expr(f"date >= date_start AND date <= date_start + INTERVAL {longest} AND date <= _to")
+    for c in DRIVER:
+        inside = inside & (F.col(c) == F.col(f"_{c}"))
+    return points.join(timed, inside).drop(*[f"_{c}" for c in DRIVER], "_to", "date_start")
+
+
+def fastest_lap_samples(samples: DataFrame, laps: DataFrame) -> DataFrame:
+    """Of stored ``lap_samples`` those of each driver's fastest lap by now."""
+    best = fastest_laps(laps).where(F.col("date_start").isNotNull()).select(*LAP)
+    return samples.join(best, LAP, "left_semi")
+
+
 def latest_session(df: DataFrame) -> DataFrame:
     """Rows of the newest session only."""
     newest = df.agg(F.max("session_key").alias("session_key"))

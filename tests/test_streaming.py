@@ -1,10 +1,13 @@
 import datetime as dt
 import os
+import threading
+from concurrent.futures import ThreadPoolExecutor
 
 from lapspark import schemas
 from lapspark.operators.laps import normalise_laps
 from lapspark.operators.positions import latest_position
-from lapspark.session import _run_dir, shared_dir
+from lapspark.operators.telemetry import fastest_lap_samples
+from lapspark.session import _run_dir, materialize, scratch_tables, shared_dir
 from lapspark.streaming import live
 from tests.conftest import POSITION
 
@@ -12,7 +15,8 @@ START = dt.datetime(2026, 1, 1)
 
 
 def rows_of(df):
-    return sorted(map(tuple, df.collect()))
+    """Rows in order; doubles to twelve significant digits, as partial sums are merged in any order."""
+    return sorted(tuple(float(f"{v:.12g}") if isinstance(v, float) else v for v in r) for r in df.collect())
 
 
 def land(spark, kind, rows, schema, folder, apply, state):
@@ -35,7 +39,9 @@ def folders(spark):
 
 def race(sessions=(1, 2)):
     laps = [(s, d, i, 90.0 + d + i / 10, False, None, START + dt.timedelta(seconds=90 * i)) for s in sessions for d in (1, 2, 3) for i in range(1, 7)]
-    stints = [(s, d, k + 1, "SOFT", 0, 1 + 3 * k, 3 + 3 * k) for s in sessions for d in (1, 2, 3) for k in (0, 1)]
+    pit = {1: 4, 2: 4, 3: 3}  # the last driver stops a lap before the others and comes out ahead
+    stints = [(s, d, 1, "SOFT", 0, 1, pit[d] - 1) for s in sessions for d in pit]
+    stints += [(s, d, 2, "SOFT", 0, pit[d], 6) for s in sessions for d in pit]
     position = [(s, d, d if i < 4 else 4 - d, START + dt.timedelta(seconds=90 * i + 200)) for s in sessions for d in (1, 2, 3) for i in range(1, 7)]
     return laps, stints, position
 
@@ -65,6 +71,23 @@ def test_live_analytics_equal_batch_and_replays(spark):
     assert all(x.startswith("live") for x in left)
 
 
+def test_scopes_of_threads_do_not_meet(spark):
+    """One scope ends while another is open: each removes its own tables only."""
+    both_open, one_done = threading.Barrier(2), threading.Event()
+
+    def work(first):
+        with scratch_tables(spark):
+            table = materialize(spark.range(10))
+            both_open.wait(60)
+            if not first:
+                one_done.wait(60)
+                return table.count()
+        one_done.set()
+
+    with ThreadPoolExecutor(2) as pool:
+        assert [f.result() for f in (pool.submit(work, True), pool.submit(work, False))] == [None, 10]
+
+
 def test_corrections_replace_old_results(spark):
     laps, stints, position = race()
     results, arrive, _ = folders(spark)
@@ -78,6 +101,35 @@ def test_corrections_replace_old_results(spark):
     assert sorted(r.current_position for r in told) == [1, 2, 3]
 
 
+def test_lap_samples_join_two_streams(spark):
+    """Laps come before, after and between their samples; state covers what may still match and no more."""
+    at = lambda seconds: START + dt.timedelta(seconds=seconds)
+    laps = [(1, d, n, 90.0 - n % 5, n == 3, None, at(90 * n)) for d in (1, 2) for n in range(20)]
+    laps += [(1, 1, 90, None, False, None, at(1800)), (1, 1, 91, 60.0, False, None, None)]
+    car = [(1, d, at(5 * k), 200.0 + k % 7, 50.0, 0.0, 4, 9000) for d in (1, 2, 3) for k in range(360)]
+    folders, out, state = {k: shared_dir(spark, k) for k in ("laps", "car")}, shared_dir(spark, "samples"), shared_dir(spark, "state")
+    kept = []
+    for part in range(10):
+        for kind, rows, schema, time in (("laps", laps, schemas.LAPS, 6), ("car", car, schemas.CAR_DATA, 2)):
+            ahead = 60 * (part % 3 - 1) if kind == "car" else 0
+            chosen = [r for r in rows if (r[time] or START) >= at(180 * part + (ahead if part else -1))
+                      and (r[time] or START) < at(180 * part + 180 + 60 * ((part + 1) % 3 - 1) * (kind == "car"))]
+            if part == 9:
+                chosen += [r for r in rows if (r[time] or START) >= at(1800)]
+            spark.createDataFrame(chosen, schema).coalesce(1).write.mode("append").parquet(folders[kind])
+        stream = live.lap_samples(live.stream_laps(spark, folders["laps"]), live.stream_car_data(spark, folders["car"]),
+                                  longest="2 minutes", delay="3 minutes")
+        query = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start()
+        query.awaitTermination()
+        kept.append(max(p.stateOperators[0].numRowsTotal for p in query.recentProgress if p.stateOperators))
+    everything = [spark.read.schema(s).parquet(folders[k]).distinct() for k, s in (("laps", schemas.LAPS), ("car", schemas.CAR_DATA))]
+    columns = ["session_key", "driver_number", "lap_number", "lap_time", "date", "speed"]
+    got = live.fastest_lap_samples(spark.read.parquet(out).distinct(), everything[0]).select(*columns)
+    want = fastest_lap_samples(*everything).select(*columns)
+    assert rows_of(got) == rows_of(want) and got.count() > 10
+    assert max(kept[4:]) <= 1.5 * max(kept[:4]) and max(kept) < len(car) / 2
+
+
 def test_late_rows_are_added_from_the_source(spark):
     out = shared_dir(spark, "unique")
     source = spark.createDataFrame([(1, 1, 4, START), (1, 1, 4, START), (1, 2, 4, START)], POSITION)
