@@ -2,11 +2,14 @@
 
 Shingles are put into one order for all texts, rare ones first. Two sets of similarity 0.8 share a shingle among the
 first fifth of either (prefix filtering), so texts that meet there hold every link. Any order gives the same links; that
-of the most frequent ones is estimated from a sample of texts, which only decides how many pairs meet.
-
-Each shared shingle first proposes its smallest and largest set to all others, which connects a large group of near
-copies with few pairs. Then every pair that is not connected yet is proposed. Parity sketches drop pairs that cannot
-reach 0.8 (they differ in no more bits than the sets in shingles), and what is left is decided on the texts.
+of the most frequent ones is estimated from a sample of texts, which only decides how many pairs meet. Shingles with the
+same texts count once.
+
+Where texts meet, their parity sketches are joined by binary tries: two sets differ in no fewer shingles than their
+sketches in bits, so the error budget that 0.8 allows loses no link, and a pair beyond it is pruned on the way down. Of
+what is left only the edges of a spanning forest are proposed, and these are decided on the texts. A shingle with a
+refuted edge is looked at again: with the components known by then, at last with all its pairs that are still apart. So a
+group of near copies costs about its size.
 """
 
 from __future__ import annotations
@@ -24,10 +27,12 @@ from lapspark.operators.joins import join_per_key
 
 #: Texts whose shingles are counted for the order, how often a frequent one stands in them, and how many are ranked.
 SAMPLE, OFTEN, RANKED = 16_384, 5, 50_000
-#: Rows of one shingle that one task pairs; larger groups are cut into slices that meet in pairs.
-SLICE = 16_384
-#: Pairs looked at once.
-CELLS = 1 << 21
+#: Rows of one shingle that one task joins; larger groups are cut into slices that meet in pairs.
+SLICE = 1024
+#: Rows whose tries are walked together.
+CELLS = 4096
+#: Parity bits of a sketch; fewer exclude less, never a link.
+MOST_BITS = 4096
 
 
 def shingles(text: str, words: int) -> np.ndarray:
@@ -45,30 +50,13 @@ def shingles(text: str, words: int) -> np.ndarray:
         [digest(joined[a:b], 42) for a, b in zip(start[:len(tokens) - k + 1].tolist(), end[k - 1:].tolist())], np.uint64))
 
 
-def similar(common: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Whether sets of ``a`` and ``b`` elements with ``common`` ones have similarity 0.8."""
-    return 9 * common >= 4 * (a + b)
-
-
 def sketch(values: np.ndarray) -> bytes:
-    """For each of 64 or more bits (a power of two, no fewer than the set has values) the parity of its values."""
-    bits = max(64, 1 << (max(1, len(values)) - 1).bit_length())
+    """For each bit the parity of its values; a power of two of bits, four for each value where that is allowed."""
+    bits = min(MOST_BITS, max(64, 1 << (4 * max(1, len(values)) - 1).bit_length()))
     counts = np.bincount((values & np.uint64(bits - 1)).astype(np.int64), minlength=bits)
     return np.packbits((counts & 1).astype(np.uint8), bitorder="little").tobytes()
 
 
-def may_be_similar(a: int, b: int, left: bytes, right: bytes) -> bool:
-    """False only where sets of ``a`` and ``b`` shingles with these sketches cannot have similarity 0.8."""
-    if 5 * min(a, b) < 4 * max(a, b):
-        return False
-    x, y = (np.frombuffer(s, np.uint64) for s in (left, right))
-    while len(x) > len(y):
-        x = x[:len(x) // 2] ^ x[len(x) // 2:]
-    while len(y) > len(x):
-        y = y[:len(y) // 2] ^ y[len(y) // 2:]
-    return 9 * int(np.bitwise_count(x ^ y).sum()) <= a + b
-
-
 def sets(docs: DataFrame, words: int) -> DataFrame:
     """``doc_id, _row, node, size, sketch`` of ``identified`` texts; ``node`` is a hash of the whole set."""
     kind = dict(docs.dtypes)["doc_id"]
@@ -108,7 +96,7 @@ def _frequent(docs: DataFrame, words: int, n: int, scratch: Scratch) -> np.ndarr
 
 
 def _prefixes(docs: DataFrame, words: int, frequent: np.ndarray) -> DataFrame:
-    """``shingle, node, size, at``: the first fifth of every set in the common order, with places."""
+    """``key, node``: the first fifth of every set in the common order."""
     by_hash = np.argsort(frequent)
     ordered = frequent[by_hash]
 
@@ -127,109 +115,146 @@ def _prefixes(docs: DataFrame, words: int, frequent: np.ndarray) -> DataFrame:
                     rank = np.where(ordered[place] == values, by_hash[place], -1)
                 chosen = values[np.argsort(rank, kind="stable")[:first]]
                 node = np.uint64(xxhash.xxh3_64_intdigest(values.tobytes()))
-                parts.append((chosen, np.full(first, node), np.full(first, n, np.int32), np.arange(first, dtype=np.int32)))
+                parts.append((chosen, np.full(first, node)))
             if parts:
-                h, node, size, at = (np.concatenate(x) for x in zip(*parts))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(h.view(np.int64)), pa.array(node.view(np.int64)), pa.array(size), pa.array(at)],
-                    ["shingle", "node", "size", "at"])
-
-    return docs.select("text").mapInArrow(run, "shingle long, node long, size int, at int")
-
-
-def _apart(node: np.ndarray, root: np.ndarray, size: np.ndarray, at: np.ndarray, side: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of rows of one shingle that are not connected and can still share enough from their places on."""
-    n = len(node)
-    left = (size - at).astype(np.int64)
-    step = max(1, CELLS // n)
-    for s in range(0, n, step):
-        a = slice(s, s + step)
-        ok = (root[a, None] != root) & (node[a, None] < node) & ((side[a, None] == 3) | (side[a, None] != side))
-        ok &= similar(np.minimum(left[a, None], left), size[a, None].astype(np.int64), size)
-        x, y = np.nonzero(ok)
+                h, node = (np.concatenate(x) for x in zip(*parts))
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(node.view(np.int64))], ["key", "node"])
+
+    return docs.select("text").mapInArrow(run, "key long, node long")
+
+
+def _folded(sketches: list[bytes], words: int) -> np.ndarray:
+    """Sketches of ``words`` or twice as many 64-bit words, all as ``words`` of them."""
+    out = np.empty((len(sketches), words), np.uint64)
+    for i, raw in enumerate(sketches):
+        x = np.frombuffer(raw, np.uint64)
+        out[i] = x if len(x) == words else x[:words] ^ x[words:]
+    return out
+
+
+def _passes(width: np.ndarray, size: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """Length of sketch and sizes that meet in one pass; the smaller set of a pair is in the lower four fifths of a pass.
+
+    Sketches of the greatest length hold sets of any size, so there one pass covers a doubling of sizes.
+    """
+    most = MOST_BITS // 64
+    for words in np.unique(width[width < most]).tolist():
+        yield words, 0, 20 * words
+    for octave in np.unique(np.frexp(size[width == most].astype(float))[1]).tolist():
+        yield most, 1 << octave - 1, 5 << octave >> 2
+
+
+def near_pairs(group, node, root, size, sketches, side, barred, every: bool):
+    """Pairs of rows of one group that may have similarity 0.8 and different roots: a spanning forest, or ``every`` pair.
+
+    ``side`` is 3 for rows that meet all others of their group, 1 and 2 for rows of two slices that meet only each other;
+    ``barred`` has for each row the nodes known not to be linked with it. Sets whose sketches differ in length meet at the
+    shorter one, where sizes so far apart as 0.8 allows differ by one doubling at most.
+    """
+    from lapspark.llm.simhash import _Forest, trie_join
+
+    size = size.astype(np.int64)
+    width = np.array([len(s) // 8 for s in sketches])
+    forest = _Forest(len(node))
+    known = np.lexsort((root, group))
+    alike = (group[known][1:] == group[known][:-1]) & (root[known][1:] == root[known][:-1])
+    for _ in forest.join(known[:-1][alike], known[1:][alike]):
+        pass
+
+    def taken(x: np.ndarray, y: np.ndarray, fp: np.ndarray, at: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        # ``at`` are the places in this pass; x and y are rows.
+        differ = np.bitwise_count(fp[at[x]] ^ fp[at[y]]).sum(axis=1, dtype=np.int64)
+        ok = (group[x] == group[y]) & (root[x] != root[y]) & ((side[x] == 3) | (side[y] == 3) | (side[x] != side[y]))
+        ok &= (9 * differ <= size[x] + size[y]) & (5 * np.minimum(size[x], size[y]) >= 4 * np.maximum(size[x], size[y]))
+        x, y = x[ok], y[ok]
         if len(x):
-            yield node[x + s], node[y]
-
-
-def _unconnected(rows: DataFrame) -> DataFrame:
-    """``a, b``: all pairs of ``rows`` (``shingle, node, root, size, at``) with one shingle and different roots."""
-    mixed = rows.groupBy("shingle").agg(F.min("root").alias("_low"), F.max("root").alias("_high"), F.count("*").alias("_n"))
-    rows = join_per_key(rows, mixed.where("_low <> _high").select("shingle", "_n"), ["shingle"])
-    slices = F.when(F.col("_n") > SLICE, F.ceil(F.col("_n") / (SLICE // 2))).otherwise(1).cast("int")
-    rows = rows.withColumn("_slices", slices).withColumn("_slice", F.pmod(F.xxhash64("node"), "_slices").cast("int"))
-    partners = F.transform(
-        F.sequence(F.lit(0), F.col("_slices") - 1),
-        lambda j: F.struct(F.least("_slice", j).alias("i"), F.greatest("_slice", j).alias("j")))
-    meeting = rows.withColumn("_pair", F.explode(partners)).select(
-        "shingle", F.col("_pair.i").alias("i"), F.col("_pair.j").alias("j"), "node", "root", "size", "at",
-        F.when(F.col("_pair.i") == F.col("_pair.j"), 3).when(F.col("_slice") == F.col("_pair.i"), 1).otherwise(2).alias("side"))
-    group = ["shingle", "i", "j"]
-
-    def pairs(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(held)
-        c = {k: table.column(k).to_numpy() for k in table.column_names}
-        new = np.zeros(len(table), bool)
-        new[0] = True
-        for k in group:
-            new[1:] |= c[k][1:] != c[k][:-1]
-        edge = np.r_[np.flatnonzero(new), len(table)]
-        found: list[tuple[np.ndarray, np.ndarray]] = []
-        size = 0
-        for s, e in zip(edge[:-1].tolist(), edge[1:].tolist()):
-            for pair in _apart(*(c[k][s:e] for k in ("node", "root", "size", "at", "side"))):
-                found.append(pair)
-                size += len(pair[0])
-                if size >= CELLS:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found)], ["a", "b"])
-                    found, size = [], 0
-        if found:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found)], ["a", "b"])
+            free = np.array([b not in barred[i] and a not in barred[j] for i, j, a, b in zip(x, y, node[x], node[y])], bool)
+            x, y = x[free], y[free]
+        if every:
+            yield x, y
+        else:
+            yield from forest.join(x, y)
+
+    for words, low, high in _passes(width, size):
+        rows = np.flatnonzero(((width == words) | (width == 2 * words)) & (size >= low) & (size <= high))
+        if len(rows) < 2:
+            continue
+        fp = _folded([sketches[i] for i in rows], words)
+        order = np.lexsort((*fp.T[::-1], group[rows]))
+        rows, fp = rows[order], fp[order]
+        at = np.full(len(node), -1)
+        at[rows] = np.arange(len(rows))
+        # Rows of one sketch are one leaf of the trie: its first row stands for all.
+        new = np.r_[True, (group[rows][1:] != group[rows][:-1]) | (fp[1:] != fp[:-1]).any(axis=1)]
+        first = np.flatnonzero(new)
+        last = np.r_[first[1:], len(rows)]
+        for s, e in zip(first[last - first > 1].tolist(), last[last - first > 1].tolist()):
+            for k in range(s, e - 1):
+                yield from taken(np.full(e - k - 1, rows[k]), rows[k + 1:e], fp, at)
+        errors = int(2 * size[rows].max() // 9)  # the sum of two sizes over nine, at most
+        single = last - first == 1
+        # Leaves that hang together already need not meet again; those of several rows stay apart.
+        leaf, leaves = np.repeat(np.arange(len(first)), last - first), _Forest(len(first))
+        together = np.where(single, forest.roots(np.arange(len(node)))[rows[first]], -1 - np.arange(len(first)))
+        by_root = np.argsort(together, kind="stable")
+        alike = together[by_root][1:] == together[by_root][:-1]
+        for _ in leaves.join(by_root[:-1][alike], by_root[1:][alike]):
+            pass
+
+        def met(x: np.ndarray, y: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            one = single[x] & single[y]
+            for a, b in taken(rows[first[x[one]]], rows[first[y[one]]], fp, at):
+                yield a, b
+                if not every:
+                    for _ in leaves.join(leaf[at[a]], leaf[at[b]]):
+                        pass
+            for i, j in zip(x[~one].tolist(), y[~one].tolist()):
+                a, b = rows[first[i]:last[i]], rows[first[j]:last[j]]
+                yield from taken(np.repeat(a, len(b)), np.tile(b, len(a)), fp, at)
+
+        # Near leaves of the sorted order come first; within groups of near copies they connect almost everything.
+        for step in () if every else (1, 2, 3, 5, 8, 13):
+            yield from met(np.arange(max(0, len(first) - step)), np.arange(min(step, len(first)), len(first)))
+        for x, y in trie_join(group[rows][first], fp[first], np.full(len(first), 3), errors, leaves):
+            yield from met(x, y)
+
+
+def _proposals(rows: DataFrame, cross: bool, every: bool) -> DataFrame:
+    """``a, b, key``: what the shingles in ``rows`` (``key, node, members, low, root, barred, size, sketch``) propose.
+
+    Without ``cross`` only rows of one slice meet, and the smallest of the shingle meets all.
+    """
+    from lapspark.llm.minhash import _whole_groups
+
+    slices = F.when(F.col("members") > SLICE, F.ceil(F.col("members") / (SLICE // 2))).otherwise(1).cast("int")
+    rows = rows.withColumn("slices", slices).withColumn("slice", F.pmod(F.xxhash64("node"), "slices").cast("int"))
+    every_slice = F.sequence(F.lit(0), F.col("slices") - 1)
+    if cross:
+        partners = F.transform(every_slice, lambda j: F.struct(F.least("slice", j).alias("i"), F.greatest("slice", j).alias("j")))
+    else:
+        own = F.when(F.col("node") == F.col("low"), every_slice).otherwise(F.array("slice"))
+        partners = F.transform(own, lambda j: F.struct(j.alias("i"), j.alias("j")))
+    meeting = rows.withColumn("pair", F.explode(partners)).select(
+        "key", F.col("pair.i").alias("i"), F.col("pair.j").alias("j"), "node", "root", "size", "sketch", "barred",
+        F.when(F.col("pair.i") == F.col("pair.j"), 3).when(F.col("slice") == F.col("pair.i"), 1).otherwise(2).alias("side"))
+    group, most = ["key", "i", "j"], CELLS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # Batches are held up to the start of their last group, which may go on in the next one.
-        held: list[pa.RecordBatch] = []
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            last = np.zeros(batch.num_rows, bool)
-            for k in group:
-                v = batch.column(k).to_numpy()
-                last |= v != v[-1]
-            cut = int(np.flatnonzero(last)[-1]) + 1 if last.any() else 0
-            before = held and any(held[-1].column(k)[-1] != batch.column(k)[batch.num_rows - 1] for k in group)
-            if cut or before:
-                yield from pairs([*held, batch.slice(0, cut)])
-                held = []
-            held.append(batch.slice(cut))
-        if held:
-            yield from pairs(held)
-
-    return meeting.repartition(*group).sortWithinPartitions(*group).mapInArrow(run, "a long, b long").distinct()
-
-
-def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, words: int, scratch: Scratch, name: str) -> DataFrame:
-    """Those of ``pairs`` (``a, b``) whose sets have similarity 0.8, decided on the texts."""
-    def both(rows: DataFrame, of: DataFrame, *columns: str) -> DataFrame:
-        for side in ("a", "b"):
-            rows = join_per_key(rows, of.select(F.col("node").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in columns)), [side])
-        return rows
-
-    def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            c = [batch.column(k).to_pylist() for k in ("size_a", "size_b", "sketch_a", "sketch_b")]
-            keep = pa.array([may_be_similar(*x) for x in zip(*c)], pa.bool_())
-            yield batch.select(["a", "b"]).filter(keep)
-
-    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("text_a"), batch.column("text_b")):
-                x, y = shingles(x.as_py(), words), shingles(y.as_py(), words)
-                keep.append(bool(similar(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y))))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        for table, edges in _whole_groups(batches, group, most):
+            c = {k: table.column(k).to_numpy() for k in ("key", "node", "root", "size", "side")}
+            of = np.repeat(np.arange(len(edges) - 1), np.diff(edges))
+            # The smallest nodes come first, so shingles of similar texts propose the same edges.
+            order = np.lexsort((c["node"], of))
+            sketches, barred = table.column("sketch").to_pylist(), [set(b) for b in table.column("barred").to_pylist()]
+            found = list(near_pairs(
+                of[order], c["node"][order], c["root"][order], c["size"][order], [sketches[k] for k in order], c["side"][order],
+                [barred[k] for k in order], every))
+            x, y = (np.concatenate([np.zeros(0, np.int64), *(f[k] for f in found)]) for k in (0, 1))
+            a, b = c["node"][order][x], c["node"][order][y]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(c["key"][order][x])], ["a", "b", "key"])
 
-    near = scratch.table(both(pairs, nodes, "size", "sketch").mapInArrow(sketched, "a long, b long"), f"{name}-pairs")
-    return scratch.table(both(near, texts, "text").mapInArrow(exact, "a long, b long"), f"{name}-links")
+    return meeting.repartition(*group).sortWithinPartitions(*group).mapInArrow(run, "a long, b long, key long")
 
 
 def links(docs: DataFrame, nodes: DataFrame, words: int, components: Callable, scratch: Scratch) -> DataFrame:
@@ -237,18 +262,32 @@ def links(docs: DataFrame, nodes: DataFrame, words: int, components: Callable, s
 
     ``docs`` is ``identified``; ``components`` gives ``node, root`` of edges.
     """
-    prefixes = _prefixes(docs, words, _frequent(docs, words, docs.count(), scratch))
-    shared = prefixes.groupBy("shingle").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high")
-    held = join_per_key(prefixes, scratch.table(shared, "shared"), ["shingle"]).distinct()
-    meetings = scratch.table(held, "meetings")
-    wanted = join_per_key(nodes, meetings.select("node").distinct(), ["node"], "left_semi").select("doc_id", "_row", "node")
+    from lapspark.llm.minhash import _confirmed, _open_buckets
+
+    prefixes = _prefixes(docs, words, _frequent(docs, words, docs.count(), scratch)).distinct()
+    shared = prefixes.groupBy("key").agg(
+        F.count("*").alias("members"), F.min("node").alias("low"),
+        F.expr("bit_xor(xxhash64(node))").alias("_h1"), F.expr("bit_xor(xxhash64(node, 1))").alias("_h2"))
+    kept = shared.where("members > 1").groupBy("members", "low", "_h1", "_h2").agg(F.min("key").alias("key"))
+    kept = scratch.table(kept.select("key", "members", "low"), "shared")
+    met = scratch.table(join_per_key(prefixes, kept, ["key"]), "meetings")
+    scratch.drop("shared")
+    wanted = join_per_key(nodes, met.select("node").distinct(), ["node"], "left_semi").select("doc_id", "_row", "node")
     found = join_rows(docs.select("doc_id", "_row", "text"), wanted, "inner")
     texts = scratch.table(found.groupBy("node").agg(F.first("text").alias("text")), "texts")
-    hubs = meetings.select("node", F.explode(F.array("low", "high")).alias("hub")).where("node <> hub")
-    pairs = hubs.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
-    first = _verified(pairs, nodes, texts, words, scratch, "hub")
-    known = components(first, scratch).withColumnRenamed("node", "_node")
-    rooted = join_per_key(meetings.drop("low", "high").withColumnRenamed("node", "_node"), known, ["_node"], "left").select(
-        "shingle", F.col("_node").alias("node"), F.coalesce("root", "_node").alias("root"), "size", "at")
-    second = _verified(_unconnected(rooted), nodes, texts, words, scratch, "other")
-    return first.unionByName(second)
+    known = nodes.select("node", "size", "sketch")
+    rows = met.withColumn("root", F.col("node")).withColumn("barred", F.array().cast("array<long>"))
+    decided = None
+    for k, (cross, every) in enumerate(((False, False), (True, False), (True, True))):
+        offers = scratch.table(_proposals(join_per_key(rows, known, ["node"]), cross, every), f"offers{k}")
+        verdict = scratch.table(_confirmed(offers.select("a", "b").distinct(), texts, words, 80), f"verdict{k}")
+        decided = verdict if decided is None else decided.unionByName(verdict)
+        if every:
+            break
+        again = join_per_key(offers, verdict.where("NOT linked").select("a", "b"), ["a", "b"], "left_semi").select("key").distinct()
+        if not cross:
+            again = again.unionByName(met.where(F.col("members") > SLICE).select("key")).distinct()
+        if again.isEmpty():
+            break
+        rows = _open_buckets(met, again, decided, scratch)
+    return decided.where("linked").select("a", "b")

@@ -348,6 +348,7 @@ def keep_one_of_each(docs: DataFrame, words: int = 5) -> DataFrame:
     stays, of repeated rows one.
     """
     scratch, known = Scratch(docs.sparkSession), identified(docs)
+    answer = Scratch(docs.sparkSession)
     rows = scratch.table(shingle_sets.sets(known, words), "sets")
     id_first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")
     nodes = scratch.table(
@@ -357,7 +358,9 @@ def keep_one_of_each(docs: DataFrame, words: int = 5) -> DataFrame:
     found = components(edges, scratch).withColumnRenamed("node", "found")
     rooted = nodes.join(found, F.col("node") == F.col("found"), "left").select(
         "doc_id", "_row", F.coalesce("root", "node").alias("root"))
-    chosen = rooted.groupBy("root").agg(F.min(id_first).alias("least")).select("least.doc_id", "least._row")
+    chosen = answer.table(
+        rooted.groupBy("root").agg(F.min(id_first).alias("least")).select("least.doc_id", "least._row"), "chosen")
+    scratch.drop()
     first = Window.partitionBy("_row", "doc_id").orderBy(F.lit(1))
     kept = join_rows(carried(docs), chosen, "left_semi").withColumn("_nth", F.row_number().over(first))
     return restored(kept.where("_nth = 1"), docs)

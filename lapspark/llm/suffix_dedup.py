@@ -290,7 +290,7 @@ def _bytes_kept(text: bytes, starts: list[dict] | None, length: int) -> tuple[by
 
 def _with_starts(docs: DataFrame, length: int) -> DataFrame:
     listed = repeated_starts(docs, length).groupBy("_row", "doc_id").agg(
-        F.collect_list(F.struct("lo", "hi")).alias("_starts"))
+        F.collect_set(F.struct("lo", "hi")).alias("_starts"))
     return join_rows(docs, listed)
 
 
@@ -371,7 +371,7 @@ def remove_repeats(docs: DataFrame, length: int = 400, words: int | None = None)
         # A window is bytes, not starts: as starts of strings of ``length`` bytes it ends ``length`` before.
         short = repeated_windows(known, length, words)
         found = found.unionByName(short.withColumn("hi", F.col("hi") - length))
-    listed = found.groupBy("_row", "doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("_starts"))
+    listed = found.groupBy("_row", "doc_id").agg(F.collect_set(F.struct("lo", "hi")).alias("_starts"))
     joined = join_rows(carried(docs), listed).select("text", "_starts", "_doc")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
