@@ -59,10 +59,11 @@ def test_live_analytics_equal_batch_and_replays(spark):
         normalise_laps(spark.createDataFrame(laps, schemas.LAPS)), spark.createDataFrame(stints, schemas.STINTS),
         spark.createDataFrame(position, schemas.POSITION),
     ]
-    for name, fn in live.ANALYTICS.items():
-        want = fn(*frames)
-        got = spark.read.parquet(f"{results}/{name}").select(*want.columns)
-        assert rows_of(got) == rows_of(want), name
+    with scratch_tables(spark):
+        for name, fn in live.ANALYTICS.items():
+            want = fn(*frames)
+            got = spark.read.parquet(f"{results}/{name}").select(*want.columns)
+            assert rows_of(got) == rows_of(want), name
     assert spark.read.parquet(f"{results}/undercuts").count() > 0
     known = rows_of(spark.read.parquet(f"{results}/gap_to_leader"))
     kinds["laps"][2](spark.createDataFrame(laps[20:], schemas.LAPS), 1)  # a replayed batch changes nothing
