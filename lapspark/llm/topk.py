@@ -9,6 +9,8 @@ what lies above it and the smallest ids among its ties.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from decimal import Decimal
+from heapq import nsmallest
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +23,10 @@ from lapspark.llm.common import Scratch
 BINS = 4096
 #: Scores held at once in a task.
 CELLS = 1 << 21
+#: Vectors of at least this length are scored in wide integers: products of shorter ones fit 64 bits.
+WIDE = 1 << 30
+#: Largest number of a score column of 38 digits.
+DIGITS = 10**38 - 1
 OWN = np.iinfo(np.int64).min
 
 
@@ -36,7 +42,10 @@ def integer_vectors(vectors: DataFrame, scale: int = 1024) -> DataFrame:
 
 
 def _blocks(vectors: DataFrame, count: int, name: str) -> DataFrame:
-    """``name, name_ids, name_data``: vectors packed into ``count`` blocks by a hash of their id."""
+    """``name, name_ids, name_data``: vectors packed into ``count`` blocks by a hash of id and components.
+
+    The rows of one id are spread over the blocks, so an id that holds a third of all rows fills no block alone.
+    """
     def pack(table: pa.Table) -> pa.Table:
         v = table.column("v").combine_chunks()
         return pa.table({
@@ -46,7 +55,7 @@ def _blocks(vectors: DataFrame, count: int, name: str) -> DataFrame:
         })
 
     return (
-        vectors.withColumn("_b", F.pmod(F.xxhash64("vec_id", "dim"), F.lit(count)))
+        vectors.withColumn("_b", F.pmod(F.xxhash64("vec_id", "v"), F.lit(count)))
         .groupBy("_b", "dim").applyInArrow(pack, f"{name} long, dim int, {name}_ids binary, {name}_data binary")
     )
 
@@ -137,27 +146,64 @@ def _stateful(queries: DataFrame, states: DataFrame) -> DataFrame:
         order, "q long, dim int, q_ids binary, q_data binary, state binary")
 
 
+def _as_long(name: str) -> Column:
+    """The nearest 64-bit number."""
+    ends = np.iinfo(np.int64)
+    return F.least(F.greatest(name, F.lit(ends.min)), F.lit(ends.max)).cast("long").alias(name)
+
+
+def _wide_hits(queries: DataFrame, candidates: DataFrame, k: int) -> DataFrame:
+    """``query_id, vec_id, score`` of pairs that may leave 64 bits: the ``k`` best of each query row and block."""
+    blocks = max(1, -(-candidates.count() // 512))
+    asked = _blocks(queries, max(1, -(-queries.count() // 512)), "q")
+    copied = asked.withColumn("c", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                get = lambda c: np.frombuffer(batch.column(c)[row].as_py(), "<i8")
+                q_ids, c_ids = get("q_ids"), get("c_ids").tolist()
+                whole = get("c_data").reshape(len(c_ids), -1).astype(object).T
+                found = []
+                for own, vector in zip(q_ids.tolist(), get("q_data").reshape(len(q_ids), -1).astype(object)):
+                    scores = zip((vector @ whole).tolist(), c_ids)
+                    best = nsmallest(k, ((-score, other) for score, other in scores if other != own))
+                    found += [(own, other, Decimal(max(-DIGITS, min(DIGITS, -minus)))) for minus, other in best]
+                if found:
+                    own, other, score = zip(*found)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(own, pa.int64()), pa.array(other, pa.int64()), pa.array(score, pa.decimal128(38, 0))],
+                        ["query_id", "vec_id", "score"])
+
+    return copied.join(_blocks(candidates, blocks, "c"), ["c", "dim"]).mapInArrow(
+        run, "query_id long, vec_id long, score decimal(38,0)")
+
+
 def top_k(vectors: DataFrame, k: int = 10, is_query: Column | None = None, query_block: int = 512,
           candidate_block: int = 4096) -> DataFrame:
     """``query_id, rank, vec_id, score``: for each query its ``k`` highest scores, ties to the smaller id.
 
     Queries are the rows whose ``vec_id`` is divisible by 100 unless ``is_query`` says otherwise; a query is no
-    candidate of its own. Rows without ``vec_id`` take no part. Fewer candidates than ``k`` give all of them. Vectors of different lengths never meet;
-    unusable vectors take no part (see ``integer_vectors``); of rows with one ``vec_id`` the largest vector counts; an
-    empty table gives no rows.
+    candidate of its own. Rows without ``vec_id`` take no part. Fewer candidates than ``k`` give all of them. Vectors of
+    different lengths never meet; unusable vectors take no part (see ``integer_vectors``). Every row with a vector of its
+    own is a candidate, also under a repeated ``vec_id`` (the hits of one ``query_id`` are ranked together); rows equal
+    in id and vector count once. An empty table gives no rows.
+
+    Pairs with a vector of length ``WIDE`` or more are scored apart, in integers of any size. They are ranked by up to 38
+    digits and returned as the nearest 64-bit number. Components beyond 64 bits count as the nearest such number.
     """
     scratch = Scratch(vectors.sparkSession)
-    clean = integer_vectors(vectors).groupBy("vec_id").agg(F.max("v").alias("v"))
-    table = scratch.table(clean.withColumn("dim", F.size("v")), "vectors")
-    chosen = table.where((F.col("vec_id") % 100 == 0) if is_query is None else is_query)
+    clean = integer_vectors(vectors.select("vec_id", "embedding").distinct())
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x))
+    every = scratch.table(clean.withColumns({"dim": F.size("v"), "wide": norm >= WIDE}), "vectors")
+    asks = (F.col("vec_id") % 100 == 0) if is_query is None else is_query
+    table = every.where(~F.col("wide"))
+    chosen = table.where(asks)
     n, longest = table.agg(F.count("*"), F.max(norm)).first()
     blocks = max(1, -(-n // candidate_block))
     queries = scratch.table(_blocks(chosen, max(1, -(-chosen.count() // query_block)), "q"), "queries")
     candidates = scratch.table(_blocks(table, blocks, "c"), "candidates")
     bound = int((longest or 0.0) ** 2 * (1 + 1e-9)) + 1
-    if bound >= 1 << 61:
-        raise ValueError("scores do not fit 64 bits")
     exact_double = bound < 1 << 53
 
     def pairs(states: DataFrame) -> DataFrame:
@@ -169,7 +215,7 @@ def top_k(vectors: DataFrame, k: int = 10, is_query: Column | None = None, query
         lambda batches: (
             pa.RecordBatch.from_arrays([pa.array(np.full(len(x), q)), pa.array(x)], ["q", "query_id"])
             for b in batches for q, x in zip(b.column("q").to_pylist(), (np.frombuffer(v.as_py(), "<i8") for v in b.column("q_ids")))
-        ), "q long, query_id long")
+        ), "q long, query_id long").distinct()
     width = -(-(2 * bound + 1) // BINS)
     state = scratch.table(ids.withColumns({"low": F.lit(-bound).cast("long"), "width": F.lit(width).cast("long")}), "interval0")
     step = 0
@@ -190,6 +236,10 @@ def top_k(vectors: DataFrame, k: int = 10, is_query: Column | None = None, query
             break
         width = inner
     hits = _scored(pairs(state), _selected(k), "query_id long, vec_id long, score long", exact_double)
+    wide = every.where("wide")
+    if not wide.isEmpty():
+        hits = hits.withColumn("score", F.col("score").cast("decimal(38,0)"))
+        hits = hits.unionByName(_wide_hits(wide.where(asks), every, k)).unionByName(_wide_hits(chosen, wide, k))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return hits.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select(
-        "query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+        "query_id", F.col("rank").cast("int").alias("rank"), "vec_id", _as_long("score"))

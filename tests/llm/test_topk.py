@@ -55,3 +55,34 @@ def test_empty_and_repeated_rows(spark):
     assert topk.top_k(empty).collect() == []
     df = spark.createDataFrame([(0, [1.0], 1, None, None, None), (7, [2.0], 1, None, None, None)] * 2, SCHEMA)
     assert [tuple(r) for r in topk.top_k(df).collect()] == [(0, 1, 7, 1024 * 2048)]
+
+
+def pooled(vectors, k):
+    """All distinct rows are candidates; the hits of one id are ranked together."""
+    rows = [(i, [math.floor(1024 * float(x)) for x in v]) for i, v in {(i, tuple(v)) for i, v in vectors}]
+    for q in sorted({i for i, _ in rows if i % 100 == 0}):
+        found = sorted(
+            (-sum(a * b for a, b in zip(v, w)), j) for i, v in rows if i == q for j, w in rows if j != q and len(v) == len(w))
+        for rank, (minus, j) in enumerate(found[:k], 1):
+            yield q, rank, j, max(-(1 << 63), min((1 << 63) - 1, -minus))
+
+
+def check_pooled(spark, vectors, k, **more):
+    df = spark.createDataFrame([(i, list(v)) for i, v in vectors], "vec_id long, embedding array<double>")
+    assert sorted(tuple(r) for r in topk.top_k(df, k, **more).collect()) == sorted(pooled(vectors, k))
+
+
+def test_every_row_of_a_repeated_id_is_a_candidate(spark):
+    check_pooled(spark, [(0, [1.0]), (7, [2.0]), (7, [3.0]), (100, [0.5])], 10)
+    rnd = random.Random(3)
+    # One id holds a third of all rows, another one several query vectors.
+    ids = [7] * 100 + [200] * 5 + list(range(195))
+    check_pooled(spark, [(i, [rnd.gauss(0, 1) for _ in range(3)]) for i in ids], 6, query_block=2, candidate_block=16)
+
+
+def test_components_beyond_64_bit_scores(spark):
+    rnd = random.Random(4)
+    vectors = [(i, [rnd.gauss(0, 1) for _ in range(3)]) for i in range(0, 300, 5)]
+    vectors += [(500, [1e7, -1.0, 2.0]), (501, [-1e7, 3e7, 0.0]), (502, [2e6, 2e6, 2e6]), (600, [3e12, 1.0, -4e9]), (601, [3e12, 2.0, 4e9])]
+    check_pooled(spark, vectors, 4, candidate_block=20)
+    check_pooled(spark, [(0, [4e7]), (1, [5e7])], 4)
