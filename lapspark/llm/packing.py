@@ -160,12 +160,15 @@ def pack_documents(docs: DataFrame, name: str = "byte_bpe_50k.json", window: int
     scratch = Scratch(docs.sparkSession)
     pieces = scratch.table(cut_pieces(docs, name, window, end_id), "pieces")
     shards = max(1, -(-pieces.count() // shard_rows))
-    spread = pieces.withColumn("_shard", F.pmod(F.xxhash64("_row", "doc_id", "start", "_nth"), F.lit(shards)))
     kind = dict(docs.dtypes)["doc_id"]
+    # Ids that are no integers are put in order by their hash.
+    order_id = F.col("doc_id") if kind in ("tinyint", "smallint", "int", "bigint") else F.xxhash64("doc_id")
+    spread = pieces.withColumns({
+        "_shard": F.pmod(F.xxhash64("_row", "doc_id", "start", "_nth"), F.lit(shards)), "_order": order_id})
 
     def pack(table: pa.Table) -> pa.Table:
         length, start, row, doc = (
-            table.column(c).fill_null(-1).to_numpy() for c in ("length", "start", "_row", "doc_id"))
+            table.column(c).fill_null(-1).to_numpy() for c in ("length", "start", "_row", "_order"))
         order = np.lexsort((start, row, doc, length))
         table, length = table.take(pa.array(order)), length[order]
         whole = np.flatnonzero(length == window)

@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lapspark.llm import bpe, packing, token_count
 from lapspark.llm.tokenizing import space_units, tokenizer
@@ -97,6 +98,25 @@ def test_packing_repeated_rows_and_null_ids(spark):
     assert sorted(r.offset for r in rows) == [0, 3, 6, 8] and len({r.sequence_id for r in rows}) == 1
 
 
+@pytest.mark.parametrize("kind", ["string", "decimal(20,2)", "timestamp", "binary", "struct<a:int,b:string>"])
+def test_packing_takes_ids_of_any_type(spark, kind):
+    texts = ["some words here " * (k % 7) for k in range(40)]
+    whole = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    ident = {
+        "struct<a:int,b:string>": F.struct(F.col("doc_id").cast("int").alias("a"), F.lit("x").alias("b")),
+        "binary": F.col("doc_id").cast("string").cast("binary"), "timestamp": F.timestamp_seconds("doc_id"),
+    }.get(kind, F.col("doc_id").cast(kind))
+    df = whole.withColumn("doc_id", F.when(F.col("doc_id") > 2, ident))
+    packed = packing.pack_documents(df, window=64)
+    assert dict(packed.dtypes)["doc_id"] == kind
+    rows = packed.collect()
+    assert len({r.doc_id for r in rows if r.doc_id is not None}) == 37
+    assert sum(r.length for r in rows) == sum(r.doc_tokens for r in rows if r.start == 0)
+    places = sorted((r.sequence_id, r.offset, r.length) for r in rows)
+    for (seq, at, length), (other, later, _) in zip(places, places[1:]):
+        assert later == (at + length if seq == other else 0)
+
+
 def test_minimum_bin_slack_fills_exactly():
     best = packing.fill({700: 1, 600: 2, 300: 5}, 1500)
     assert sum(v * c for v, c in best) == 1500
