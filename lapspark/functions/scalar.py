@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -89,10 +91,18 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v)
 
 
+def computed_once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` evaluated once a row, also where a lambda inside ``use`` refers to it."""
+    return F.transform(F.array(value), use).getItem(0)
+
+
 def unit(a: Column) -> Column:
     """The vector divided by its length; an (almost) zero vector becomes zero, so its cosines are 0.0."""
-    length = F.sqrt(dot(a, a))
-    return F.transform(a, lambda x: F.when(length < 1e-9, F.lit(0.0)).otherwise(x / length))
+
+    def scaled(v: Column, length: Column) -> Column:
+        return F.transform(v, lambda x: F.when(length < 1e-9, F.lit(0.0)).otherwise(x / length))
+
+    return computed_once(a, lambda v: computed_once(F.sqrt(dot(v, v)), lambda length: scaled(v, length)))
 
 
 def fraction_of_points(arr: Column, predicate) -> Column:

@@ -1,8 +1,11 @@
 import json
+import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from lapspark.functions import scalar
 from lapspark.operators import audit as U
 from lapspark.operators import profiles as R
 from lapspark.operators import quality as Q
@@ -126,6 +129,61 @@ def test_cosine(spark):
     assert in_blocks == got
 
 
+def clustered(spark, clusters=12, each=60, width=16):
+    rnd = random.Random(5)
+    centres = [[rnd.gauss(0, 1) for _ in range(width)] for _ in range(clusters)]
+    near = lambda c: [x + rnd.gauss(0, 0.05) for x in c]
+    rows = [(f"p{i:02d}-{j}", near(c)) for i, c in enumerate(centres) for j in range(each)]
+    # A third of all profiles are copies of one vector; some are zero; some lie anywhere.
+    rows += [(f"copy{j}", centres[0]) for j in range(clusters * each // 2)] + [("zero", [0.0] * width), ("zero2", [0.0] * width)]
+    rows += [(f"far{j}", [rnd.gauss(0, 1) for _ in range(width)]) for j in range(20)]
+    asked = [(k, near(centres[k % clusters])) for k in range(60)] + [(90, [0.0] * width), (91, [rnd.gauss(0, 1) for _ in range(width)])]
+    return rows, asked
+
+
+def test_bounds_leave_out_blocks_and_lose_no_hit(spark):
+    rows, asked = clustered(spark)
+    profiles = spark.createDataFrame(rows, "name string, vector array<double>")
+    queries = spark.createDataFrame(asked, "query_id int, vector array<double>")
+
+    def unit(v):
+        n = math.sqrt(sum(x * x for x in v))
+        return [x / n if n >= 1e-9 else 0.0 for x in v]
+
+    for k in (1, 3, 200):
+        got = {}
+        for r in R.cosine_topk(queries, profiles, k, block=80).collect():
+            got.setdefault(r.query_id, []).append((r["rank"], r.name, r.similarity))
+        for q, v in asked:
+            scores = {n: sum(a * b for a, b in zip(unit(v), unit(w))) for n, w in rows}
+            found = [s for _, _, s in sorted(got[q])]
+            assert found == pytest.approx(sorted(scores.values(), reverse=True)[:k], abs=1e-12)
+            assert len({n for _, n, _ in got[q]}) == k
+            assert all(scores[n] == pytest.approx(s, abs=1e-12) for _, n, s in got[q])
+    blocks = R.profile_blocks(profiles, 80)
+    sizes = [r.n for r in blocks.select(F.size("_profiles").alias("n")).collect()]
+    assert sum(sizes) == len(rows) and max(sizes) < 240
+    asked_units = queries.where("query_id < 90").select("query_id", F.col("vector").alias("_q"))
+    asked_units = asked_units.select("query_id", scalar.unit(F.col("_q")).alias("_q"))
+    first, rest = R.bounded_hits(asked_units, blocks, ["name"], 2, "query_id")
+    scored = sum(r[0] or 0 for part in (first, rest) for r in part.agg(F.sum("_scored")).collect())
+    assert scored < 60 * len(rows) / 2
+
+
+def test_search_odd_tables(spark):
+    schema = "name string, vector array<double>"
+    some = spark.createDataFrame([("a", [1.0, 0.0]), ("a", [1.0, 0.0]), ("n", None)], schema)
+    asked = some.withColumnRenamed("name", "query_id").distinct()
+    assert R.cosine_topk(asked, spark.createDataFrame([], schema), 2).count() == 0
+    assert [(r["rank"], r.name, r.similarity) for r in R.cosine_topk(asked, some, 5).collect()] == [(1, "a", 1.0), (2, "a", 1.0)]
+    repeated = spark.createDataFrame([("a", [1.0, 0.5])] * 150 + [("b", [0.0, 1.0])], schema)
+    found = R.cosine_topk(asked, repeated, 151).groupBy("name").count().collect()
+    assert {r.name: r["count"] for r in found} == {"a": 150, "b": 1}
+    for wrong in ({"k": 0}, {"block": 0}):
+        with pytest.raises(ValueError):
+            R.cosine_topk(asked, some, **wrong)
+
+
 def test_built_in_profiles_find_themselves(spark):
     each, overall = R.retrieval_quality(R.style_profiles(spark))
     row = overall.collect()[0]
