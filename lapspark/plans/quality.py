@@ -20,7 +20,7 @@ from lapspark.schemas import STINTS as STINT_SCHEMA
 from lapspark.schemas import ensure_columns
 from lapspark.session import materialize, shared_dir
 from lapspark.sources import adapters as A
-from lapspark.sources import tables
+from lapspark.sources import quarantine, tables
 from lapspark.streaming import keyed, live
 
 PROFILES = """profiles AS (
@@ -641,3 +641,47 @@ def read_position(spark, sf):
 FROM customer""")
 def read_drivers(spark, sf):
     return tables.read_drivers(spark, _landed(spark, A.drivers(spark, sf), "drivers"))
+
+
+# --- lines with faults: rows whose lap number is divisible by 11, 13 or 17 ---
+
+FAULTS = f"""{LAPS},
+told AS (
+  SELECT *, CASE WHEN lap_number % 11 = 0 THEN 'bad line' WHEN lap_number % 13 = 0 THEN 'missing driver_number'
+                 WHEN lap_number % 17 = 0 THEN 'bad time date_start' END AS reason FROM laps)"""
+
+
+def _quarantined(spark, sf):
+    """Laps landed as JSON lines, some cut short, some without a driver, some with a time that is none; then ingested."""
+    laps = A.laps(spark, sf)
+
+    def faulty(n):
+        return F.col("lap_number") % n == 0
+
+    fields = F.struct(
+        "session_key", F.when(~faulty(13), F.col("driver_number")).alias("driver_number"), "lap_number", "lap_duration",
+        "is_pit_out_lap", F.when(faulty(17), "soon").otherwise(F.col("date").cast("string")).alias("date_start"))
+    line = F.to_json(fields)
+    cut = F.when(faulty(11), F.substring(line, F.lit(1), F.length(line) - 1)).otherwise(line)
+    landing, out = shared_dir(spark, "lines"), shared_dir(spark, "checked")
+    laps.select(cut.alias("value")).write.text(landing)
+    quarantine.ingest_checked(spark, landing, out, LAP_SCHEMA, L.LAP)
+    return out
+
+
+@query("ingest_good", f"""WITH {FAULTS}
+SELECT session_key, driver_number, lap_number, lap_duration, is_pit_out_lap, date AS date_start FROM told WHERE reason IS NULL""")
+def ingest_good(spark, sf):
+    """The rows that passed."""
+    rows = quarantine.good_rows(spark, _quarantined(spark, sf), LAP_SCHEMA)
+    return rows.select(*L.LAP, "lap_duration", "is_pit_out_lap", "date_start")
+
+
+@query("ingest_rejects", f"""WITH {FAULTS}
+SELECT reason, CASE WHEN reason = 'bad line' THEN 'unknown' ELSE CAST(session_key AS VARCHAR) END AS session, count(*) AS rejects
+FROM told WHERE reason IS NOT NULL GROUP BY 1, 2""")
+def ingest_rejects(spark, sf):
+    """Rejected lines by reason and, where it could be read, session."""
+    rows = quarantine.rejected_lines(spark, _quarantined(spark, sf), LAP_SCHEMA)
+    session = F.coalesce(F.col("session_key").cast("string"), F.lit("unknown"))
+    return rows.groupBy("reason", session.alias("session")).agg(F.count(F.lit(1)).alias("rejects"))
