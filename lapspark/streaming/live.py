@@ -7,7 +7,9 @@ watermark are left out of the de-duplicated stream and counted in the query prog
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Callable, Mapping, Sequence
+from threading import Lock
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -165,6 +167,10 @@ def _session_rows(spark: SparkSession, store: str, kind: str, sessions: Sequence
     return out.select(*key, "_row.*") if rest else out.select(*key)
 
 
+#: One lock for each folder of results; the batches of its streams run in threads of one driver.
+_PUBLISHING: dict[str, Lock] = defaultdict(Lock)
+
+
 def live_analytics(
     store: str, results: str, kind: str = "laps", analytics: Mapping[str, Analytic] | None = None
 ) -> Callable[[DataFrame, int], None]:
@@ -174,10 +180,17 @@ def live_analytics(
     the same files. Then the touched sessions are analysed as a whole, from all that is stored of the three kinds. Their
     partitions of the results are replaced, also by nothing if a correction leaves no row. Intermediates are removed
     when the batch is done.
+
+    Streams that share a folder of results must run in one driver. There a batch stores, reads and publishes before the
+    next one does, whichever stream it belongs to, so no batch can publish a state older than the published one.
     """
     wanted = dict(ANALYTICS if analytics is None else analytics)
 
     def apply(batch: DataFrame, batch_id: int) -> None:
+        with _PUBLISHING[results]:
+            refresh(batch, batch_id)
+
+    def refresh(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         sessions = _touched(batch)
         (

@@ -1,8 +1,11 @@
 import datetime as dt
 import os
 import threading
+import time
 from concurrent.futures import ThreadPoolExecutor
 
+from pyspark.sql import functions as F
+
 from lapspark import schemas
 from lapspark.operators.laps import normalise_laps
 from lapspark.operators.positions import latest_position
@@ -72,6 +75,33 @@ def test_live_analytics_equal_batch_and_replays(spark):
     assert all(x.startswith("live") for x in left)
 
 
+def test_a_slow_batch_publishes_no_older_state(spark):
+    """Positions come while a slow batch of laps is analysed: what is published last has both."""
+    laps, stints, position = race()
+    started, calls = threading.Event(), []
+
+    def slow(laps, stints, position):
+        calls.append(1)
+        if len(calls) == 1:
+            started.set()
+            time.sleep(4)
+        count = lambda df, name: df.groupBy("session_key").agg(F.count("*").alias(name))
+        return count(laps, "n_laps").join(count(position, "n_position"), "session_key", "left")
+
+    store, results = shared_dir(spark, "slow-store"), shared_dir(spark, "slow-results")
+    apply = {k: live.live_analytics(store, results, k, {"seen": slow}) for k in ("laps", "position")}
+
+    def late_position():
+        started.wait(60)
+        apply["position"](spark.createDataFrame(position, schemas.POSITION), 0)
+
+    with ThreadPoolExecutor(2) as pool:
+        both = [pool.submit(late_position), pool.submit(apply["laps"], spark.createDataFrame(laps, schemas.LAPS), 0)]
+        assert [f.result() for f in both] == [None, None]
+    got = {r.session_key: (r.n_laps, r.n_position) for r in spark.read.parquet(f"{results}/seen").collect()}
+    assert got == {1: (18, 18), 2: (18, 18)}
+
+
 def test_scopes_of_threads_do_not_meet(spark):
     """One scope ends while another is open: each removes its own tables only."""
     both_open, one_done = threading.Barrier(2), threading.Event()
