@@ -280,6 +280,8 @@ def project_finish(
 
 def project_finish_simple(laps: DataFrame, total_laps: int, recent_window: int = 5) -> DataFrame:
     """Elapsed time plus the remaining laps at the mean of the last few valid laps."""
+    at_least(0, total_laps=total_laps)
+    at_least(1, recent_window=recent_window)
     valid = valid_laps(laps).where(F.col("driver_number").isNotNull())
     totals = valid.groupBy(*DRIVER).agg(
         F.sum("lap_duration").alias("_elapsed"), F.max("lap_number").alias("laps_completed")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lapspark.functions.scalar import (
     add_seconds,
+    at_least,
     elapsed_seconds,
     fraction_of_points,
     micros,
@@ -57,6 +58,7 @@ def resample(
     decrease along ``order``; see :func:`axis_violations`. Keys with fewer than ``min_samples``
     samples are left out.
     """
+    at_least(2, points=points)
     rows = with_channels(samples, channels).withColumn(axis, nan_to_null(F.col(axis).cast("double")))
     rows = rows.where(F.col(axis).isNotNull()).select(*keys, order, axis, *channels)
     here = {"_x1": F.col(axis), **{f"_n_{c}": F.col(c) for c in channels}}
