@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lapspark.functions.scalar import add_seconds, at_least, nan_to_null, sequence_bucket, value_bucket
-from lapspark.operators.ordered import rolling_mean, row_number_in_order, with_running
+from lapspark.operators.ordered import rolling_mean, row_number_in_order, with_running, with_runs_merged
 from lapspark.operators.quantiles import grouped_median
 from lapspark.schemas import SAFETY_CAR_RATIO
 from lapspark.session import materialize
@@ -144,6 +144,21 @@ def gap_to_leader(laps: DataFrame) -> DataFrame:
     )
 
 
+def leader_runs(laps: DataFrame) -> DataFrame:
+    """Laps in a row led by one driver: ``session_key, run, leader, first_lap, last_lap, laps``.
+
+    A lap's leader has the lowest cumulative time of those who drove it (ties to the smaller number); laps nobody
+    drove do not end a run.
+    """
+    ahead = gap_to_leader(laps).where(F.col("gap") == 0).groupBy(*SESSION, "lap_number")
+    led = ahead.agg(F.min("driver_number").alias("leader"))
+    runs = with_runs_merged(led, SESSION, ["lap_number"], sequence_bucket("lap_number"), "leader")
+    return runs.select(
+        *SESSION, "run", "leader", F.col("first_lap_number").alias("first_lap"),
+        F.col("last_lap_number").alias("last_lap"), F.col("length").alias("laps"),
+    )
+
+
 def pivot_by_driver(df: DataFrame, value: str, drivers: Sequence[int]) -> DataFrame:
     """Wide lap-by-driver matrix for a known list of drivers."""
     return (

@@ -14,6 +14,8 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from lapspark.session import materialize
+
 BUCKET = "_bucket"
 
 
@@ -222,3 +224,50 @@ def asof_backward(
     both = tagged_left.unionByName(tagged_right)
     out = with_running(both, by, [on, "_side", "_hit"], bucket(on), lasts={"_match": F.col("_hit")})
     return out.where(F.col("_side") == 1).select(*by, on, "_row.*", "_match.*")
+
+
+def with_runs_merged(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Column, value: str, number: str = "run"
+) -> DataFrame:
+    """Consecutive rows of a key with one value as a single row.
+
+    Gives ``keys``, the run's 0-based ``number``, ``value``, ``first_*`` and ``last_*`` of every order column and
+    ``length``. A null value is a value like any other; ``order`` must be a total order; rows without a key are left out.
+
+    Runs are built inside the buckets first, so the rows are read and shuffled once. Of a bucket only the first value,
+    the last value and the number of changes go over the whole key: they tell whether its first run goes on from the
+    bucket before, and which number it has.
+    """
+    rows = df
+    for k in keys:
+        rows = rows.where(F.col(k).isNotNull())
+    rows = rows.select(*keys, *order, F.struct(F.col(value)).alias("_value"), bucket.alias(BUCKET))
+    inside = _inside(keys, order)
+    changed = ~F.lag("_value").over(inside).eqNullSafe(F.col("_value")) & (F.row_number().over(inside) > 1)
+    so_far = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumn("_new", changed.cast("long")).withColumn("_part", F.sum("_new").over(so_far))
+
+    def merged(parts: DataFrame, by: Sequence[str], first: Column, last: Column, length: Column) -> DataFrame:
+        return parts.groupBy(*by).agg(
+            F.first("_value").alias("_value"), F.min(first).alias("_from"), F.max(last).alias("_to"),
+            F.sum(length).alias("length"),
+        )
+
+    stamp = F.struct(*order)
+    parts = materialize(merged(rows, [*keys, BUCKET, "_part"], stamp, stamp, F.lit(1)))
+    ends = parts.groupBy(*keys, BUCKET).agg(
+        F.min_by("_value", "_part").alias("_head"), F.max_by("_value", "_part").alias("_tail"),
+        F.max("_part").alias("_changes"),
+    )
+    buckets = Window.partitionBy(*keys).orderBy(BUCKET)
+    goes_on = F.lag("_tail").over(buckets).eqNullSafe(F.col("_head"))
+    ends = ends.withColumn("_starts", F.when(goes_on, 0).otherwise(1))
+    upto = buckets.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    base = F.sum("_starts").over(upto) + F.sum("_changes").over(upto) - F.col("_changes") - 1
+    numbered = parts.join(ends.select(*keys, BUCKET, base.alias("_base")), [*keys, BUCKET])
+    numbered = numbered.withColumn(number, F.col("_base") + F.col("_part"))
+    runs = merged(numbered, [*keys, number], F.col("_from"), F.col("_to"), F.col("length"))
+    return runs.select(
+        *keys, number, F.col("_value")[value].alias(value), *[F.col("_from")[o].alias(f"first_{o}") for o in order],
+        *[F.col("_to")[o].alias(f"last_{o}") for o in order], "length",
+    )

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lapspark.functions.scalar import sequence_bucket, time_bucket
 from lapspark.operators.joins import interval_join
 from lapspark.operators.laps import DRIVER, LAP, SESSION
-from lapspark.operators.ordered import asof_backward, row_number_in_order, with_neighbours
+from lapspark.operators.ordered import asof_backward, row_number_in_order, with_neighbours, with_runs_merged
 from lapspark.session import materialize
 
 
@@ -117,6 +117,20 @@ def latest_position(position: DataFrame) -> DataFrame:
     )
 
 
+def position_runs(position: DataFrame) -> DataFrame:
+    """Reports in a row of a driver with one position: ``…, run, position, since, until, reports``.
+
+    Reports without a position are left out; of those of one instant the smaller position comes first.
+    """
+    known = position.where(F.col("position").isNotNull()).select(*DRIVER, "date", "position")
+    known = known.withColumn("_place", F.col("position"))
+    runs = with_runs_merged(known, DRIVER, ["date", "_place"], time_bucket("date"), "position")
+    return runs.select(
+        *DRIVER, "run", "position", F.col("first_date").alias("since"), F.col("last_date").alias("until"),
+        F.col("length").alias("reports"),
+    )
+
+
 def position_on_lap(cutoffs: DataFrame, position: DataFrame, laps: DataFrame, lap: str) -> DataFrame:
     """Last known position at or before one lap per driver (``cutoffs`` has one row per driver)."""
     known = recorded_positions(position, laps).where(F.col("position").isNotNull())

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lapspark.functions.scalar import nan_to_null
+from lapspark.functions.scalar import nan_to_null, sequence_bucket
 from lapspark.operators.joins import interval_join
 from lapspark.operators.laps import DRIVER, LAP, clean_laps
+from lapspark.operators.ordered import with_runs_merged
 
 STINT_COLUMNS = ["stint_number", "compound", "tyre_age_at_start", "lap_start", "lap_end"]
 
@@ -37,6 +38,20 @@ def tyre_age(laps: DataFrame, stints: DataFrame) -> DataFrame:
     )
 
 
+def compound_runs(laps: DataFrame, stints: DataFrame) -> DataFrame:
+    """Laps in a row of a driver on one compound, over stints of the same compound too.
+
+    Gives ``session_key, driver_number, run, compound, first_lap, last_lap, laps``; laps without a stint are left out and
+    do not end a run.
+    """
+    fitted = tyre_age(laps, stints)
+    runs = with_runs_merged(fitted, DRIVER, ["lap_number"], sequence_bucket("lap_number"), "compound")
+    return runs.select(
+        *DRIVER, "run", "compound", F.col("first_lap_number").alias("first_lap"),
+        F.col("last_lap_number").alias("last_lap"), F.col("length").alias("laps"),
+    )
+
+
 def stint_degradation(laps: DataFrame, stints: DataFrame, clean: bool = True) -> DataFrame:
     """Least-squares slope of duration on lap number for every stint with at least three laps."""
     rows = clean_laps(laps) if clean else laps

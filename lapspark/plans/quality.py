@@ -9,6 +9,7 @@ from lapspark.operators import laps as L
 from lapspark.operators import ml as M
 from lapspark.operators import profiles as R
 from lapspark.operators import quality as Q
+from lapspark.operators import sketches as K
 from lapspark.plans.race import CUMULATIVE, LAPS, POSITION, ROLLING, STINTS
 from lapspark.plans.registry import ORACLES, query
 from lapspark.plans.telemetry import FASTEST
@@ -486,6 +487,35 @@ def stream_latest_position(spark, sf):
     return spark.read.parquet(out).withColumn("session_key", F.col("session_key").cast("long"))
 
 
+@query("live_position_updates", ORACLES["stream_latest_position"])
+def live_position_updates(spark, sf):
+    """Latest positions kept as streaming state; each batch stores only the drivers it changes."""
+    landing, out = shared_dir(spark, "position"), shared_dir(spark, "position-updates")
+    A.position(spark, sf).repartition(3).write.parquet(landing)
+    stream = live.stream_table(spark, landing, spark.read.parquet(landing).schema, files_per_batch=1)
+    updates = live.latest_position_updates(stream)
+    live.start_updates(updates, out, shared_dir(spark, "position-updates-state")).awaitTermination()
+    return live.current_positions(spark, out)
+
+
+QUARTILES = [0.0, 0.25, 0.5, 0.75, 1.0]
+
+
+@query("live_lap_quantiles", f"""WITH {LAPS}
+SELECT session_key, quantile, count(*) AS n, true AS within_bound
+FROM laps, (SELECT unnest([0.0, 0.25, 0.5, 0.75, 1.0])::DOUBLE AS quantile) GROUP BY 1, 2""")
+def live_lap_quantiles(spark, sf):
+    """Quantiles merged from the sketches of three batches: are their exact ranks within twice the stated error?"""
+    laps = A.laps(spark, sf)
+    landing, out = shared_dir(spark, "sketch-laps"), shared_dir(spark, "sketches")
+    laps.repartition(3).write.parquet(landing)
+    stream = live.stream_table(spark, landing, laps.schema, files_per_batch=1)
+    live.run_available(stream, live.store_sketches(out, "lap_duration"), shared_dir(spark, "sketch-state"))
+    found = live.live_quantiles(spark, out, QUARTILES)
+    off = K.rank_deviation(laps, L.SESSION, "lap_duration", found, QUARTILES)
+    return off.select("session_key", "quantile", "n", (F.col("deviation") <= 2 * K.rank_error()).alias("within_bound"))
+
+
 @query("live_gap_to_leader", f"""WITH {CUMULATIVE}
 SELECT session_key, driver_number, lap_number, round(cum_time, 6) AS cum_time, round(gap, 6) AS gap FROM gaps""")
 def live_gap_to_leader(spark, sf):

@@ -476,3 +476,39 @@ SELECT CAST(meeting_key AS BIGINT) AS meeting_key, session_key, session_name, se
     date_start, session_key) AS rn FROM sessions) WHERE rn = 1""")
 def default_session(spark, sf):
     return tables.default_session(A.sessions(spark, sf))
+
+
+def _runs(source: str, keys: str, order: str, value: str) -> str:
+    """SQL that numbers the runs of equal values in ``source``."""
+    window = f"(PARTITION BY {keys} ORDER BY {order})"
+    return f"""
+marked AS (SELECT *, CASE WHEN row_number() OVER {window} > 1 AND {value} IS DISTINCT FROM lag({value}) OVER {window}
+                          THEN 1 ELSE 0 END AS new FROM {source}),
+runs AS (SELECT *, CAST(sum(new) OVER (PARTITION BY {keys} ORDER BY {order}
+                                       ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS run FROM marked)"""
+
+
+@query("leader_runs", f"""WITH {CUMULATIVE},
+led AS (SELECT session_key, lap_number, min(driver_number) AS leader FROM gaps WHERE gap = 0 GROUP BY 1, 2),
+{_runs("led", "session_key", "lap_number", "leader")}
+SELECT session_key, run, any_value(leader) AS leader, min(lap_number) AS first_lap, max(lap_number) AS last_lap,
+       count(*) AS laps FROM runs GROUP BY 1, 2""")
+def leader_runs(spark, sf):
+    return L.leader_runs(A.laps(spark, sf))
+
+
+@query("compound_runs", f"""WITH {LAPS}, {STINTS}, {STINT_LAPS.format(source="laps")},
+{_runs("stint_laps", "session_key, driver_number", "lap_number", "compound")}
+SELECT session_key, driver_number, run, any_value(compound) AS compound, min(lap_number) AS first_lap,
+       max(lap_number) AS last_lap, count(*) AS laps FROM runs GROUP BY 1, 2, 3""")
+def compound_runs(spark, sf):
+    laps = A.laps(spark, sf)
+    return S.compound_runs(laps, A.stints(laps))
+
+
+@query("position_runs", f"""WITH {POSITION},
+{_runs("pos", "session_key, driver_number", "date, position", "position")}
+SELECT session_key, driver_number, run, any_value(position) AS position, min(date) AS since, max(date) AS until,
+       count(*) AS reports FROM runs GROUP BY 1, 2, 3""")
+def position_runs(spark, sf):
+    return P.position_runs(A.position(spark, sf))

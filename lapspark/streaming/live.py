@@ -20,6 +20,7 @@ from pyspark.sql.streaming import StreamingQuery
 from lapspark import schemas
 from lapspark.functions.scalar import add_seconds, nan_to_null
 from lapspark.operators.laps import DRIVER, LAP, fastest_laps, gap_to_leader, normalise_laps, pace_summary, rolling_pace
+from lapspark.operators.sketches import K, merge_sketches, quantile_sketches, sketch_quantiles
 from lapspark.operators.stints import stint_degradation
 from lapspark.operators.strategy import detect_undercuts, project_finish
 from lapspark.session import materialize, remove_folder, scratch_tables
@@ -136,6 +137,52 @@ def upsert_latest_position(path: str) -> Callable[[DataFrame, int], None]:
     return apply
 
 
+def latest_position_updates(position: DataFrame) -> DataFrame:
+    """Most recent position per driver of a stream, for update mode: a batch sends out the drivers it changes.
+
+    State is one entry for each driver ever seen.
+    """
+    newest = F.max(F.struct("date", "position")).alias("_last")
+    known = position.where(F.col("position").isNotNull())
+    return known.groupBy(*DRIVER).agg(newest).select(*DRIVER, "_last.position", "_last.date")
+
+
+def start_updates(updates: DataFrame, path: str, checkpoint: str, interval: str | None = None) -> StreamingQuery:
+    """Write what each batch changes into a folder of its own (``path/batch_id=…``), on a timer or once over everything.
+
+    Nothing stored is read or rewritten, and a replayed batch overwrites its own folder with the same rows.
+    """
+
+    def apply(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+
+    return start(updates, apply, checkpoint, interval, mode="update")
+
+
+def current_positions(spark: SparkSession, path: str) -> DataFrame:
+    """Latest position per driver from the changes written by ``start_updates``."""
+    stored = _stored(spark, path)
+    if stored is None:
+        return spark.createDataFrame([], schemas.POSITION)
+    rest = F.max_by(F.struct("position", "date"), "batch_id").alias("_row")
+    return stored.groupBy(*DRIVER).agg(rest).select(*DRIVER, "_row.*")
+
+
+def store_sketches(path: str, value: str, k: int = K) -> Callable[[DataFrame, int], None]:
+    """``foreachBatch`` function keeping one quantile sketch for each session and batch; a replay overwrites its own."""
+
+    def apply(batch: DataFrame, batch_id: int) -> None:
+        sketches = quantile_sketches(batch, ["session_key"], value, k).withColumn("batch_id", F.lit(batch_id))
+        sketches.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(path)
+
+    return apply
+
+
+def live_quantiles(spark: SparkSession, path: str, quantiles: Sequence[float]) -> DataFrame:
+    """``session_key, n, estimates`` from the stored sketches of all batches."""
+    return sketch_quantiles(merge_sketches(spark.read.parquet(path), ["session_key"]), quantiles)
+
+
 Analytic = Callable[[DataFrame, DataFrame, DataFrame], DataFrame]
 
 ANALYTICS: dict[str, Analytic] = {
@@ -226,10 +273,11 @@ def add_late_rows(source: DataFrame, path: str, keys: Sequence[str]) -> None:
 
 
 def start(
-    stream: DataFrame, apply: Callable[[DataFrame, int], None], checkpoint: str, interval: str | None = None
+    stream: DataFrame, apply: Callable[[DataFrame, int], None], checkpoint: str, interval: str | None = None,
+    mode: str = "append",
 ) -> StreamingQuery:
     """Run a batch function over a stream: on a timer, or once over everything available."""
-    writer = stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
+    writer = stream.writeStream.outputMode(mode).foreachBatch(apply).option("checkpointLocation", checkpoint)
     writer = writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)
     return writer.start()
 

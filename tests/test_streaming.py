@@ -197,3 +197,43 @@ def test_duplicates_are_dropped_across_batches(spark):
 def test_latest_session(spark):
     df = spark.createDataFrame([(1, 1), (7, 2), (7, 3)], "session_key int, driver_number int")
     assert sorted(r.driver_number for r in live.latest_session(df).collect()) == [2, 3]
+
+
+def test_position_updates_after_replays_and_late_rows(spark):
+    landing, out = shared_dir(spark, "position"), shared_dir(spark, "updates")
+    at = [START + dt.timedelta(seconds=10 * i) for i in range(6)]
+    parts = [
+        [(1, 1, 4, at[2]), (1, 2, 5, at[2])], [(1, 1, 9, at[0]), (1, 2, None, at[5])],
+        [(1, 1, 3, at[4]), (1, 1, 2, at[4]), (2, 1, 1, at[1])],
+    ]
+    state = shared_dir(spark, "updates-state")
+    assert live.current_positions(spark, out).collect() == []
+    for n, part in enumerate(parts):
+        spark.createDataFrame(part, POSITION).coalesce(1).write.mode("append").parquet(landing)
+        updates = live.latest_position_updates(live.stream_position(spark, landing))
+        live.start_updates(updates, out, state).awaitTermination()
+        want = latest_position(spark.createDataFrame(sum(parts[: n + 1], []), POSITION))
+        got = live.current_positions(spark, out).select(*want.columns)
+        assert rows_of(got) == rows_of(want)
+    # A batch stores the drivers it touches and nothing else; one written again changes nothing.
+    last = spark.read.parquet(f"{out}/batch_id=2")
+    assert sorted((r.session_key, r.driver_number) for r in last.collect()) == [(1, 1), (2, 1)]
+    again = spark.createDataFrame(last.collect(), last.schema)
+    again.write.mode("overwrite").parquet(f"{out}/batch_id=2")
+    assert rows_of(live.current_positions(spark, out).select(*want.columns)) == rows_of(want)
+
+
+def test_position_updates_on_a_timer(spark):
+    landing, out = shared_dir(spark, "position"), shared_dir(spark, "updates")
+    os.makedirs(landing)
+    updates = live.latest_position_updates(live.stream_position(spark, landing))
+    query = live.start_updates(updates, out, shared_dir(spark, "updates-state"), "1 second")
+    try:
+        for i in range(3):
+            row = (1, 1, i + 1, START + dt.timedelta(seconds=i))
+            spark.createDataFrame([row], POSITION).coalesce(1).write.mode("append").parquet(landing)
+            query.processAllAvailable()
+            assert [r.position for r in live.current_positions(spark, out).collect()] == [i + 1]
+        assert query.lastProgress["batchId"] >= 2 and query.isActive
+    finally:
+        query.stop()
