@@ -36,9 +36,10 @@ def at_least(lowest: int, **arguments: int) -> None:
             raise ValueError(f"{name} must be an integer of at least {lowest}, got {value!r}")
 
 
-def sequence_bucket(c: Column | str) -> Column:
-    """Contiguous chunk of an integer ordering column (lap number, sample number)."""
-    return F.coalesce(F.shiftright(col(c).cast("long"), LAP_BUCKET_BITS), F.lit(LAST_BUCKET))
+def sequence_bucket(c: Column | str, descending: bool = False) -> Column:
+    """Contiguous chunk of an integer ordering column (lap number, sample number); null comes last either way."""
+    chunk = F.shiftright(col(c).cast("long"), LAP_BUCKET_BITS)
+    return F.coalesce(-chunk if descending else chunk, F.lit(LAST_BUCKET))
 
 
 def time_bucket(c: Column | str, seconds: int = TIME_BUCKET_SECONDS) -> Column:

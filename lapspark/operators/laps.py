@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lapspark.functions.scalar import add_seconds, at_least, nan_to_null, sequence_bucket, value_bucket
-from lapspark.operators.ordered import rolling_mean, row_number_in_order, with_running, with_runs_merged
+from lapspark.operators.ordered import first_rows, rolling_mean, row_number_in_order, with_running, with_runs_merged
 from lapspark.operators.quantiles import grouped_median
 from lapspark.schemas import SAFETY_CAR_RATIO
 from lapspark.session import materialize
@@ -204,6 +204,19 @@ def top_per_key(df: DataFrame, keys: Sequence[str], order: Sequence, n: int, nam
     )
 
 
+#: From this number of rows on, Spark does not limit the input partitions of a window.
+GROUP_LIMIT = 1000
+
+
+def last_laps(laps: DataFrame, n: int = 5, name: str = "back") -> DataFrame:
+    """Each driver's last ``n`` laps, numbered backwards; of equal lap numbers the longer lap comes first."""
+    at_least(1, n=n)
+    order = [F.desc("lap_number"), F.desc("lap_duration")]
+    if n < GROUP_LIMIT:
+        return top_per_key(laps, DRIVER, order, n, name)
+    return first_rows(laps, DRIVER, order, n, sequence_bucket("lap_number", descending=True), name)
+
+
 def distinct_drivers(df: DataFrame, column: str = "driver_number") -> DataFrame:
     return df.where(F.col(column).isNotNull()).select("session_key", column).distinct()
 

@@ -10,6 +10,8 @@ and the rows themselves are only ever windowed inside one bucket. The rows are s
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -88,6 +90,36 @@ def row_number_in_order(
     return with_running(df, keys, order, bucket, sums={name: F.lit(1).cast("long")})
 
 
+def first_rows(
+    df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int, bucket: Column, name: str
+) -> DataFrame:
+    """First ``n`` rows of each key with their 1-based place, for any ``n``; ``bucket`` ascends in ``order``.
+
+    Counts per bucket tell which buckets hold the first ``n`` rows and how many rows lie before each; only those are put
+    in order. Rows of a null key are a key of their own, as in a window.
+    """
+    rows = df.withColumn(BUCKET, bucket)
+    sizes = rows.groupBy(*keys, BUCKET).agg(F.count(F.lit(1)).alias("_size"))
+    before = Window.partitionBy(*keys).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
+    wanted = sizes.withColumn("_base", F.coalesce(F.sum("_size").over(before), F.lit(0))).where(F.col("_base") < n)
+    wanted = wanted.select(*[F.col(c).alias(f"_of_{c}") for c in (*keys, BUCKET)], "_base")
+    same = [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in (*keys, BUCKET)]
+    rows = rows.join(wanted, reduce(and_, same)).drop(*[f"_of_{c}" for c in (*keys, BUCKET)])
+    place = F.row_number().over(Window.partitionBy(*keys, BUCKET).orderBy(*order)) + F.col("_base")
+    return rows.withColumn(name, place).where(F.col(name) <= n).drop(BUCKET, "_base")
+
+
+def exploded_range(df: DataFrame, start: Column, stop: Column, name: str, piece: int = 4096) -> DataFrame:
+    """A row for each integer from ``start`` to ``stop`` (none if it is smaller); no array holds more than ``piece``.
+
+    Long ranges are first cut into pieces, in a list that is ``piece`` times shorter.
+    """
+    cut = df.withColumns({"_start": start.cast("long"), "_stop": stop.cast("long")}).where(F.col("_start") <= F.col("_stop"))
+    cut = cut.withColumn("_start", F.explode(F.sequence("_start", "_stop", F.lit(piece).cast("long"))))
+    end = F.least(F.col("_start") + (piece - 1), F.col("_stop"))
+    return cut.withColumn(name, F.explode(F.sequence("_start", end))).drop("_start", "_stop")
+
+
 def with_neighbours(
     df: DataFrame,
     keys: Sequence[str],

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lapspark.functions.scalar import sequence_bucket, time_bucket
 from lapspark.operators.joins import interval_join
 from lapspark.operators.laps import DRIVER, LAP, SESSION
-from lapspark.operators.ordered import asof_backward, row_number_in_order, with_neighbours, with_runs_merged
+from lapspark.operators.ordered import asof_backward, exploded_range, row_number_in_order, with_neighbours, with_runs_merged
 from lapspark.session import materialize
 
 
@@ -54,17 +54,13 @@ def lap_positions(position: DataFrame, laps: DataFrame) -> DataFrame:
     )
     start = F.when(F.col("_has_lag"), F.col("_i")).otherwise(F.lit(1).cast("long"))
     stop = F.when(F.col("_has_lead"), F.col("_n") - 1).otherwise(F.col("_count"))
-    grid = spans.select(
-        *DRIVER,
-        F.col("_i").alias("_own"),
-        F.col("position").alias("_position"),
-        F.explode(F.sequence(start, stop)).alias("_i"),
-    ).select(*DRIVER, "_i", F.when(F.col("_i") >= F.col("_own"), F.col("_position")).alias("position"))
+    held = spans.select(
+        *DRIVER, F.col("_i").alias("_own"), F.col("position").alias("_position"), start.alias("_a"), stop.alias("_z")
+    )
+    grid = exploded_range(held, F.col("_a"), F.col("_z"), "_i").select(*DRIVER, "_i", F.when(F.col("_i") >= F.col("_own"), F.col("_position")).alias("position"))
     # Drivers that only ever reported nulls still get their laps, all null.
     silent = recorded.groupBy(*DRIVER).agg(F.max("position").alias("position")).where(F.col("position").isNull())
-    blank = silent.join(count, SESSION).select(
-        *DRIVER, F.explode(F.sequence(F.lit(1).cast("long"), F.col("_count"))).alias("_i"), "position"
-    )
+    blank = exploded_range(silent.join(count, SESSION), F.lit(1), F.col("_count"), "_i").select(*DRIVER, "_i", "position")
     grid = grid.unionByName(blank)
     return grid.join(lap_index, ["session_key", "_i"]).select(*LAP, "position")
 

@@ -15,8 +15,8 @@ from lapspark.operators.laps import (
     SESSION,
     clean_laps,
     gap_to_leader,
+    last_laps,
     restrict_drivers,
-    top_per_key,
     valid_laps,
 )
 from lapspark.operators.ordered import row_number_in_order, with_neighbours
@@ -214,7 +214,7 @@ def project_finish(
     )
     session_last = totals.groupBy(*SESSION).agg(F.max("current_lap").alias("_session_last"))
     totals = totals.join(session_last, SESSION)
-    recent = top_per_key(clean_laps(laps), DRIVER, [F.desc("lap_number"), F.desc("lap_duration")], window, "_r")
+    recent = last_laps(clean_laps(laps), window, "_r")
     pace = recent.groupBy(*DRIVER).agg(F.avg("lap_duration").alias("_pace"))
     cutoffs = totals.select(*DRIVER, "current_lap")
     tyres = (
@@ -287,7 +287,7 @@ def project_finish_simple(laps: DataFrame, total_laps: int, recent_window: int =
         F.sum("lap_duration").alias("_elapsed"), F.max("lap_number").alias("laps_completed")
     )
     recent = (
-        top_per_key(valid, DRIVER, [F.desc("lap_number"), F.desc("lap_duration")], recent_window, "_r")
+        last_laps(valid, recent_window, "_r")
         .groupBy(*DRIVER)
         .agg(F.avg("lap_duration").alias("recent_pace"))
     )

@@ -251,7 +251,7 @@ SELECT session_key, driver_number, lap_number, lap_duration, back FROM (
   FROM laps WHERE lap_duration > 0) WHERE back <= 5""")
 def last_laps(spark, sf):
     valid = L.valid_laps(A.laps(spark, sf))
-    return L.top_per_key(valid, L.DRIVER, [F.desc("lap_number")], 5, "back").select(
+    return L.last_laps(valid).select(
         *L.LAP, "lap_duration", "back"
     )
 

@@ -9,6 +9,8 @@ from lapspark.functions.scalar import sequence_bucket, time_bucket, value_bucket
 from lapspark.operators.joins import interval_join
 from lapspark.operators.ordered import (
     asof_backward,
+    exploded_range,
+    first_rows,
     rolling_mean,
     row_number_in_order,
     with_neighbours,
@@ -117,3 +119,36 @@ def test_value_bucket_is_monotone(spark):
     df = spark.createDataFrame([(v,) for v in values], "v double").select("v", value_bucket("v").alias("b"))
     buckets = [r.b for r in sorted(df.collect(), key=lambda r: r.v)]
     assert buckets == sorted(buckets)
+
+
+def test_first_rows_of_any_number(spark):
+    rnd = np.random.default_rng(5)
+    rows = [(int(k) or None, int(o) or None, float(v)) for k, o, v in zip(rnd.integers(0, 3, 3000), rnd.integers(0, 900, 3000), rnd.random(3000))]
+    df = spark.createDataFrame(rows, "k int, o int, v double")
+    order = [F.desc("o"), F.desc("v")]
+    for n in (1, 40, 1200):
+        got = first_rows(df, ["k"], order, n, sequence_bucket("o", descending=True), "at").collect()
+        want = {}
+        for k in {r[0] for r in rows}:
+            mine = sorted((r for r in rows if r[0] == k), key=lambda r: (r[1] is not None, r[1] or 0, r[2]), reverse=True)
+            want |= {r: i + 1 for i, r in enumerate(mine[:n])}
+        assert {(r.k, r.o, r.v): r["at"] for r in got} == want and len(got) == len(want)
+
+
+def test_last_laps_on_both_sides_of_the_limit(spark, monkeypatch):
+    from lapspark.operators import laps
+
+    rows = [(1, d, i, 90.0 + i % 7, False, None) for d in (1, 2) for i in range(1, 60)]
+    df = spark.createDataFrame(rows, "session_key int, driver_number int, lap_number int, lap_duration double, is_pit_out_lap boolean, date timestamp")
+    plain = sorted(map(str, laps.last_laps(df, 20).collect()))
+    monkeypatch.setattr(laps, "GROUP_LIMIT", 10)
+    assert sorted(map(str, laps.last_laps(df, 20).collect())) == plain and len(plain) == 40
+    with pytest.raises(ValueError):
+        laps.last_laps(df, 0)
+
+
+def test_ranges_longer_than_a_piece(spark):
+    rows = [(1, 1, 25), (2, 3, 3), (3, 5, 4), (4, 1, 10), (5, None, 3)]
+    df = spark.createDataFrame(rows, "k int, a int, z int")
+    got = sorted((r.k, r.i) for r in exploded_range(df, F.col("a"), F.col("z"), "i", piece=10).collect())
+    assert got == [(k, i) for k, a, z in rows if a for i in range(a, z + 1)]
