@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,9 +13,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from lapspark.llm.common import bare
-from lapspark.llm.tokenizing import Memo, batches_of, by_special, space_units, specials, tokenizer
+from lapspark.llm.tokenizing import BYTE_ALPHABET, Memo, batches_of, by_special, space_units, specials, tokenizer
 
 NONE = np.int64(1 << 40)
+#: Letters or digits after at most one blank or line feed, and stops behind them: what the pattern cuts is plain here.
+_PLAIN = re.compile("([ \n]?)([A-Za-zÀ-ÖØ-öø-ÿ]+|[0-9]+)([.,;:!?]*)")
+_SPACE, _LINE_FEED = " \n".translate(BYTE_ALPHABET)
 
 
 class MergeCounter:
@@ -36,7 +40,7 @@ class MergeCounter:
             if len(token) == 1:
                 self.byte_ids[ord(token)] = i
         self.words = Memo(self.count_words)
-        self.units = Memo(self._units)
+        self.units = Memo(self._units, limit=500_000)
 
     def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         key = left * self.width + right
@@ -87,8 +91,25 @@ class MergeCounter:
             counts[owner[0]] = 1
         return counts.tolist()
 
+    def _split(self, unit: str) -> list[str]:
+        """Pre-tokens of a unit, in the byte alphabet."""
+        plain = _PLAIN.fullmatch(unit)
+        if not plain:
+            return [w for w, _ in self.tok.pre_tokenizer.pre_tokenize_str(unit)]
+        blank, word, stops = plain.groups()
+        if not word.isascii():
+            word = word.encode().decode("latin-1").translate(BYTE_ALPHABET)
+        if blank == "\n":
+            # A word takes a space before it, never a line feed.
+            out = [_LINE_FEED, word]
+        else:
+            out = [_SPACE + word if blank else word]
+        if stops:
+            out.append(stops)
+        return out
+
     def _units(self, units: list[str]) -> list[int]:
-        words = [[w for w, _ in self.tok.pre_tokenizer.pre_tokenize_str(u)] for u in units]
+        words = [self._split(u) for u in units]
         known = self.words.prepare([w for ws in words for w in ws])
         return [sum(known[w] for w in ws) for ws in words]
 

@@ -12,6 +12,8 @@ _ASCII = re.compile(r" ?\S+|\s+(?!\S)|\s+", re.ASCII)
 #: White space beside which a unit could not be cut without looking further.
 _DOUBLED = re.compile(r"[ \n][ \n]|\A[ \n]|[ \n]\Z|[\t\r\x0b\x0c]")
 _EXOTIC = re.compile("[\x1c-\x1f\x85\xa0  -     　]")
+#: From bytes to the characters byte-level vocabularies show them by: those hidden in Latin-1 count on from 256.
+BYTE_ALPHABET = {b: 256 + k for k, b in enumerate([*range(33), *range(127, 161), 173])}
 
 _loaded: dict[str, Tokenizer] = {}
 
