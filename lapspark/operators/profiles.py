@@ -233,7 +233,9 @@ def cosine_topk(
     asked = queries.where(F.col("vector").isNotNull()).select(ident, _unit_vector().alias("_q"))
     if profiles.count() <= min(block, SMALLEST_BLOCK):
         whole = _in_packs(profiles.select(*told, _unit_vector().alias("v")), "name", 1, "_profiles")
-        met = asked.withColumn("_pack", F.lit(0)).join(whole, "_pack").select(ident, _hits(told, k))
+        # One row of at most SMALLEST_BLOCK profiles goes to every task; a literal key would make this a cross join.
+        only = F.pmod(F.xxhash64(ident), F.lit(1)).cast("int")
+        met = asked.withColumn("_pack", only).join(F.broadcast(whole), "_pack").select(ident, _hits(told, k))
     else:
         first, rest = bounded_hits(asked, profile_blocks(profiles, block), told, k, ident)
         met = first.unionByName(rest)
