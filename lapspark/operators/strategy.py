@@ -25,6 +25,9 @@ from lapspark.operators.stints import laps_with_stints
 from lapspark.schemas import DEGRADATION_FREE_LAPS, DEGRADATION_PER_LAP
 from lapspark.session import materialize
 
+#: Drivers of one course in a row, and drivers of the other side that meet them in one place.
+PIECE, DEAL = 256, 4096
+
 
 def pit_laps(stints: DataFrame) -> DataFrame:
     """Laps on which a driver starts any stint after the first.
@@ -78,7 +81,9 @@ def detect_undercuts(
     ``lookahead`` laps: undercut by A. A was not behind and is then not ahead: overcut by B.
     Null positions never qualify. Before/after positions are compared digit by digit (base 32):
     two rows meet only where the digits above the compared one agree, in both dimensions at once,
-    so the pairs examined follow the number of swaps and not the square of the field.
+    so the pairs examined follow the number of swaps and not the square of the field. Drivers with the
+    same positions before and after a stop share a course; courses are compared, and their drivers
+    are paired in the end only.
     """
     at_least(1, lookahead=lookahead)
     stints = restrict_drivers(stints, drivers)
@@ -105,30 +110,36 @@ def detect_undercuts(
         F.max(F.greatest(F.col("before"), F.array_max("after"))).alias("_top")
     )
     digits = F.greatest(F.ceil(F.log2(F.col("_top") + 2.0) / CELL_BITS), F.lit(1)).cast("int")
-    seen = seen.join(top.select("session_key", digits.alias("_levels")), SESSION)
     marked = seen.join(pits.withColumn("_pits", F.lit(True)), [*DRIVER, "pit_lap"], "left")
+    numbers = F.transform("after", lambda p: F.coalesce(p.cast("string"), F.lit("-")))
+    marked = materialize(marked.where(F.col("driver_number").isNotNull()).select(
+        *DRIVER, "pit_lap", "before", "after", F.col("_pits").isNotNull().alias("_stopped"),
+        F.concat_ws(",", F.col("before").cast("string"), numbers).alias("_course")))
+    course = ["session_key", "pit_lap", "_stopped", "_course"]
+    courses = marked.groupBy(*course).agg(
+        F.first("before").alias("before"), F.first("after").alias("after"), F.count(F.lit(1)).alias("_n"))
+    courses = materialize(courses)
 
-    def side(rows: DataFrame, kind: str, before: Column, after) -> DataFrame:
+    def side(stopped: bool, kind: str, before: Column, after) -> DataFrame:
+        rows = courses.where(F.col("_stopped") == stopped).join(top.select("session_key", digits.alias("_levels")), SESSION)
         later = F.posexplode("after").alias("_o", "_after")
-        out = rows.select("session_key", "driver_number", "pit_lap", "before", "after", "_levels", later)
+        out = rows.select("session_key", "_course", "_n", "pit_lap", "before", "after", "_levels", later)
         out = out.where(F.col("_after").isNotNull())
         return out.withColumns({"_kind": F.lit(kind), "_v1": before, "_v2": after(F.col("_after"))})
 
-    stopped = marked.where(F.col("_pits"))
-    stayed = marked.where(F.col("_pits").isNull())
     own = F.col("before")
     # undercut: before(B) < before(A) and after(A) < after(B)
     # overcut:  before(A) < before(B) + 1 and after(B) < after(A) + 1
-    a = _cells(side(stopped, "undercut", own, lambda v: v), low_dim=2).unionByName(
-        _cells(side(stopped, "overcut", own, lambda v: v + 1), low_dim=1)
+    a = _cells(side(True, "undercut", own, lambda v: v), low_dim=2).unionByName(
+        _cells(side(True, "overcut", own, lambda v: v + 1), low_dim=1)
     )
-    b = _cells(side(stayed, "undercut", own, lambda v: v), low_dim=1).unionByName(
-        _cells(side(stayed, "overcut", own + 1, lambda v: v), low_dim=2)
+    b = _cells(side(False, "undercut", own, lambda v: v), low_dim=1).unionByName(
+        _cells(side(False, "overcut", own + 1, lambda v: v), low_dim=2)
     )
     meet = ["session_key", "pit_lap", "_kind", "_o", "_l1", "_p1", "_l2", "_p2"]
     b = b.select(
         *meet,
-        F.col("driver_number").alias("_b"),
+        F.col("_course").alias("_b_course"),
         F.col("after").alias("_b_after"),
         F.col("_d1").alias("_b1"),
         F.col("_d2").alias("_b2"),
@@ -142,16 +153,43 @@ def detect_undercuts(
         F.slice(pair, F.lit(1), F.col("_o")),
         lambda z: F.coalesce(F.when(undercut, z["a"] < z["b"]).otherwise(z["a"] >= z["b"]), F.lit(False)),
     )
-    events = a.join(b, meet).where(swap & (F.col("driver_number") != F.col("_b")) & ~sooner)
+    swaps = a.join(b, meet).where(swap & ~sooner).select("session_key", "pit_lap", "_kind", "_course", "_b_course", "_n")
+    events = _drivers_of(materialize(swaps), marked)
     return events.select(
         "session_key",
         F.col("pit_lap").alias("lap"),
-        F.when(undercut, F.col("driver_number")).otherwise(F.col("_b")).alias("attacking_driver"),
-        F.when(undercut, F.col("_b")).otherwise(F.col("driver_number")).alias("defending_driver"),
+        F.when(undercut, F.col("_a")).otherwise(F.col("_b")).alias("attacking_driver"),
+        F.when(undercut, F.col("_b")).otherwise(F.col("_a")).alias("defending_driver"),
         F.col("_kind").alias("type"),
     )
 
 
+def _drivers_of(swaps: DataFrame, marked: DataFrame) -> DataFrame:
+    """Pairs of courses as the pairs ``_a``, ``_b`` of their drivers, dealt so that no task gets the whole of a course.
+
+    The drivers of a course come in pieces of about ``PIECE``. Each piece on the staying side is copied to as many
+    places as ``DEAL`` drivers of the stopping side ask for, so one place gives at most some ``PIECE * DEAL`` events.
+    """
+    course = ["session_key", "pit_lap", "_course"]
+    sizes = marked.groupBy(*course, "_stopped").agg(F.ceil(F.count(F.lit(1)) / PIECE).alias("_pieces"))
+    piece = F.pmod(F.xxhash64("driver_number"), F.col("_pieces")).alias("_piece")
+    pieces = marked.join(sizes, [*course, "_stopped"]).select(*course, "_stopped", "driver_number", piece)
+    pieces = pieces.groupBy(*course, "_stopped", "_piece").agg(F.collect_list("driver_number").alias("_drivers"))
+    theirs = pieces.where(~F.col("_stopped")).select(
+        "session_key", "pit_lap", F.col("_course").alias("_b_course"), F.col("_drivers").alias("_bs"))
+    other = ["session_key", "pit_lap", "_b_course"]
+    load = swaps.groupBy(*other).agg(F.ceil(F.sum("_n") / DEAL).alias("_deals"))
+    place = F.pmod(F.xxhash64("_course", "_kind", "_piece"), F.col("_deals")).alias("_deal")
+    left = swaps.join(pieces.where("_stopped"), course).join(load, other).select(*other, "_kind", "_drivers", place)
+    right = theirs.join(load, other).select(*other, "_bs", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_deals") - 1)).alias("_deal"))
+    # A few bytes here stand for many events: the number of tasks is fixed, not merged by size.
+    tasks = int(swaps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = [*other, "_deal"]
+    met = left.repartition(tasks, *keys).join(right.repartition(tasks, *keys).hint("shuffle_hash"), keys)
+    return met.select("session_key", "pit_lap", "_kind", "_bs", F.explode("_drivers").alias("_a")).select(
+        "session_key", "pit_lap", "_kind", "_a", F.explode("_bs").alias("_b"))
+
+
 def undercut_markers(events: DataFrame, laps: DataFrame) -> DataFrame:
     """Events with the attacker's gap to the leader on that lap (0.0 when unknown)."""
     gaps = gap_to_leader(laps).select(

@@ -5,6 +5,7 @@ import random
 
 import pytest
 
+from lapspark.operators import strategy
 from lapspark.operators.strategy import detect_undercuts, pit_laps, undercut_markers
 from tests.conftest import LAPS, POSITION, STINTS
 
@@ -73,3 +74,21 @@ def test_first_stint_is_no_pit(spark):
          (1, 3, 2, "S", 0, 4, 9), (1, 3, 2, "S", 0, 4, 9)], STINTS
     )
     assert sorted((r.driver_number, r.pit_lap) for r in pit_laps(stints).collect()) == [(1, 6), (3, 4)]
+
+
+def test_drivers_of_one_course_are_compared_once(spark, monkeypatch):
+    """Many drivers with the same positions: one pair of courses is compared, all their drivers are paired by pieces."""
+    monkeypatch.setattr(strategy, "PIECE", 4)
+    monkeypatch.setattr(strategy, "DEAL", 8)
+    seen = []
+    drivers_of = strategy._drivers_of
+    monkeypatch.setattr(strategy, "_drivers_of", lambda swaps, marked: seen.append(swaps.count()) or drivers_of(swaps, marked))
+    stopping, staying = range(1, 31), range(101, 121)
+    end = {lap: START + dt.timedelta(seconds=100 * lap) for lap in range(1, 9)}
+    laps = [(1, d, lap, 100.0, False, end[lap]) for d in (*stopping, *staying) for lap in end]
+    stints = [(1, d, 1, "S", 0, 1, 4) for d in stopping] + [(1, d, 2, "S", 0, 5, 8) for d in stopping] + [(1, d, 1, "S", 0, 1, 8) for d in staying]
+    position = [(1, d, 9 if lap < 6 else 2, end[lap]) for d in stopping for lap in end] + [(1, d, 5, end[lap]) for d in staying for lap in end]
+    frames = (spark.createDataFrame(laps, LAPS), spark.createDataFrame(stints, STINTS), spark.createDataFrame(position, POSITION))
+    got = [tuple(r) for r in detect_undercuts(*frames, 3).collect()]
+    assert sorted(got) == [(1, 5, a, b, "undercut") for a in stopping for b in staying]
+    assert seen == [1]
