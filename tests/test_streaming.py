@@ -75,6 +75,23 @@ def test_live_analytics_equal_batch_and_replays(spark):
     assert all(x.startswith("live") for x in left)
 
 
+def test_samples_meet_laps_in_cells_of_time(spark):
+    """Laps over several cells find all their samples, each once; one with an impossible time none."""
+    at = lambda s: START + dt.timedelta(seconds=s)
+    laps = [(1, 1, 1, 5000.0, False, None, at(100)), (1, 1, 2, 60.0, False, None, at(5100)), (1, 1, 3, -50.0, False, None, at(9000)),
+            (1, 2, 1, 1e9, False, None, at(0))]
+    car = [(1, d, at(s), 1.0, 1.0, 0.0, 1, 1) for d in (1, 2) for s in range(0, 9000, 100)]
+    folders, out = {k: shared_dir(spark, k) for k in ("laps", "car")}, shared_dir(spark, "cell-samples")
+    spark.createDataFrame(laps, schemas.LAPS).write.parquet(folders["laps"])
+    spark.createDataFrame(car, schemas.CAR_DATA).write.parquet(folders["car"])
+    stream = live.lap_samples(live.stream_laps(spark, folders["laps"]), live.stream_car_data(spark, folders["car"]), longest="2 hours", delay="1 day")
+    assert "_cell" in stream._jdf.queryExecution().logical().toString()
+    live.append_available(stream, out, shared_dir(spark, "cell-state"))
+    got = {(r.driver_number, r.lap_number, r.date) for r in spark.read.parquet(out).collect()}
+    want = {(1, 1, at(s)) for s in range(100, 5101, 100)} | {(1, 2, at(5100))} | {(2, 1, at(s)) for s in range(0, 7201, 100)}
+    assert got == want and spark.read.parquet(out).count() == len(want)
+
+
 def test_a_slow_batch_publishes_no_older_state(spark):
     """Positions come while a slow batch of laps is analysed: what is published last has both."""
     laps, stints, position = race()
