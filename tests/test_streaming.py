@@ -75,6 +75,24 @@ def test_live_analytics_equal_batch_and_replays(spark):
     assert all(x.startswith("live") for x in left)
 
 
+def test_analytics_run_for_the_rows_they_read(spark, monkeypatch):
+    """Stints change no gap to the leader; a session that a correction leaves empty goes from the results."""
+    laps, stints, _ = race()
+    calls = []
+    gaps = live.ANALYTICS["gap_to_leader"]
+    monkeypatch.setitem(live.ANALYTICS, "gap_to_leader", lambda *frames: calls.append(1) or gaps(*frames))
+    store, results = shared_dir(spark, "reads-store"), shared_dir(spark, "reads-results")
+    apply = {k: live.live_analytics(store, results, k, {"gap_to_leader": live.ANALYTICS["gap_to_leader"]}) for k in live.KINDS}
+    apply["laps"](spark.createDataFrame(laps, schemas.LAPS), 0)
+    known = rows_of(spark.read.parquet(f"{results}/gap_to_leader"))
+    apply["stints"](spark.createDataFrame(stints, schemas.STINTS), 0)
+    assert len(calls) == 1 and spark.read.parquet(f"{store}/stints").count() == len(stints)
+    assert rows_of(spark.read.parquet(f"{results}/gap_to_leader")) == known and len(known) == len(laps)
+    apply["laps"](spark.createDataFrame([(*r[:3], None, *r[4:]) for r in laps if r[0] == 2], schemas.LAPS), 1)
+    left = spark.read.parquet(f"{results}/gap_to_leader")
+    assert len(calls) == 2 and {r.session_key for r in left.collect()} == {1} and left.count() == len(laps) // 2
+
+
 def test_samples_meet_laps_in_cells_of_time(spark):
     """Laps over several cells find all their samples, each once; one with an impossible time none."""
     at = lambda s: START + dt.timedelta(seconds=s)
