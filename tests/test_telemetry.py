@@ -9,6 +9,8 @@ from lapspark.functions.scalar import upsample
 from lapspark.operators import compare as C
 from lapspark.operators import telemetry as T
 from lapspark.operators.laps import LAP
+from lapspark.operators.ordered import BUCKET
+from lapspark.sources import adapters
 
 KEYS = ["session_key", "driver_number", "lap_number"]
 
@@ -181,3 +183,46 @@ def test_quick_laps_feed_features(spark, random_laps):
     laps = spark.createDataFrame([(1, d, n, 80.0 + 10 * n) for d in range(4) for n in (1, 2, 3)], "session_key int, driver_number int, lap_number int, lap_time_seconds double")
     got = T.timed_lap_features(spark.createDataFrame(pd.concat(random_laps)), laps, 1.12)
     assert sorted({r.lap_number for r in got.select(*LAP).collect()}) == [1, 2]
+
+
+def line_items(spark, path):
+    """Two suppliers, orders far enough apart for several buckets."""
+    rng = np.random.default_rng(5)
+    n = 300
+    rows = pd.DataFrame({
+        "l_orderkey": rng.integers(1, 40, n) * 400_000, "l_linenumber": np.arange(n) % 7 + 1, "l_partkey": rng.integers(0, 10, n),
+        "l_suppkey": rng.integers(1, 3, n), "l_quantity": rng.integers(1, 50, n).astype(float),
+        "l_extendedprice": rng.uniform(900, 90_000, n), "l_discount": rng.integers(0, 10, n) / 100, "l_tax": rng.integers(0, 8, n) / 100,
+        "l_returnflag": "N", "l_linestatus": "O", "l_shipdate": dt.date(1996, 1, 1)})
+    spark.createDataFrame(rows).write.parquet(f"{path}/lineitem.parquet")
+
+
+def test_samples_stay_dealt(spark, tmp_path):
+    """Samples are not written on the way, and features of laps in several buckets equal those of laps in one."""
+    line_items(spark, tmp_path)
+    samples = adapters.samples(spark, str(tmp_path))
+    assert all("lineitem.parquet" in f for f in samples.inputFiles())
+    assert samples.groupBy(*KEYS).agg(F.countDistinct(BUCKET).alias("n")).agg(F.max("n")).first()[0] > 2
+    dealt = T.lap_features(samples).toPandas().sort_values(KEYS).reset_index(drop=True)
+    whole = T.lap_features(samples.drop(BUCKET)).toPandas().sort_values(KEYS).reset_index(drop=True)
+    assert len(dealt) == 10 and list(dealt.columns) == list(whole.columns)
+    for c in dealt.columns:
+        for a, b in zip(dealt[c], whole[c]):
+            np.testing.assert_allclose(a, b, rtol=1e-9, atol=1e-9, err_msg=c)
+
+
+def test_lap_features_shuffle_read_traces_only(spark, tmp_path):
+    line_items(spark, tmp_path)
+    traces = T.lap_features(adapters.samples(spark, str(tmp_path))).select(*KEYS, "speed_trace")
+    plan = traces._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list(_t_speed" in plan and "collect_list(_t_brake" not in plan and "collect_list(_gear" not in plan
+
+
+def test_mean_trace_of_uneven_traces(spark):
+    nan = float("nan")
+    rows = [(1, [1.0] * 11, [nan] * 11), (1, [3.0] * 17, [2.0]), (1, [], []), (1, None, [9.0]), (2, [], [])]
+    df = spark.createDataFrame(rows, "driver_number int, a array<double>, b array<double>")
+    means = T.mean_trace(df, ["driver_number"], ["a", "b"])
+    assert "_piece" in means._jdf.queryExecution().analyzed().toString()
+    got = {r.k: (r.driver_number, r.a, r.b) for r in means.collect()}
+    assert got == {k: (1, 2.0 if k < 11 else 3.0, 2.0 if k == 0 else None) for k in range(17)}
