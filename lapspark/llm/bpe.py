@@ -27,6 +27,10 @@ _PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
 _BYTE_ALPHABET = {b: 256 + k for k, b in enumerate([*range(33), *range(127, 161), 173])}
 
 
+def _joined(parts: list[tuple[bytes, int, str]]) -> tuple[bytes, int, str]:
+    return b"".join([p[0] for p in parts]), sum([p[1] for p in parts]), " ".join([p[2] for p in parts if p[1]])
+
+
 class WordBpe:
     """Encodes and decodes with a ``tokenizers`` file whose pre-tokenizer drops white space.
 
@@ -42,34 +46,36 @@ class WordBpe:
         self.ids: dict[str, int] = model["vocab"]
         self.ranks = {tuple(m): r for r, m in enumerate(model["merges"])}
         self.tokens = {i: t for t, i in chain(self.ids.items(), self.special.items())}
-        self.words = Memo(lambda words: [tuple(self.ids[t] for t in self.merge(w) if t in self.ids) for w in words])
+        self.words = Memo(lambda words: [self._told([self.ids[t] for t in self.merge(w) if t in self.ids]) for w in words])
         self.units = Memo(self._units, limit=500_000)
 
     def merge(self, word: str) -> list[str]:
         """The tokens of one pre-token.
 
-        ``bounds`` holds the starts of the parts and ``ranks[i]`` the merge rank of parts i and i + 1. The leftmost
-        smallest rank is merged by deleting one boundary, and only the two neighbouring ranks are looked up again.
+        ``ranks[i]`` is the merge rank of ``parts`` i and i + 1. The leftmost smallest rank is merged in place, and only
+        the two neighbouring ranks are looked up again.
         """
-        text = word + self.suffix
-        bounds = [*range(len(word)), len(text)]
         if len(word) > SHORT:
-            return self._merge_long(text, bounds)
+            text = word + self.suffix
+            return self._merge_long(text, [*range(len(word)), len(text)])
+        if not word:
+            return []
         rank = self.ranks.get
-        first = [*word[:-1], text[len(word) - 1:]]
-        ranks = [rank(pair, NONE) for pair in zip(first, first[1:])]
+        parts = [*word]
+        parts[-1] += self.suffix
+        ranks = [rank(pair, NONE) for pair in zip(parts, parts[1:])]
         while ranks:
             least = min(ranks)
             if least == NONE:
                 break
             i = ranks.index(least)
-            del bounds[i + 1], ranks[i]
-            a, b = bounds[i], bounds[i + 1]
+            whole = parts[i] = parts[i] + parts[i + 1]
+            del parts[i + 1], ranks[i]
             if i < len(ranks):
-                ranks[i] = rank((text[a:b], text[b:bounds[i + 2]]), NONE)
+                ranks[i] = rank((whole, parts[i + 1]), NONE)
             if i:
-                ranks[i - 1] = rank((text[bounds[i - 1]:a], text[a:b]), NONE)
-        return [text[a:b] for a, b in zip(bounds, bounds[1:])]
+                ranks[i - 1] = rank((parts[i - 1], whole), NONE)
+        return parts
 
     def _merge_long(self, text: str, bounds: list[int]) -> list[str]:
         """The same merges with a heap over linked parts."""
@@ -102,7 +108,9 @@ class WordBpe:
         if plain:
             # Latin letters with stops behind: composed already, and no contraction to look for.
             word, stops = plain.groups()
-            word = word.lower().encode().decode("latin-1").translate(_BYTE_ALPHABET)
+            word = word.lower()
+            if not word.isascii():
+                word = word.encode().decode("latin-1").translate(_BYTE_ALPHABET)
             return [word, stops] if stops else [word]
         out: list = []
         for part in by_special(unit, self.special):
@@ -112,19 +120,18 @@ class WordBpe:
                 out += [w for w, _ in self.tok.pre_tokenizer.pre_tokenize_str(self.tok.normalizer.normalize_str(part))]
         return out
 
+    def _told(self, ids: list[int]) -> tuple[bytes, int, str]:
+        """Packed ids, their number and the decoded text."""
+        return struct.pack(f"<{len(ids)}I", *ids), len(ids), self.decode(ids)
+
     def _units(self, units: list[bytes]) -> list[tuple[bytes, int, str]]:
         """Packed ids, their number and the decoded text of what stands between two white spaces."""
         split = [self._split(u.decode()) for u in units]
         known = self.words.prepare([w for words in split for w in words if isinstance(w, str)])
         out = []
         for words in split:
-            ids: list[int] = []
-            for w in words:
-                if isinstance(w, str):
-                    ids += known[w]
-                else:
-                    ids.append(w)
-            out.append((struct.pack(f"<{len(ids)}I", *ids), len(ids), self.decode(ids)))
+            parts = [known[w] if isinstance(w, str) else self._told([w]) for w in words]
+            out.append(parts[0] if len(parts) == 1 else _joined(parts))
         return out
 
     def encode_batch(self, texts: list[str]) -> Iterator[tuple[bytes, int, str]]:
@@ -134,12 +141,7 @@ class WordBpe:
             split = [text.encode().split() for text in some]
             known = self.units.prepare([u for units in split for u in units])
             for units in split:
-                parts = [known[u] for u in units]
-                yield (
-                    b"".join([p[0] for p in parts]),
-                    sum([p[1] for p in parts]),
-                    " ".join([p[2] for p in parts if p[1]]),
-                )
+                yield _joined([known[u] for u in units])
 
     def encode(self, text: str) -> list[int]:
         return np.frombuffer(next(self.encode_batch([text]))[0], "<u4").tolist()

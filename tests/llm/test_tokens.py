@@ -36,6 +36,17 @@ def test_bpe_equals_library(make_docs, texts):
         assert got[i].decoded_sha256 == hashlib.sha256(decoded.encode()).hexdigest(), repr(t)
 
 
+def test_bpe_decodes_a_word_once(monkeypatch):
+    """Units of known words and stops are put together from what the words gave."""
+    model, calls = bpe.WordBpe("word_bpe_49k.json"), []
+    decode = model.decode
+    monkeypatch.setattr(model, "decode", lambda ids: calls.append(1) or decode(ids))
+    (packed, n, text), = model.encode_batch(["abc abc, abc. Éa Éa, Éa. abc! Éa!"])
+    want = model.tok.encode("abc abc, abc. Éa Éa, Éa. abc! Éa!", add_special_tokens=False).ids
+    assert np.frombuffer(packed, "<u4").tolist() == want and n == len(want) and text == decode(want)
+    assert len(calls) == 5
+
+
 def test_bpe_rows_and_round_trip(make_docs):
     rows = bpe.encode_documents(make_docs(["hello  world", None])).orderBy("doc_id").collect()
     assert rows[1].ids == [] and rows[1].decoded == ""
