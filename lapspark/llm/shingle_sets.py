@@ -57,9 +57,22 @@ def sketch(values: np.ndarray) -> bytes:
     return np.packbits((counts & 1).astype(np.uint8), bitorder="little").tobytes()
 
 
-def sets(docs: DataFrame, words: int) -> DataFrame:
-    """``doc_id, _row, node, size, sketch`` of ``identified`` texts; ``node`` is a hash of the whole set."""
+def sets(docs: DataFrame, words: int, frequent: np.ndarray) -> DataFrame:
+    """``doc_id, _row, node, size, sketch, prefix`` of ``identified`` texts; ``node`` is a hash of the whole set.
+
+    ``prefix`` is the first fifth of the set in the common order: ``frequent`` shingles come last.
+    """
     kind = dict(docs.dtypes)["doc_id"]
+    by_hash = np.argsort(frequent)
+    ordered = frequent[by_hash]
+
+    def prefix(values: np.ndarray) -> np.ndarray:
+        n = len(values)
+        rank = np.full(n, -1)
+        if n and len(ordered):
+            place = np.minimum(np.searchsorted(ordered, values), len(ordered) - 1)
+            rank = np.where(ordered[place] == values, by_hash[place], -1)
+        return values[np.argsort(rank, kind="stable")[:n - (4 * n + 4) // 5 + 1]].view(np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -67,15 +80,17 @@ def sets(docs: DataFrame, words: int) -> DataFrame:
             node = np.array([xxhash.xxh3_64_intdigest(v.tobytes()) for v in found], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("_row"), pa.array(node), pa.array([len(v) for v in found], pa.int32()),
-                 pa.array([sketch(v) for v in found], pa.binary())],
-                ["doc_id", "_row", "node", "size", "sketch"])
+                 pa.array([sketch(v) for v in found], pa.binary()), pa.array([prefix(v) for v in found], pa.list_(pa.int64()))],
+                ["doc_id", "_row", "node", "size", "sketch", "prefix"])
 
     return docs.select("doc_id", "_row", "text").mapInArrow(
-        run, f"doc_id {kind}, _row long, node long, size int, sketch binary")
+        run, f"doc_id {kind}, _row long, node long, size int, sketch binary, prefix array<long>")
 
 
-def _frequent(docs: DataFrame, words: int, n: int, scratch: Scratch) -> np.ndarray:
+def frequent_shingles(docs: DataFrame, words: int, scratch: Scratch) -> np.ndarray:
     """The most frequent shingles of a sample of texts, the rarest of them first."""
+    n = docs.count()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [shingles(t.as_py(), words).view(np.int64) for t in batch.column("text")]
@@ -95,34 +110,6 @@ def _frequent(docs: DataFrame, words: int, n: int, scratch: Scratch) -> np.ndarr
     return shingle[np.lexsort((shingle, table.column("n").to_numpy()))]
 
 
-def _prefixes(docs: DataFrame, words: int, frequent: np.ndarray) -> DataFrame:
-    """``key, node``: the first fifth of every set in the common order."""
-    by_hash = np.argsort(frequent)
-    ordered = frequent[by_hash]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            parts = []
-            for text in batch.column("text"):
-                values = shingles(text.as_py(), words)
-                n = len(values)
-                if not n:
-                    continue
-                first = n - (4 * n + 4) // 5 + 1
-                rank = np.full(n, -1)
-                if len(ordered):
-                    place = np.minimum(np.searchsorted(ordered, values), len(ordered) - 1)
-                    rank = np.where(ordered[place] == values, by_hash[place], -1)
-                chosen = values[np.argsort(rank, kind="stable")[:first]]
-                node = np.uint64(xxhash.xxh3_64_intdigest(values.tobytes()))
-                parts.append((chosen, np.full(first, node)))
-            if parts:
-                h, node = (np.concatenate(x) for x in zip(*parts))
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(node.view(np.int64))], ["key", "node"])
-
-    return docs.select("text").mapInArrow(run, "key long, node long")
-
-
 def _folded(sketches: list[bytes], words: int) -> np.ndarray:
     """Sketches of ``words`` or twice as many 64-bit words, all as ``words`` of them."""
     out = np.empty((len(sketches), words), np.uint64)
@@ -257,21 +244,32 @@ def _proposals(rows: DataFrame, cross: bool, every: bool) -> DataFrame:
     return meeting.repartition(*group).sortWithinPartitions(*group).mapInArrow(run, "a long, b long, key long")
 
 
-def links(docs: DataFrame, nodes: DataFrame, words: int, components: Callable, scratch: Scratch) -> DataFrame:
+def meetings(nodes: DataFrame, scratch: Scratch) -> DataFrame:
+    """``key, node, members, low``: the ``nodes`` (``node, prefix``) of each shingle of several; shingles of the same nodes once.
+
+    Most shingles stand in one set only. They go first, by counts alone, so hashes of members are made and dealt for the rest.
+    """
+    prefixes = nodes.select(F.explode("prefix").alias("key"), "node")
+    several = scratch.table(prefixes.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "several")
+    # Read from its table, ``several`` is dealt for the join, which adaptive execution can split at a hot shingle.
+    common = scratch.table(prefixes.join(several, "key", "left_semi"), "common")
+    scratch.drop("several")
+    shared = common.groupBy("key").agg(
+        F.count("*").alias("members"), F.min("node").alias("low"),
+        F.expr("bit_xor(xxhash64(node))").alias("_h1"), F.expr("bit_xor(xxhash64(node, 1))").alias("_h2"))
+    kept = shared.groupBy("members", "low", "_h1", "_h2").agg(F.min("key").alias("key"))
+    met = scratch.table(join_per_key(common, kept.select("key", "members", "low"), ["key"]), "meetings")
+    scratch.drop("common")
+    return met
+
+
+def links(docs: DataFrame, nodes: DataFrame, met: DataFrame, words: int, components: Callable, scratch: Scratch) -> DataFrame:
     """``a, b``: edges that connect the ``nodes`` (``node, size, sketch, doc_id, _row``) of similarity 0.8 or more.
 
-    ``docs`` is ``identified``; ``components`` gives ``node, root`` of edges.
+    ``docs`` is ``identified``, ``met`` has the ``meetings`` of the nodes; ``components`` gives ``node, root`` of edges.
     """
     from lapspark.llm.minhash import _confirmed, _open_buckets
 
-    prefixes = _prefixes(docs, words, _frequent(docs, words, docs.count(), scratch)).distinct()
-    shared = prefixes.groupBy("key").agg(
-        F.count("*").alias("members"), F.min("node").alias("low"),
-        F.expr("bit_xor(xxhash64(node))").alias("_h1"), F.expr("bit_xor(xxhash64(node, 1))").alias("_h2"))
-    kept = shared.where("members > 1").groupBy("members", "low", "_h1", "_h2").agg(F.min("key").alias("key"))
-    kept = scratch.table(kept.select("key", "members", "low"), "shared")
-    met = scratch.table(join_per_key(prefixes, kept, ["key"]), "meetings")
-    scratch.drop("shared")
     wanted = join_per_key(nodes, met.select("node").distinct(), ["node"], "left_semi").select("doc_id", "_row", "node")
     found = join_rows(docs.select("doc_id", "_row", "text"), wanted, "inner")
     texts = scratch.table(found.groupBy("node").agg(F.first("text").alias("text")), "texts")
@@ -290,4 +288,6 @@ def links(docs: DataFrame, nodes: DataFrame, words: int, components: Callable, s
         if again.isEmpty():
             break
         rows = _open_buckets(met, again, decided, scratch)
+    # Only the verdicts are read from here on.
+    scratch.drop("texts", "meetings", *(name for name in scratch.paths if name.startswith("offers")))
     return decided.where("linked").select("a", "b")

@@ -349,12 +349,17 @@ def keep_one_of_each(docs: DataFrame, words: int = 5) -> DataFrame:
     """
     scratch, known = Scratch(docs.sparkSession), identified(docs)
     answer = Scratch(docs.sparkSession)
-    rows = scratch.table(shingle_sets.sets(known, words), "sets")
+    frequent = shingle_sets.frequent_shingles(known, words, scratch)
+    rows = scratch.table(shingle_sets.sets(known, words, frequent), "sets")
     id_first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")
-    nodes = scratch.table(
-        rows.groupBy("node").agg(F.min(id_first).alias("least"), F.first("size").alias("size"), F.first("sketch").alias("sketch"))
-        .select("node", "size", "sketch", "least.doc_id", "least._row"), "distinct")
-    edges = shingle_sets.links(known, nodes, words, components, scratch)
+    whole = scratch.table(
+        rows.groupBy("node").agg(F.min(id_first).alias("least"), *(F.first(c).alias(c) for c in ("size", "sketch", "prefix")))
+        .select("node", "size", "sketch", "prefix", "least.doc_id", "least._row"), "whole")
+    scratch.drop("often", "sets")
+    met = shingle_sets.meetings(whole, scratch)
+    nodes = scratch.table(whole.drop("prefix"), "distinct")
+    scratch.drop("whole")
+    edges = shingle_sets.links(known, nodes, met, words, components, scratch)
     found = components(edges, scratch).withColumnRenamed("node", "found")
     rooted = nodes.join(found, F.col("node") == F.col("found"), "left").select(
         "doc_id", "_row", F.coalesce("root", "node").alias("root"))

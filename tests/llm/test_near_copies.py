@@ -1,11 +1,14 @@
 """Near copies of the pipeline against the exact similarity of all pairs of shingle sets."""
 
 import random
+import time
 from fractions import Fraction
 
 import pytest
+from pyspark.sql import functions as F
 
 from lapspark.llm import shingle_sets, simhash
+from lapspark.llm.common import Scratch
 
 
 def shingle_set(text):
@@ -80,3 +83,38 @@ def test_one_row_stays_without_ids_and_with_equal_ones(spark):
     out = simhash.keep_one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((r.doc_id or 0) for r in out) == [0, 1, 5]
     assert {r.text[:40] for r in out} == {x[:40] for x in (a, b, c)}
+
+
+def shuffle_files(spark):
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {files.apply(k).getName() for k in range(files.size())}
+
+
+def test_scratch_tables_leave_no_shuffle_files(spark):
+    before = shuffle_files(spark)
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was = spark.conf.get(setting)
+    scratch = Scratch(spark)
+    counts = spark.range(1000).groupBy((F.col("id") % 7).alias("k")).agg(F.count("*").alias("n"))
+    table = scratch.table(counts, "counts")
+    until = time.time() + 10
+    while shuffle_files(spark) - before and time.time() < until:
+        time.sleep(0.1)
+    assert not shuffle_files(spark) - before
+    assert spark.conf.get(setting) == was
+    assert table.agg(F.sum("n")).first()[0] == 1000
+    scratch.drop()
+
+
+def test_meetings_are_the_shared_prefixes(spark):
+    prefixes = {1: [10, 11, 12], 2: [11, 12, 13], 3: [13, 14], 4: [], 5: [14, 10, 15]}
+    nodes = spark.createDataFrame(list(prefixes.items()), "node long, prefix array<long>")
+    scratch = Scratch(spark)
+    got = {}
+    for r in shingle_sets.meetings(nodes, scratch).collect():
+        got.setdefault(r.key, []).append((r.node, r.members, r.low))
+    # 11 and 12 have the same nodes and count once; 15 stands in one set only.
+    assert {k: sorted(v) for k, v in got.items()} == {
+        10: [(1, 2, 1), (5, 2, 1)], 11: [(1, 2, 1), (2, 2, 1)], 13: [(2, 2, 2), (3, 2, 2)], 14: [(3, 2, 3), (5, 2, 3)]}
+    assert list(scratch.paths) == ["meetings"]
+    scratch.drop()
