@@ -23,6 +23,8 @@ from lapspark.llm.common import Scratch
 BINS = 4096
 #: Scores held at once in a task.
 CELLS = 1 << 21
+#: Candidate blocks that one copy of the queries may serve.
+GROUP = 16
 #: Vectors of at least this length are scored in wide integers: products of shorter ones fit 64 bits.
 WIDE = 1 << 30
 #: Largest number of a score column of 38 digits.
@@ -142,10 +144,21 @@ def _stateful(queries: DataFrame, states: DataFrame) -> DataFrame:
             yield batch.drop_columns(["listed"]).append_column("state", pa.array(packed, pa.binary()))
 
     listed = states.groupBy("q").agg(F.collect_list(F.struct("query_id", "low", "width")).alias("listed"))
-    return queries.join(listed, "q").mapInArrow(
+    return queries.hint("merge").join(listed, "q").mapInArrow(
         order, "q long, dim int, q_ids binary, q_data binary, state binary")
 
 
+def _pairs(queries: DataFrame, candidates: DataFrame, blocks: int) -> DataFrame:
+    """Every query block with every candidate block of its dimension.
+
+    Queries are copied to groups of candidate blocks and both are shuffled by group. A broadcast, which small files or few
+    copies invite, would bring all copies to the driver. Small tables have a group for each block, to keep all cores busy.
+    """
+    groups = max(-(-blocks // GROUP), min(blocks, 4 * queries.sparkSession.sparkContext.defaultParallelism))
+    copied = queries.withColumn("g", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))))
+    return copied.hint("merge").join(candidates.withColumn("g", F.col("c") % groups).hint("merge"), ["g", "dim"])
+
+
 def _as_long(name: str) -> Column:
     """The nearest 64-bit number."""
     ends = np.iinfo(np.int64)
@@ -156,7 +169,6 @@ def _wide_hits(queries: DataFrame, candidates: DataFrame, k: int) -> DataFrame:
     """``query_id, vec_id, score`` of pairs that may leave 64 bits: the ``k`` best of each query row and block."""
     blocks = max(1, -(-candidates.count() // 512))
     asked = _blocks(queries, max(1, -(-queries.count() // 512)), "q")
-    copied = asked.withColumn("c", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -175,7 +187,7 @@ def _wide_hits(queries: DataFrame, candidates: DataFrame, k: int) -> DataFrame:
                         [pa.array(own, pa.int64()), pa.array(other, pa.int64()), pa.array(score, pa.decimal128(38, 0))],
                         ["query_id", "vec_id", "score"])
 
-    return copied.join(_blocks(candidates, blocks, "c"), ["c", "dim"]).mapInArrow(
+    return _pairs(asked, _blocks(candidates, blocks, "c"), blocks).mapInArrow(
         run, "query_id long, vec_id long, score decimal(38,0)")
 
 
@@ -207,9 +219,8 @@ def top_k(vectors: DataFrame, k: int = 10, is_query: Column | None = None, query
     exact_double = bound < 1 << 53
 
     def pairs(states: DataFrame) -> DataFrame:
-        # Queries are the hundredth part, so they are the side that is copied to every candidate block.
-        copied = _stateful(queries, states).withColumn("c", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-        return copied.join(candidates, ["c", "dim"])
+        # Queries are the hundredth part, so they are the side that is copied.
+        return _pairs(_stateful(queries, states), candidates, blocks)
 
     ids = queries.mapInArrow(
         lambda batches: (

@@ -86,3 +86,18 @@ def test_components_beyond_64_bit_scores(spark):
     vectors += [(500, [1e7, -1.0, 2.0]), (501, [-1e7, 3e7, 0.0]), (502, [2e6, 2e6, 2e6]), (600, [3e12, 1.0, -4e9]), (601, [3e12, 2.0, 4e9])]
     check_pooled(spark, vectors, 4, candidate_block=20)
     check_pooled(spark, [(0, [4e7]), (1, [5e7])], 4)
+
+
+def test_blocks_are_never_broadcast(spark, monkeypatch):
+    """Copies of the query blocks grow with queries times candidates; a broadcast would bring them to the driver."""
+    plans, scored = [], topk._scored
+
+    def watched(pairs, *more):
+        plans.append(pairs._jdf.queryExecution().executedPlan().toString())
+        return scored(pairs, *more)
+
+    monkeypatch.setattr(topk, "_scored", watched)
+    monkeypatch.setattr(topk, "GROUP", 2)
+    rnd = random.Random(5)
+    check(spark, [(i, [rnd.gauss(0, 0.3) for _ in range(4)]) for i in range(900)], query_block=2, candidate_block=10)
+    assert len(plans) > 1 and not any("Broadcast" in plan for plan in plans)
