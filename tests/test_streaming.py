@@ -272,3 +272,46 @@ def test_position_updates_on_a_timer(spark):
         assert query.lastProgress["batchId"] >= 2 and query.isActive
     finally:
         query.stop()
+
+
+def test_stream_join_keeps_no_copies(spark, tmp_path):
+    """Samples lie on the disk as landed, in the state and as joined; when the stream is over only the joined ones stay."""
+    import glob
+    import os
+
+    from lapspark import session
+    from lapspark.plans import QUERIES
+
+    rows = [
+        (order, line, (order * 7 + line) % 40, float(order % 50 + 1), 900.0 + order % 97, 0.05, 0.02, order % 3 + 1)
+        for order in range(0, 12_000, 60) for line in (1, 2)
+    ]
+    spark.createDataFrame(
+        rows, "l_orderkey long, l_linenumber int, l_partkey long, l_quantity double, l_extendedprice double, l_discount double, "
+        "l_tax double, l_suppkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    base = session._run_dir(spark).removeprefix("file:")
+    before = set(glob.glob(f"{base}/*"))
+    got = QUERIES["live_fastest_lap_samples"](spark, str(tmp_path))
+    want = QUERIES["fastest_lap_samples"](spark, str(tmp_path)).select(*got.columns)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() > 50
+    fresh = [os.path.basename(x).rsplit("-", 1)[0] for x in set(glob.glob(f"{base}/*")) - before]
+    assert "landing-car" not in fresh and "lap-samples-state" not in fresh
+    joined = next(x for x in glob.glob(f"{base}/lap-samples-*") if x not in before)
+    assert set(spark.read.parquet(joined).columns) == {"session_key", "driver_number", "lap_number", "date", "speed", "lap_time"}
+
+
+def test_materialized_tables_leave_no_shuffle_files(spark):
+    import time
+
+    from pyspark.sql import functions as F
+
+    from lapspark.session import materialize
+
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: {b.name() for b in (disk.getAllBlocks().apply(i) for i in range(disk.getAllBlocks().size())) if b.name().startswith("shuffle")}
+    before = files()
+    rows = materialize(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).agg(F.sum("id").alias("n")))
+    deadline = time.time() + 10
+    while files() - before and time.time() < deadline:
+        time.sleep(0.1)
+    assert not files() - before and rows.count() == 7
