@@ -73,7 +73,8 @@ def _cells(df: DataFrame, low_dim: int) -> DataFrame:
 
 
 def detect_undercuts(
-    laps: DataFrame, stints: DataFrame, position: DataFrame, lookahead: int = 3, drivers: Sequence | None = None
+    laps: DataFrame, stints: DataFrame, position: DataFrame, lookahead: int = 3, drivers: Sequence | None = None,
+    gaps: DataFrame | None = None,
 ) -> DataFrame:
     """Position swaps around pit stops, among ``drivers`` if given (an event depends on its two drivers only).
 
@@ -83,7 +84,8 @@ def detect_undercuts(
     two rows meet only where the digits above the compared one agree, in both dimensions at once,
     so the pairs examined follow the number of swaps and not the square of the field. Drivers with the
     same positions before and after a stop share a course; courses are compared, and their drivers
-    are paired in the end only.
+    are paired in the end only. With ``gaps`` (``gap`` by lap and driver) an event has its attacker's ``gap``, which comes to
+    the drivers before they are paired: events grow with the square of the field and are not shuffled for it.
     """
     at_least(1, lookahead=lookahead)
     stints = restrict_drivers(stints, drivers)
@@ -112,8 +114,12 @@ def detect_undercuts(
     digits = F.greatest(F.ceil(F.log2(F.col("_top") + 2.0) / CELL_BITS), F.lit(1)).cast("int")
     marked = seen.join(pits.withColumn("_pits", F.lit(True)), [*DRIVER, "pit_lap"], "left")
     numbers = F.transform("after", lambda p: F.coalesce(p.cast("string"), F.lit("-")))
+    more = []
+    if gaps is not None:
+        more = ["gap"]
+        marked = marked.join(gaps.select(*DRIVER, F.col("lap_number").alias("pit_lap"), *more), [*DRIVER, "pit_lap"], "left")
     marked = materialize(marked.where(F.col("driver_number").isNotNull()).select(
-        *DRIVER, "pit_lap", "before", "after", F.col("_pits").isNotNull().alias("_stopped"),
+        *DRIVER, "pit_lap", *more, "before", "after", F.col("_pits").isNotNull().alias("_stopped"),
         F.concat_ws(",", F.col("before").cast("string"), numbers).alias("_course")))
     course = ["session_key", "pit_lap", "_stopped", "_course"]
     courses = marked.groupBy(*course).agg(
@@ -155,17 +161,23 @@ def detect_undercuts(
     )
     swaps = a.join(b, meet).where(swap & ~sooner).select("session_key", "pit_lap", "_kind", "_course", "_b_course", "_n")
     events = _drivers_of(materialize(swaps), marked)
+
+    def of(first: str, second: str, c: str) -> Column:
+        told = [F.col(f"{side}.{c}") if more else F.col(side) for side in (first, second)]
+        return F.when(undercut, told[0]).otherwise(told[1])
+
     return events.select(
         "session_key",
         F.col("pit_lap").alias("lap"),
-        F.when(undercut, F.col("_a")).otherwise(F.col("_b")).alias("attacking_driver"),
-        F.when(undercut, F.col("_b")).otherwise(F.col("_a")).alias("defending_driver"),
+        of("_a", "_b", "driver_number").alias("attacking_driver"),
+        of("_b", "_a", "driver_number").alias("defending_driver"),
         F.col("_kind").alias("type"),
+        *[of("_a", "_b", c).alias(c) for c in more],
     )
 
 
 def _drivers_of(swaps: DataFrame, marked: DataFrame) -> DataFrame:
-    """Pairs of courses as the pairs ``_a``, ``_b`` of their drivers, dealt so that no task gets the whole of a course.
+    """Pairs of courses as the pairs ``_a``, ``_b`` of their drivers (with the ``gap`` of each, if they have one), dealt so that no task gets the whole of a course.
 
     The drivers of a course come in pieces of about ``PIECE``. Each piece on the staying side is copied to as many
     places as ``DEAL`` drivers of the stopping side ask for, so one place gives at most some ``PIECE * DEAL`` events.
@@ -173,8 +185,9 @@ def _drivers_of(swaps: DataFrame, marked: DataFrame) -> DataFrame:
     course = ["session_key", "pit_lap", "_course"]
     sizes = marked.groupBy(*course, "_stopped").agg(F.ceil(F.count(F.lit(1)) / PIECE).alias("_pieces"))
     piece = F.pmod(F.xxhash64("driver_number"), F.col("_pieces")).alias("_piece")
-    pieces = marked.join(sizes, [*course, "_stopped"]).select(*course, "_stopped", "driver_number", piece)
-    pieces = pieces.groupBy(*course, "_stopped", "_piece").agg(F.collect_list("driver_number").alias("_drivers"))
+    driver = F.struct("driver_number", "gap") if "gap" in marked.columns else F.col("driver_number")
+    pieces = marked.join(sizes, [*course, "_stopped"]).select(*course, "_stopped", driver.alias("_driver"), piece)
+    pieces = pieces.groupBy(*course, "_stopped", "_piece").agg(F.collect_list("_driver").alias("_drivers"))
     theirs = pieces.where(~F.col("_stopped")).select(
         "session_key", "pit_lap", F.col("_course").alias("_b_course"), F.col("_drivers").alias("_bs"))
     other = ["session_key", "pit_lap", "_b_course"]
@@ -191,7 +204,12 @@ def _drivers_of(swaps: DataFrame, marked: DataFrame) -> DataFrame:
 
 
 def undercut_markers(events: DataFrame, laps: DataFrame) -> DataFrame:
-    """Events with the attacker's gap to the leader on that lap (0.0 when unknown)."""
+    """Events with the attacker's gap to the leader on that lap (0.0 when unknown).
+
+    Many events should bring their ``gap`` along (``detect_undercuts(gaps=…)``): here all of them are shuffled to get it.
+    """
+    if "gap" in events.columns:
+        return events.select(*[c for c in events.columns if c != "gap"], F.coalesce("gap", F.lit(0.0)).alias("gap"))
     gaps = gap_to_leader(laps).select(
         "session_key",
         F.col("driver_number").alias("attacking_driver"),

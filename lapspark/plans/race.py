@@ -386,7 +386,8 @@ FROM undercuts u LEFT JOIN gaps g ON g.session_key = u.session_key
  AND g.driver_number = u.attacking_driver AND g.lap_number = u.lap""")
 def undercut_markers(spark, sf):
     laps = A.laps(spark, sf)
-    return X.undercut_markers(X.detect_undercuts(laps, A.stints(laps), A.position(spark, sf)), laps)
+    events = X.detect_undercuts(laps, A.stints(laps), A.position(spark, sf), gaps=L.gap_to_leader(laps))
+    return X.undercut_markers(events, laps).select("session_key", "attacking_driver", "lap", "defending_driver", "type", "gap")
 
 
 @query("undercut_windows", f"""WITH {LAPS}, {STINTS}, {STINT_LAPS.format(source='laps')},

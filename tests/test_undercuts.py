@@ -92,3 +92,33 @@ def test_drivers_of_one_course_are_compared_once(spark, monkeypatch):
     got = [tuple(r) for r in detect_undercuts(*frames, 3).collect()]
     assert sorted(got) == [(1, 5, a, b, "undercut") for a in stopping for b in staying]
     assert seen == [1]
+
+
+def test_markers_shuffle_no_events(spark, monkeypatch):
+    """The gap comes to the drivers before they are paired: no join or exchange lies above the pairs."""
+    monkeypatch.setattr(strategy, "PIECE", 4)
+    monkeypatch.setattr(strategy, "DEAL", 8)
+    rng = random.Random(6)
+    laps, position = [], []
+    for d in range(1, 13):
+        for lap in range(1, 10):
+            end = START + dt.timedelta(seconds=100 * lap)
+            laps.append((1, d, lap, 90.0 + rng.random() if rng.random() < 0.9 else None, False, end))
+            position.append((1, d, rng.randint(1, 6), end))
+    laps.append(laps[0])
+    stints = [(1, d, i, "S", 0, a, b) for d in range(1, 13) for i, (a, b) in enumerate(((1, d % 4 + 2), (d % 4 + 3, 9)), 1)]
+    frames = (spark.createDataFrame(laps, LAPS), spark.createDataFrame(stints, STINTS), spark.createDataFrame(position, POSITION))
+    want = undercut_markers(detect_undercuts(*frames), frames[0])
+    got = undercut_markers(detect_undercuts(*frames, gaps=strategy.gap_to_leader(frames[0])), frames[0]).select(*want.columns)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and want.where("gap > 0").count() > 0
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "explode(_bs" in plan and "Join" not in plan[:plan.index("explode(_bs")]
+
+
+def test_query_of_markers_brings_the_gaps_along(spark, monkeypatch):
+    from lapspark.plans import QUERIES, race
+
+    asked = []
+    monkeypatch.setattr(race.X, "undercut_markers", lambda events, laps: asked.append(events.columns) or undercut_markers(events, laps))
+    out = QUERIES["undercut_markers"](spark, "/root/testdata/sf0.001")
+    assert "gap" in asked[0] and out.columns == ["session_key", "attacking_driver", "lap", "defending_driver", "type", "gap"]
